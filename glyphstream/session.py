@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,25 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by an eager checkpoint in the shared folder, so that a lost executor costs one read."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_stored: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write to a Parquet table in the shared checkpoint folder and read it back: cuts the lineage and keeps column pruning.
+
+    The tables stay until ``drop_stored``, as results that are still lazy may read them."""
+    spark = df.sparkSession
+    path = f"{use_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` has written in this process."""
+    jvm = spark.sparkContext._jvm
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

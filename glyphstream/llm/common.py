@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import durable, use_checkpoint_dir  # noqa: F401
+from ..session import durable, stored, use_checkpoint_dir  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -96,3 +96,43 @@ def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix64(left * np.uint64(0x9FB21C651E98DF25) + (right ^ np.uint64(0xA0761D6478BD642F)))
+
+
+# ---------------------------------------------------------------- runs of like keys
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows with equal keys, from record batches that are sorted by them. What is held is one run, and the
+    batch that ends it; callers bound their runs."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ks = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cut = np.zeros(b.num_rows, dtype=bool)
+        for k in ks:
+            cut[1:] |= k[1:] != k[:-1]
+        begins = np.concatenate(([0], np.flatnonzero(cut), [b.num_rows]))
+        for a, z in zip(begins[:-1], begins[1:]):
+            now = tuple(k[a] for k in ks)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_runs(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """Applies a function of a table to each run of like keys, without a Python call per group for its plumbing. The function
+    returns a RecordBatch or None."""
+
+    def run(batches):
+        for t in runs(batches, keys):
+            out = function(t)
+            if out is not None and out.num_rows:
+                yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

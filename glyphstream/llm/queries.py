@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, toxicity
+from . import chat, mixing, neardup, pii, toxicity
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and component of every document's shingle set."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every formatted conversation says when read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_chat_format": op9_chat_format,
     }
 

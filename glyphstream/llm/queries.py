@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, pii, toxicity
+from . import chat, decontam, mixing, neardup, pii, toxicity
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that every document leaks."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and component of every document's shingle set."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
+        "op7_decontaminate": op7_decontaminate,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_chat_format": op9_chat_format,
     }

@@ -3,10 +3,10 @@
 Texts and items are read as lower-case words joined by single spaces. A document leaks an item if some window of it is within edit
 distance ``max_edits`` (a share of the item's length) of the item.
 
-1. *Windows.* A leak that keeps any 2-word shingle of an item puts that shingle at the item's offset, so each shared shingle names one item-sized
-   window; shingles are looked up in all words of all texts. (An edit breaks at most three shingles. Items of 6
-   characters a word have more than 2 shingles for each edit allowed at 0.08, and a leak that breaks all of them would have to space its
-   edits evenly through the item.) Equal windows are merged.
+1. *Windows.* A 2-word shingle that a text shares with an item names one item-sized window, in which the shingle lies at the item's
+   offset; shingles are looked up in all words of all texts. Edits shift windows by no more than their number, so a leak has the
+   shingles that its edits left whole on diagonals that near each other. A window goes on if the allowed edits to its right hold
+   NEED of the item's shingles: edits spread at random over a 30-word item leave a third of them whole, changed words more.
 2. *CGK.* A random walk copies a window into a string of twice its length, advancing on a character if a random function of (step, character) says
    so. Strings at edit distance k become strings at Hamming distance O(k^2) with constant probability, for each of WALKS walks.
 3. *Bit sampling.* Of every walk, TABLES sets of BITS positions are compared; a window that agrees with its item on any is a
@@ -36,6 +36,8 @@ from .common import chunks, pair_hash, text_bytes, word_table
 
 MAX_EDITS = 0.08
 WALKS, TABLES, BITS = 4, 6, 10
+NEED = 0.15  # share of an item's shingles that a window must hold
+WINDOWS = 1024  # embedded together
 BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20
 _SEED = 11
@@ -78,16 +80,6 @@ def _positions(length: int) -> np.ndarray:
     return np.random.default_rng(_SEED + length).integers(0, 2 * length, (WALKS, TABLES, BITS))
 
 
-def agree(item: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
-    """Which windows agree with the item on any sampled set; embeddings are (walk, [window,] step)."""
-    p = _positions(length)
-    ok = np.zeros(windows.shape[1], dtype=bool)
-    for w in range(WALKS):
-        for k in range(TABLES):
-            ok |= (windows[w][:, p[w, k]] == item[w][p[w, k]][None, :]).all(1)
-    return ok
-
-
 def myers_search(pattern: bytes, text: bytes, most: int) -> int | None:
     """The least edit distance of the pattern to a substring of the text, if at most ``most``."""
     m = len(pattern)
@@ -123,7 +115,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, bytes]], max_edits: float):
         self.ids = [i for i, _ in rows]
         self.texts = [t for _, t in rows]
-        self.most = [int(max_edits * len(t)) for t in self.texts]
+        self.most = np.array([int(max_edits * len(t)) for t in self.texts], dtype=np.int64)
         h, start, end, first = word_table(self.texts)
         begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in self.texts])))
         keys, item, offset = [], [], []
@@ -146,12 +138,16 @@ class Items:
         self.single_key = np.array(sorted(single), dtype=np.uint64)
         self.seen = np.zeros(1 << 20, dtype=bool)  # a first, cheap look
         self.seen[(self.key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self._embedded: dict[int, np.ndarray] = {}
+        self.need = np.maximum(1, (NEED * np.bincount(self.item, minlength=len(rows))).astype(np.int64))
+        self._sampled: dict[int, np.ndarray] = {}
 
-    def embedded(self, k: int) -> np.ndarray:
-        if k not in self._embedded:
-            self._embedded[k] = cgk([self.texts[k]], len(self.texts[k]))[:, 0]
-        return self._embedded[k]
+    def sampled(self, k: int) -> np.ndarray:
+        """The item's embeddings at the sampled steps: walk, table, bit."""
+        if k not in self._sampled:
+            p = _positions(len(self.texts[k]))
+            out = cgk([self.texts[k]], len(self.texts[k]))[:, 0]
+            self._sampled[k] = np.stack([out[w][p[w]] for w in range(WALKS)])
+        return self._sampled[k]
 
     def find(self, raw: list[bytes]) -> list[tuple[int, int, int]]:
         """(place of the text, place of the item, edits) of every leak."""
@@ -180,37 +176,51 @@ class Items:
         place = width[:-1] - width[first[doc]]
         window = place[word] - self.offset[which]
         item, d = self.item[which], doc[word]
-        order = np.lexsort((window, item, d))
-        d, item, window = d[order], item[order], window[order]
-        new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (window[1:] != window[:-1])
-        d, item, window = d[new], item[new], window[new]
+        key = ((d * len(self.ids) + item).astype(np.int64) << 40) + (window + (1 << 38))
+        key.sort()
+        pair = key >> 40
+        item = pair % len(self.ids)
+        # enough of the item's shingles on diagonals within the allowed edits
+        near = np.searchsorted(key, key + self.most[item], "right") - np.arange(len(key))
+        ok = near >= self.need[item]
+        ok[1:] &= (key[1:] != key[:-1]) | ~ok[:-1]
+        pair, key, item = pair[ok], key[ok], item[ok]
+        d, window = pair // len(self.ids), (key & ((1 << 40) - 1)) - (1 << 38)
+        best: dict[tuple[int, int], int] = {}
         texts: dict[int, bytes] = {}
-        cut = np.flatnonzero(np.diff(item) | np.diff(d)) + 1
-        for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(d)]))):
-            k, at = int(item[a]), int(d[a])
+        todo: list[tuple[int, int, int]] = []
+        exact: dict[tuple[int, int], bool] = {}
+        for at, k, x in zip(d.tolist(), item.tolist(), window.tolist()):
             if at not in texts:
-                texts = {at: normal(raw[at])}
-            got = self._leak(texts[at], k, window[a:b])
-            if got is not None:
-                found.append((at, k, got))
-        return sorted(set(found))
-
-    def _leak(self, text: bytes, k: int, windows: np.ndarray) -> int | None:
-        item, most = self.texts[k], self.most[k]
-        size = len(item)
-        windows = np.clip(windows, 0, max(0, len(text) - 1))
-        best = None
-        for a in range(0, len(windows), 256):
-            part = windows[a : a + 256]
-            w = [text[x : x + size] for x in part.tolist()]
-            for x in part[agree(self.embedded(k), cgk(w, size), size)].tolist():
-                if best is not None and best == 0:
-                    return 0
-                got = myers_search(item, text[max(0, x - 2 * most) : x + size + 2 * most], most)
-                if got is not None and (best is None or got < best):
-                    best = got
-        return best
+                self._verify(todo, texts, best)
+                todo, texts = [], {at: normal(raw[at])}
+            if (at, k) not in exact:
+                exact[at, k] = self.texts[k] in texts[at]
+                if exact[at, k]:
+                    best[at, k] = 0
+            if not exact[at, k]:
+                todo.append((at, k, min(max(x, 0), max(0, len(texts[at]) - 1))))
+        self._verify(todo, texts, best)
+        return sorted({*found, *((at, k, e) for (at, k), e in best.items())})
+
+    def _verify(self, todo: list[tuple[int, int, int]], texts: dict[int, bytes], best: dict[tuple[int, int], int]) -> None:
+        """Adds to ``best`` the least edits of the windows (text, item, place) that agree with their items and are confirmed."""
+        for a in range(0, len(todo), WINDOWS):
+            part = todo[a : a + WINDOWS]
+            sizes = [len(self.texts[k]) for _, k, _ in part]
+            length = max(sizes)
+            out = cgk([texts[at][x : x + n] for (at, _, x), n in zip(part, sizes)], length)
+            place = np.stack([_positions(n) for n in sizes], axis=1)  # walk, window, table, bit
+            ok = np.zeros(len(part), dtype=bool)
+            for w in range(WALKS):
+                mine = np.take_along_axis(out[w], place[w].reshape(len(part), -1), 1).reshape(len(part), TABLES, BITS)
+                ok |= (mine == np.stack([self.sampled(k)[w] for _, k, _ in part])).all(2).any(1)
+            for i in np.flatnonzero(ok).tolist():
+                at, k, x = part[i]
+                most = int(self.most[k])
+                got = myers_search(self.texts[k], texts[at][max(0, x - 2 * most) : x + sizes[i] + 2 * most], most)
+                if got is not None:
+                    best[at, k] = min(got, best.get((at, k), got))
 
 
 def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):

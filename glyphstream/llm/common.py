@@ -57,8 +57,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
 _VALUE[_SPACE] = 0
+_FOLDED = _VALUE.copy()
+_FOLDED[65:91] = _VALUE[97:123]  # A-Z count as a-z
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, dtype=np.uint64)
 
@@ -72,8 +73,8 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the texts: (64-bit hash of the lower-cased word, start, end within the joined bytes, number of words before
+def word_table(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts: (64-bit hash of the word, lower-cased if ``fold``, start, end within the joined bytes, number of words before
     each text). A word is a maximal run of bytes other than ASCII white space; it never crosses texts, which are joined by one space."""
     joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
@@ -84,7 +85,7 @@ def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     first = np.searchsorted(start, begins)
     if not len(start):
         return np.empty(0, np.uint64), start, end, first
-    value = _VALUE[joined]
+    value = (_FOLDED if fold else _VALUE)[joined]
     # place within the word, for the bytes from each start to the next
     span = np.diff(start, append=len(joined))
     place = np.arange(start[0], len(joined)) - np.repeat(start, span)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, pii, toxicity
+from . import chat, decontam, mixing, neardup, pii, tokens, toxicity
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pieces of every whole text."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +68,7 @@ FROM t GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_token_counts": op2_token_counts,
         "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
         "op7_decontaminate": op7_decontaminate,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, pii, tokens, toxicity
+from . import chat, decontam, mixing, neardup, pii, tokens, toxicity, urls
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that every document leaks."""
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
+        "op5_url_filter": op5_url_filter,
         "op7_decontaminate": op7_decontaminate,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_chat_format": op9_chat_format,

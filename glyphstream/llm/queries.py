@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, nearest, neardup, pii, tokens, toxicity, urls
+from . import chat, decontam, extract, mixing, nearest, neardup, pii, tokens, toxicity, urls
 from .common import table
 
 
@@ -37,6 +37,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that every document leaks."""
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
         "op5_url_filter": op5_url_filter,
+        "op6_main_text": op6_main_text,
         "op7_decontaminate": op7_decontaminate,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_chat_format": op9_chat_format,

@@ -28,6 +28,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -264,8 +265,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS,
 
 def is_leak(text: Column, block: list[tuple[int, bytes]], spark, max_edits: float = MAX_EDITS) -> Column:
     """Does the text leak any item of the block?"""
-    import pandas as pd
-
     shipped = spark.sparkContext.broadcast(block)
 
     @F.pandas_udf("boolean")

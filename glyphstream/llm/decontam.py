@@ -51,27 +51,28 @@ def normal(text: bytes) -> bytes:
 
 @lru_cache(maxsize=2)
 def _walk_bits(steps: int) -> np.ndarray:
-    """bits[w, t, c]: does walk w advance at step t on byte c?"""
-    return np.random.default_rng(_SEED).integers(0, 2, (WALKS, steps, 257), dtype=np.uint8)
+    """bits[t, w, c]: does walk w advance at step t on byte c?"""
+    return np.random.default_rng(_SEED).integers(0, 2, (steps, WALKS, 257)).astype(np.intp)
 
 
 def cgk(strings: list[bytes], length: int) -> np.ndarray:
-    """(walk, string, step) -> byte as 0-255, 256 beyond the end: the CGK embeddings, of 2 * length steps, of strings of up to ``length``."""
+    """(step, walk, string) -> byte as 0-255, 256 beyond the end: the CGK embeddings, of 2 * length steps, of strings of up to ``length``.
+    All walks of all strings take their steps together."""
     steps = 2 * length
     n = len(strings)
-    x = np.full((n, steps + 1), 256, dtype=np.int16)
+    x = np.full((n, steps + 1), 256, dtype=np.intp)
     for i, s in enumerate(strings):
         k = min(len(s), steps)
         x[i, :k] = np.frombuffer(s, dtype=np.uint8, count=k)
-    out = np.empty((WALKS, n, steps), dtype=np.int16)
-    bits = _walk_bits(1 << max(10, (steps - 1).bit_length()))
-    rows = np.arange(n)
-    for w in range(WALKS):
-        at = np.zeros(n, dtype=np.int64)
-        for t in range(steps):
-            c = x[rows, at]
-            out[w, :, t] = c
-            at += bits[w, t, c]
+    x = x.ravel()
+    out = np.empty((steps, WALKS, n), dtype=np.int16)
+    bits = _walk_bits(1 << max(10, (steps - 1).bit_length())).reshape(-1, WALKS * 257)
+    at = np.tile(np.arange(n) * (steps + 1), (WALKS, 1))
+    which = (np.arange(WALKS) * 257)[:, None]
+    for t in range(steps):
+        c = x.take(at)
+        out[t] = c
+        at += bits[t].take(c + which)
     return out
 
 
@@ -146,8 +147,8 @@ class Items:
         """The item's embeddings at the sampled steps: walk, table, bit."""
         if k not in self._sampled:
             p = _positions(len(self.texts[k]))
-            out = cgk([self.texts[k]], len(self.texts[k]))[:, 0]
-            self._sampled[k] = np.stack([out[w][p[w]] for w in range(WALKS)])
+            out = cgk([self.texts[k]], len(self.texts[k]))[:, :, 0]
+            self._sampled[k] = np.stack([out[p[w], w] for w in range(WALKS)])
         return self._sampled[k]
 
     def find(self, raw: list[bytes]) -> list[tuple[int, int, int]]:
@@ -189,39 +190,41 @@ class Items:
         d, window = pair // len(self.ids), (key & ((1 << 40) - 1)) - (1 << 38)
         best: dict[tuple[int, int], int] = {}
         texts: dict[int, bytes] = {}
-        todo: list[tuple[int, int, int]] = []
+        todo: list[tuple[int, int, bytes, bytes]] = []
         exact: dict[tuple[int, int], bool] = {}
         for at, k, x in zip(d.tolist(), item.tolist(), window.tolist()):
             if at not in texts:
-                self._verify(todo, texts, best)
-                todo, texts = [], {at: normal(raw[at])}
+                texts = {at: normal(raw[at])}
+            text = texts[at]
             if (at, k) not in exact:
-                exact[at, k] = self.texts[k] in texts[at]
+                exact[at, k] = self.texts[k] in text
                 if exact[at, k]:
                     best[at, k] = 0
             if not exact[at, k]:
-                todo.append((at, k, min(max(x, 0), max(0, len(texts[at]) - 1))))
-        self._verify(todo, texts, best)
+                x, n, most = min(max(x, 0), max(0, len(text) - 1)), len(self.texts[k]), int(self.most[k])
+                todo.append((at, k, text[x : x + n], text[max(0, x - 2 * most) : x + n + 2 * most]))
+                if len(todo) == WINDOWS:
+                    self._verify(todo, best)
+                    todo = []
+        self._verify(todo, best)
         return sorted({*found, *((at, k, e) for (at, k), e in best.items())})
 
-    def _verify(self, todo: list[tuple[int, int, int]], texts: dict[int, bytes], best: dict[tuple[int, int], int]) -> None:
-        """Adds to ``best`` the least edits of the windows (text, item, place) that agree with their items and are confirmed."""
-        for a in range(0, len(todo), WINDOWS):
-            part = todo[a : a + WINDOWS]
-            sizes = [len(self.texts[k]) for _, k, _ in part]
-            length = max(sizes)
-            out = cgk([texts[at][x : x + n] for (at, _, x), n in zip(part, sizes)], length)
-            place = np.stack([_positions(n) for n in sizes], axis=1)  # walk, window, table, bit
-            ok = np.zeros(len(part), dtype=bool)
-            for w in range(WALKS):
-                mine = np.take_along_axis(out[w], place[w].reshape(len(part), -1), 1).reshape(len(part), TABLES, BITS)
-                ok |= (mine == np.stack([self.sampled(k)[w] for _, k, _ in part])).all(2).any(1)
-            for i in np.flatnonzero(ok).tolist():
-                at, k, x = part[i]
-                most = int(self.most[k])
-                got = myers_search(self.texts[k], texts[at][max(0, x - 2 * most) : x + sizes[i] + 2 * most], most)
-                if got is not None:
-                    best[at, k] = min(got, best.get((at, k), got))
+    def _verify(self, todo: list[tuple[int, int, bytes, bytes]], best: dict[tuple[int, int], int]) -> None:
+        """Adds to ``best`` the least edits of the windows (text, item, window, wider window) that agree with their items and are confirmed."""
+        if not todo:
+            return
+        items = np.array([k for _, k, _, _ in todo])
+        n = len(todo)
+        out = cgk([w for _, _, w, _ in todo], max(len(self.texts[k]) for k in set(items.tolist())))
+        kinds, which = np.unique(items, return_inverse=True)
+        place = np.stack([_positions(len(self.texts[k])) for k in kinds.tolist()])[which]  # window, walk, table, bit
+        own = np.stack([self.sampled(k) for k in kinds.tolist()])[which]
+        mine = out[place, np.arange(WALKS)[None, :, None, None], np.arange(n)[:, None, None, None]]
+        for i in np.flatnonzero((mine == own).all(3).any((1, 2))).tolist():
+            at, k, _, wide = todo[i]
+            got = myers_search(self.texts[k], wide, int(self.most[k]))
+            if got is not None:
+                best[at, k] = min(got, best.get((at, k), got))
 
 
 def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import streams
+from .plans import layout, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (streams,)
+MODULES = (streams, layout)
 
 
 def queries() -> dict[str, Query]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import layout, streams
+from .plans import events, layout, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (streams, layout)
+MODULES = (streams, layout, events)
 
 
 def queries() -> dict[str, Query]:

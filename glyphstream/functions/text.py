@@ -9,14 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def compatible(text: Column) -> Column:
     """NFKC."""
-    return F.when(text.rlike(r"\A\p{ASCII}*\z"), text).otherwise(_nfkc(text))
+    return F.when(text.rlike(r"\A\p{ASCII}*\z"), text).otherwise(F.pandas_udf(_nfkc, "string")(text))
 
 
 _SPACE = r"(?U)[\s\x1C-\x1F]+"

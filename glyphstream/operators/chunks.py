@@ -101,10 +101,13 @@ def merge_chunk_events(events: DataFrame, overlap: float = OVERLAP) -> DataFrame
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows: list[dict] = []
+        near: list[dict] = []  # rows that this event or a later one can still reach
         for r in pdf.sort_values(["start", "chunk", "event_id"]).to_dict("records"):
-            hit = next((m for m in rows if one_event(m, r, overlap)), None)
+            near = [m for m in near if m["stop"] >= r["start"] - reach - 1e-6]
+            hit = next((m for m in near if one_event(m, r, overlap)), None)
             if hit is None:
                 rows.append({**r, "n": 1})
+                near.append(rows[-1])
             else:
                 if _chosen(hit, r) is r:
                     hit["text"] = r["text"]
@@ -138,9 +141,12 @@ def one_event(a: dict, b: dict, overlap: float = OVERLAP) -> bool:
     shared = min(a["stop"], b["stop"]) - max(a["start"], b["start"])
     if a["chunk"] == b["chunk"] or (shared < -1e-6 and -shared > max(1.25, overlap + 0.5)) or not a["text"] or not b["text"]:
         return False
-    x, y = "".join(a["text"].split()), "".join(b["text"].split())
-    text = max(0.0, 1 - _distance(x, y) / max(len(x), len(y), 1))
     spatial = _box_iou(a, b)
+    if spatial < 0.08 and shared < 0:
+        return False
+    x, y = "".join(a["text"].split()), "".join(b["text"].split())
+    longest = max(len(x), len(y), 1)
+    text = 0.0 if abs(len(x) - len(y)) > 0.3 * longest else max(0.0, 1 - _distance(x, y) / longest)
     prefix = bool(x and y) and (x.startswith(y) or y.startswith(x))
     return (text >= 0.92 and (spatial >= 0.08 or shared >= 0)) or (spatial >= 0.25 and (text >= 0.72 or prefix))
 

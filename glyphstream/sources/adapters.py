@@ -72,9 +72,9 @@ SIG_SQL = """sigs AS (
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as intervals, in days: order_id, line, start (order date), stop (ship date, not before it)."""
+    """Lines of orders as intervals, in days: order_id, line, start (order date), stop (ship date, not before it)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.max("l_shipdate").alias("l_shipdate"), F.max("l_quantity").alias("l_quantity"))
     day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01")).cast("double")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("source_id"), day("o_orderdate").alias("start"), F.greatest(day("o_orderdate"), day("l_shipdate")).alias("stop"), F.col("l_quantity").alias("weight")
@@ -84,5 +84,5 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 INTERVALS_SQL = """intervals AS (
   SELECT l_orderkey AS order_id, l_linenumber AS line, l_suppkey AS source_id, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS start,
     greatest(date_diff('day', DATE '1970-01-01', o_orderdate::DATE), date_diff('day', DATE '1970-01-01', l_shipdate::DATE))::DOUBLE AS stop, l_quantity AS weight
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, max(l_shipdate) AS l_shipdate, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) JOIN orders ON l_orderkey = o_orderkey
 )"""

@@ -55,12 +55,24 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{use_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that ``stored`` returned, once nothing lazy reads it any more."""
+    if (path := df.stored_at) in _stored:
+        _stored.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def drop_stored(spark: SparkSession) -> None:
     """Delete the tables that ``stored`` has written in this process."""
-    jvm = spark.sparkContext._jvm
     while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _stored.pop())

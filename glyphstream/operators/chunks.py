@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as G
 from ..functions import text as T
+from .ordered import scan
 
 TARGET, SHORT, OVERLAP, ID_STEP = 180.0, 300.0, 4.0, 10_000_000
 
@@ -99,26 +101,31 @@ def merge_chunk_events(events: DataFrame, overlap: float = OVERLAP) -> DataFrame
     e = events.withColumn("_gap", F.coalesce((F.col("start") - reached > reach + 1e-6).cast("int"), F.lit(1)))
     e = e.withColumn("stretch", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
-        near: list[dict] = []  # rows that this event or a later one can still reach
-        for r in pdf.sort_values(["start", "chunk", "event_id"]).to_dict("records"):
+    columns = ["video_id", "chunk", "event_id", "start", "stop", "text", "confidence", "l", "t0", "r", "b0"]
+    kinds = {f.name: f for f in to_arrow_schema(events.select(*columns).schema)}
+
+    def step(b: pa.RecordBatch, near, ends: bool):
+        """``near``: the merged rows that a later event can still reach; others are handed on."""
+        near, done = near or [], []
+        for r in b.to_pylist():
+            done += [m for m in near if m["stop"] < r["start"] - reach - 1e-6]
             near = [m for m in near if m["stop"] >= r["start"] - reach - 1e-6]
             hit = next((m for m in near if one_event(m, r, overlap)), None)
             if hit is None:
-                rows.append({**r, "n": 1})
-                near.append(rows[-1])
-            else:
-                if _chosen(hit, r) is r:
-                    hit["text"] = r["text"]
-                if r["stop"] >= hit["stop"]:  # the last box
-                    hit.update({c: r[c] for c in ("l", "t0", "r", "b0")})
-                hit.update(start=min(hit["start"], r["start"]), stop=max(hit["stop"], r["stop"]), confidence=max(hit["confidence"], r["confidence"]), chunk=min(hit["chunk"], r["chunk"]), n=hit["n"] + 1)
-        return pd.DataFrame(rows, columns=[*columns, "n"])
+                near.append({**r, "n": 1})
+                continue
+            if _chosen(hit, r) is r:
+                hit["text"] = r["text"]
+            if r["stop"] >= hit["stop"]:  # the last box
+                hit.update({c: r[c] for c in ("l", "t0", "r", "b0")})
+            hit.update(start=min(hit["start"], r["start"]), stop=max(hit["stop"], r["stop"]), confidence=max(hit["confidence"], r["confidence"]), chunk=min(hit["chunk"], r["chunk"]), n=hit["n"] + 1)
+        if ends:
+            done, near = done + near, []
+        out = pa.RecordBatch.from_arrays([pa.array([m[c] for m in done], kinds[c].type if c in kinds else pa.int64()) for c in (*columns, "n")], names=[*columns, "n"])
+        return out, near
 
-    columns = ["video_id", "chunk", "event_id", "start", "stop", "text", "confidence", "l", "t0", "r", "b0"]
     schema = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in columns) + ", n long"
-    out = e.select(*columns, "stretch").groupBy("video_id", "stretch").applyInPandas(lambda pdf: fold(pdf.drop(columns="stretch")), schema)
+    out = scan(e.select(*columns, "stretch"), ["video_id", "stretch"], ["start", "chunk", "event_id"], step, schema)
     return out.withColumn("event_id", F.row_number().over(Window.partitionBy("video_id").orderBy("start", "stop", "chunk", "event_id")).cast("long"))
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import events, layout, streams
+from .plans import events, layout, stateful, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (streams, layout, events)
+MODULES = (streams, layout, events, stateful)
 
 
 def queries() -> dict[str, Query]:

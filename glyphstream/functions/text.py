@@ -40,9 +40,9 @@ def metric_text(text: Column) -> Column:
 
 
 def similarity(left: Column, right: Column) -> Column:
-    """1 less the edit distance over the longer length; two empty texts are alike."""
+    """1 less the edit distance over the longer length; two empty texts are alike, a null one gives null."""
     longest = F.greatest(F.length(left), F.length(right), F.lit(1))
-    return F.greatest(F.lit(0.0), 1.0 - F.levenshtein(left, right) / longest)
+    return F.when(left.isNotNull() & right.isNotNull(), F.greatest(F.lit(0.0), 1.0 - F.levenshtein(left, right) / longest))
 
 
 def prefix_related(left: Column, right: Column) -> Column:

@@ -16,7 +16,8 @@ STATE_SCHEMA = "state binary"
 
 
 def tracked_stream(observations: DataFrame, settings: Settings | None = None, idle_ms: int = 0) -> DataFrame:
-    """Text events as they end, from a streaming table of observations (COLUMNS, and ``ends``: true on a row that closes its stream).
+    """Text events as they end, from a streaming table of observations (COLUMNS, and ``ends``: true on a row that closes its stream and
+    is not otherwise read; its numbers must not be null, as pandas would turn the integers of its batch into floats).
 
     With ``idle_ms`` a stream that stays silent so long is closed too. Rows of a frame may arrive in different micro-batches, frames
     in order; use ``withWatermark`` and a sort upstream where they do not."""

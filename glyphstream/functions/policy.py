@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,34 @@ def _fold(value: float, rules) -> Column:
     for condition, factor in rules:
         out = out * F.when(condition, factor).otherwise(1.0)
     return out
+
+
+def decide_values(s: dict[str, float | None]) -> dict[str, float | int | list[str]]:
+    """The same for one set of signals, for loops that feed back on their own state."""
+    pressure = max(s["ocr_queue"], s["detection_queue"])
+    gpu, motion = s["gpu"], s["motion_magnitude"] > 8
+    rules = {
+        "queue_pressure": pressure >= 48,
+        "stable_layout": s["layout_stability"] >= 0.90 and s["audit_yield"] < 0.02,
+        "audit_found_misses": s["audit_yield"] >= 0.10,
+        "unreliable_motion_compensation": motion and s["motion_confidence"] < 0.55,
+        "motion_compensated": motion and s["motion_confidence"] >= 0.75,
+        "typewriter_pattern": s["typewriter"] >= 0.60,
+        "short_lived_text": 0 < s["lifetime"] < 1,
+        "gpu_headroom": gpu is not None and gpu < 0.35 and pressure > 0,
+        "gpu_saturated": gpu is not None and gpu > 0.90,
+    }
+    on = [name for name, holds in rules.items() if holds]
+    product = lambda start, **factors: math.prod([start, *(f for name, f in factors.items() if name in on)])
+    between = lambda v, low, high: max(low, min(v, high))
+    wait = 35.0 + 15.0 * ("queue_pressure" in on) - 10.0 * ("gpu_headroom" in on) + 10.0 * ("gpu_saturated" in on)
+    return {
+        "probe": between(product(0.25, queue_pressure=1.6, stable_layout=1.25, short_lived_text=0.65), 0.10, 0.75),
+        "audit": between(product(20.0, stable_layout=1.5, audit_found_misses=0.80, unreliable_motion_compensation=0.5), 3.0, 40.0),
+        "width": 1600 if {"audit_found_misses", "unreliable_motion_compensation"} & set(on) else 960,
+        "stable": between(product(0.45, typewriter_pattern=1.7, short_lived_text=0.55), 0.15, 1.5),
+        "longest": between(product(1.8, typewriter_pattern=1.25, short_lived_text=0.70), 0.5, 4.0),
+        "batch": 32 if "queue_pressure" in on else 16,
+        "wait": between(wait, 10.0, 80.0),
+        "reasons": on,
+    }

@@ -25,6 +25,7 @@ class Settings:
     longest_wait: float = 1.8
     candidates: int = 3
     diversity: float = 0.35
+    bits: int = 63  # of a signature
     width: float = 640.0
     height: float = 360.0
 
@@ -40,6 +41,7 @@ class Seen:
     quality: float = 0.0
     complete: float = 0.0
     text: str = ""
+    crop: bytes = b""  # what a recognizer would see, where texts are not known yet
 
 
 @dataclass
@@ -53,6 +55,7 @@ class Content:
     typewriter: float = 0.0
     queued: bool = False
     pool: list[Seen] = field(default_factory=list)
+    history: list[tuple[float, Box]] = field(default_factory=list)
 
 
 @dataclass
@@ -80,11 +83,11 @@ def centre(b: Box) -> tuple[float, float]:
     return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
 
 
-def differing(a: int, b: int) -> float:
-    return ((a ^ b) & ((1 << 63) - 1)).bit_count() / 63
+def differing(a: int, b: int, bits: int = 63) -> float:
+    return ((a ^ b) & ((1 << bits) - 1)).bit_count() / bits
 
 
-def complementary(pool: list[Seen], limit: int, weight: float) -> list[Seen]:
+def complementary(pool: list[Seen], limit: int, weight: float, bits: int = 63) -> list[Seen]:
     """The best candidate and those that add most to it; stable in pool order."""
     if len(pool) <= limit:
         return sorted(pool, key=lambda c: -c.quality)
@@ -92,7 +95,7 @@ def complementary(pool: list[Seen], limit: int, weight: float) -> list[Seen]:
     chosen = [seed]
     left = [c for c in pool if c is not seed]
     while left and len(chosen) < limit:
-        gain = [c.quality + weight * (0.7 * min(differing(c.sig, k.sig) for k in chosen) + 0.3 * abs(c.complete - seed.complete)) for c in left]
+        gain = [c.quality + weight * (0.7 * min(differing(c.sig, k.sig, bits) for k in chosen) + 0.3 * abs(c.complete - seed.complete)) for c in left]
         chosen.append(left.pop(gain.index(max(gain))))
     return chosen
 
@@ -151,15 +154,26 @@ class Stream:
                 done += self._finish(self.tracks.pop(k))
         return done
 
-    def idle(self, t: float) -> None:
+    def drop(self, geometry_id: int, silent: bool = False) -> list[dict]:
+        """Ends a track whose place is to be found anew; ``silent`` if its content, seen too seldom, is not worth an event."""
+        track = self.tracks.pop(geometry_id)
+        unstable = track.content is not None and track.content.stable < self.settings.stable
+        return [] if silent and unstable else self._finish(track)
+
+    def idle(self, t: float, shift: tuple[float, float] = (0.0, 0.0)) -> None:
+        """Open tracks last on, and move with the frame."""
         for track in self.tracks.values():
             track.last = t
+            if any(shift):
+                track.box = tuple(v + shift[i % 2] for i, v in enumerate(track.box))  # type: ignore[assignment]
             if track.content:
                 track.content.last = t
+                if any(shift):
+                    track.content.history.append((t, track.box))
 
     def _content(self, track: Track, o: Seen) -> list[dict]:
         s, c, done = self.settings, track.content, []
-        if c is None or differing(c.sig, o.sig) >= s.change:
+        if c is None or differing(c.sig, o.sig, s.bits) >= s.change:
             score = 0.0
             if c is not None:
                 score = min(1.0, 0.7 * c.typewriter + 0.3)
@@ -168,7 +182,8 @@ class Stream:
             self.next_content += 1
         else:
             c.sig, c.last, c.stable = o.sig, o.t, c.stable + 1
-        c.pool = complementary([*c.pool, o], s.candidates, s.diversity)
+        c.pool = complementary([*c.pool, o], s.candidates, s.diversity, s.bits)
+        c.history.append((o.t, o.box))
         if not c.queued and (c.stable >= s.stable or o.t - c.first >= min(s.stable_wait, s.longest_wait)):
             c.queued = True
             self.tasks.append(c.content_id)
@@ -180,9 +195,9 @@ class Stream:
         if c is None:
             return []
         best = max(c.pool, key=lambda p: p.quality)
-        if not best.text:
+        if not best.text and not best.crop:
             return []
-        row = dict(event_id=self.next_event, geometry_id=c.geometry_id, content_id=c.content_id, start=c.first, stop=c.last, text=best.text, confidence=best.confidence, n_seen=c.stable, typewriter=c.typewriter)
+        row = dict(event_id=self.next_event, geometry_id=c.geometry_id, content_id=c.content_id, start=c.first, stop=c.last, text=best.text, confidence=best.confidence, n_seen=c.stable, typewriter=c.typewriter, crops=[p.crop for p in c.pool if p.crop], history=c.history)
         self.next_event += 1
         return [row]
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import durable, stored, use_checkpoint_dir  # noqa: F401
+from ..session import durable, release, stored, use_checkpoint_dir  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -99,6 +100,49 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix64(left * np.uint64(0x9FB21C651E98DF25) + (right ^ np.uint64(0xA0761D6478BD642F)))
 
 
+# ---------------------------------------------------------------- narrowing before a shuffle
+
+SLICE_BITS = 20
+MOST_BITS = 1 << 29  # 64 MB
+
+
+def may_occur(column: Column, ids: DataFrame, bits_each: int = 16) -> Column:
+    """True for all values that occur in the only column of ``ids``, and for few others (one in 16, while there are at most 32 million
+    ids). A bitmap of hashes of at most 64 MB is broadcast, whatever the number of ids; it is put together in slices of 128 KB."""
+    name = ids.columns[0]
+    bits = min(MOST_BITS, 1 << max(SLICE_BITS, (bits_each * ids.count() - 1).bit_length()))
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+
+    def build(batches):
+        made: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy()
+            for s in np.unique(at >> SLICE_BITS).tolist():
+                inside = at[(at >> SLICE_BITS) == s] & ((1 << SLICE_BITS) - 1)
+                made.setdefault(s, np.zeros(1 << SLICE_BITS, dtype=bool))[inside] = True
+        for s, flags in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([np.packbits(flags).tobytes()])], names=["slice", "flags"])
+
+    positions = ids.select(place(F.col(name)).alias("at"))
+    slices = positions.repartition(F.shiftright("at", SLICE_BITS)).mapInArrow(build, "slice long, flags binary").collect()
+    flags = np.zeros(bits // 8, dtype=np.uint8)
+    for r in slices:
+        flags[r["slice"] << (SLICE_BITS - 3) : (r["slice"] + 1) << (SLICE_BITS - 3)] = np.frombuffer(r["flags"], dtype=np.uint8)
+    shipped = ids.sparkSession.sparkContext.broadcast(flags)
+
+    @F.pandas_udf("boolean")
+    def flagged(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((shipped.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return flagged(place(column))
+
+
+def narrowed(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` that an exact join with ``ids`` may need, so that it shuffles few others."""
+    return df.where(may_occur(df[column], ids))
+
+
 # ---------------------------------------------------------------- runs of like keys
 
 

@@ -12,7 +12,7 @@ pair that shares a bucket is then either tested or connected already, and only c
 similarity 0.75 shares no bucket with probability (1 - 0.75^5)^48 = 2e-6, one of 0.85 with 3e-13.
 
 Nothing gathers a bucket in one task: stars with many members are salted, their leader being repeated, and full comparisons are split into
-blocks. Texts are shuffled only to confirm survivors.
+blocks. Of texts, signatures and bucket keys, only those that a join may need are shuffled: a bitmap of bounded size narrows them first.
 
 Cases: null, empty and blank texts have no shingles and link with nothing (component_id = doc_id); a one-word text has one shingle; a row with a null
 doc_id takes no part (component_id null, kept); repeated rows share a component and are each kept if their id is the smallest;
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, in_runs, mix64, pair_hash, stored, text_bytes, word_table
+from .common import chunks, in_runs, may_occur, mix64, narrowed, pair_hash, release, stored, text_bytes, word_table
 
 THRESHOLD = 75  # per cent
 ROWS, BANDS = 5, 48
@@ -40,6 +40,7 @@ BATCH = 48  # minimum hashes compared between two looks at the posterior
 MISS = 1e-7
 STAR, BLOCK = 400, 256  # members of a star's part, and of a block
 CHUNK = 1 << 20
+ALIKE = "merge"  # both sides grow with the corpus: joined by sorting at every size, never broadcast
 
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 31, K, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -180,7 +181,8 @@ def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         ok = rest[may_link(np.broadcast_to(sig[lead], (len(rest), K)), sig[rest])]
         return _pairs(np.full(len(ok), g), m[ok])
 
-    rows = _stars(pairs).join(classes.select(F.col("fp").alias("m"), "sig"), "m")
+    stars = stored(_stars(pairs))
+    rows = stars.join(narrowed(classes, "fp", stars.select("m").distinct()).select(F.col("fp").alias("m"), "sig").hint(ALIKE), "m")
     return in_runs(rows, ["g", "part"], test, "a long, b long")
 
 
@@ -212,9 +214,9 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         return _pairs(np.full(len(found), g), np.array(found, dtype=np.int64))
 
     stars = stored(_stars(pairs))
-    needed = stars.select("m").distinct().join(classes.select(F.col("fp").alias("m"), F.col("rep").alias("doc_id")), "m")
-    texts = docs.select("doc_id", "text").join(needed, "doc_id").select("m", "text")
-    return in_runs(stars.join(texts, "m"), ["g", "part"], test, "a long, b long")
+    needed = stored(stars.select("m").distinct().join(classes.select(F.col("fp").alias("m"), F.col("rep").alias("doc_id")).hint(ALIKE), "m"))
+    texts = narrowed(docs.select("doc_id", "text"), "doc_id", needed.select("doc_id")).join(needed.hint(ALIKE), "doc_id").select("m", "text")
+    return in_runs(stars.join(texts.hint(ALIKE), "m"), ["g", "part"], test, "a long, b long")
 
 
 # ---------------------------------------------------------------- components
@@ -237,13 +239,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _residual(members: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs that pass the sequential test among bucket members (key, fp) in different components."""
-    m = members.join(label, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    m = members.join(label.hint(ALIKE), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     m = stored(m)
     open_keys = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    q = m.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    q = m.join(open_keys.hint(ALIKE), "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     q = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     q = q.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "fp", "root")
-    q = q.join(classes.select("fp", "sig"), "fp")
+    q = stored(q)
+    q = q.join(narrowed(classes.select("fp", "sig"), "fp", q.select("fp").distinct()).hint(ALIKE), "fp")
 
     def test(t: pa.Table) -> pa.RecordBatch | None:
         own, fp, root, sig = t.column("own").to_numpy(), t.column("fp").to_numpy(), t.column("root").to_numpy(), _signatures(t)
@@ -260,19 +263,28 @@ def _residual(members: DataFrame, label: DataFrame, classes: DataFrame) -> DataF
     return in_runs(q, ["key", "one", "two"], test, "a long, b long").distinct()
 
 
+def _classes(scanned: DataFrame) -> DataFrame:
+    """fp, rep, keys, sig: one row per set. Only rows whose fingerprint may occur again are grouped, and so shuffled with keys and signatures."""
+    again = stored(scanned.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
+    several = may_occur(scanned["fp"], again)
+    alone = scanned.where(~several).select("fp", F.col("doc_id").alias("rep"), "keys", "sig")
+    same = F.assert_true(F.min("fp2") == F.max("fp2"), "two different sets share a fingerprint").alias("checked")
+    grouped = scanned.where(several).groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig"), same)
+    return alone.unionByName(grouped.where("checked IS NULL").drop("checked"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = stored(d.mapInArrow(_scan, "doc_id long, n long, fp long, fp2 long, keys array<long>, sig binary"))
-    rows = scanned.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
-    classes = stored(
-        scanned.where("doc_id IS NOT NULL AND fp IS NOT NULL")
-        .groupBy("fp")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig"), F.assert_true(F.min("fp2") == F.max("fp2"), "two different sets share a fingerprint").alias("checked"))
-    ).drop("checked")
+    rows = stored(scanned.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")))
+    classes = stored(_classes(scanned.where("doc_id IS NOT NULL AND fp IS NOT NULL")))
+    release(scanned)
     buckets = classes.select("fp", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("top")).where("lead <> top").select("key", "lead")
-    members = stored(buckets.join(shared, "key").where("fp <> lead"))
+    shared = stored(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    among = stored(narrowed(buckets, "key", shared).join(shared.hint(ALIKE), "key"))
+    leads = among.groupBy("key").agg(F.min("fp").alias("lead"))
+    members = stored(among.join(leads.hint(ALIKE), "key").where("fp <> lead"))
     first = stored(confirm(stored(prune(members.select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct(), classes)), classes, d))
     label = components(first)
     more = stored(_residual(members.select("key", "fp"), label, classes))
@@ -283,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = label.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("least"))
     of_class = reps.join(label.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("least"))
     return (
-        rows.join(of_class, "fp", "left")
+        rows.join(of_class.hint(ALIKE), "fp", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
@@ -293,9 +305,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one row of each group of near duplicates stays: the one with the smallest
     doc_id, and of repeated rows with that id any one."""
     found = stored(near_duplicates(docs))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = stored(found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
     again = found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    # only rows that may go are shuffled with their texts
+    maybe = may_occur(docs["doc_id"], gone)
+    left = docs.where(~maybe).unionByName(docs.where(maybe).join(gone.hint(ALIKE), docs["doc_id"] == F.col("__gone"), "left_anti"))
     if again.isEmpty():
         return left
     once = left.join(again, left["doc_id"] == F.col("__again"), "left_anti")

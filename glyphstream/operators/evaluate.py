@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from .associate import greedy_pairs
+from .ordered import scan
 
 LEAST_TEXT, LEAST_TIME, LEAST_SPACE = 0.55, 0.10, 0.05
 REPORT = ("reference_events", "predicted_events", "matched_events", "event_recall", "text_accuracy", "duplicate_rate", "mean_temporal_iou", "mean_spatial_iou")
@@ -53,15 +54,25 @@ def candidate_pairs(reference: DataFrame, predicted: DataFrame, case: str = "vid
 
 
 def matched(pairs: DataFrame, case: str = "video_id") -> DataFrame:
-    """One-to-one matches: best score first, larger ids first among equals. A case's candidate pairs meet in one row."""
-    entry = F.struct((-F.col("score")).alias("s"), (-F.col("ref_id")).alias("r"), (-F.col("pred_id")).alias("p"), F.col("ref_id").alias("a"), F.col("pred_id").alias("b"))
-    g = pairs.groupBy(case).agg(F.array_sort(F.collect_list(entry)).alias("c"))
-    taken = g.select(case, F.explode(greedy_pairs(F.col("c"))).alias("m"))
-    return taken.select(case, F.col("m.a").alias("ref_id"), F.col("m.b").alias("pred_id"))
+    """One-to-one matches: best score first, larger ids first among equals. An ordered scan that remembers which events are taken."""
+    kind = pairs.schema[case].dataType.simpleString()
+
+    def step(b: pa.RecordBatch, state, ends: bool):
+        refs, preds = state or (set(), set())
+        kept = []
+        for i, (r, p) in enumerate(zip(b.column("ref_id").to_pylist(), b.column("pred_id").to_pylist())):
+            if r not in refs and p not in preds:
+                refs.add(r)
+                preds.add(p)
+                kept.append(i)
+        return b.take(pa.array(kept, pa.int64())).select([case, "ref_id", "pred_id"]), (refs, preds)
+
+    order = {"_s": -F.col("score"), "_r": -F.col("ref_id"), "_p": -F.col("pred_id")}
+    return scan(pairs.select(case, "ref_id", "pred_id", *[c.alias(n) for n, c in order.items()]), [case], list(order), step, f"{case} {kind}, ref_id long, pred_id long")
 
 
 def report(reference: DataFrame, predicted: DataFrame, pairs: DataFrame, matches: DataFrame, case: str = "video_id") -> DataFrame:
-    """The scores of each case; recall and the like are over all its events, accuracy over matched ones (1 where nothing matched)."""
+    """The scores of each case; pairs and matches are read several times, so store them first where they are dear. Recall and the like are over all its events, accuracy over matched ones (1 where nothing matched)."""
     m = matches.join(pairs, [case, "ref_id", "pred_id"])
     text = lambda df, i: df.select(case, F.col("event_id").alias(i), T.bare(F.col("text")).alias(i + "_text"))
     m = m.join(text(reference, "ref_id"), [case, "ref_id"]).join(text(predicted, "pred_id"), [case, "pred_id"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import chunks, evaluate, recognition, segments
+from ..session import stored
 from ..sources.adapters import INTERVALS_SQL, OBS_SQL, intervals, observations, table
 
 DAY = 86_400.0
@@ -250,8 +251,8 @@ MATCH_EVENTS = f"WITH RECURSIVE {_EVALUATION} SELECT * FROM mt"
 
 
 def recall_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(spark, d)
-    return evaluate.report(_reference(spark, d), _predicted(spark, d), pairs, evaluate.matched(pairs))
+    pairs = stored(_pairs(spark, d))
+    return evaluate.report(_reference(spark, d), _predicted(spark, d), pairs, stored(evaluate.matched(pairs)))
 
 
 RECALL_ACCURACY = f"""WITH RECURSIVE {_EVALUATION}, m AS (SELECT p.* FROM mt JOIN pairs p USING (video_id, ref_id, pred_id)),

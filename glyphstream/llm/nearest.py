@@ -9,8 +9,8 @@ best ``n`` rows of a query by the exact inner product, and a query's best ``n``
 Inner products are searched as angles: where norms differ, rows get one more coordinate that makes them equally long, and queries a zero.
 
 Copies: of rows with equal vectors only the n + 1 with the smallest ids are put in the tables, since ties go to smaller ids and so no
-other copy can be among anyone's n nearest; equal query vectors are searched once. Rows of a bucket with more than ``BLOCK`` rows are salted into parts, and its queries visit all parts, so
-that no task gathers a bucket, however many copies it holds. ``k`` follows from the number of rows, so that a
+other copy can be among anyone's n nearest; equal query vectors are searched once. Rows of a bucket with more than ``BLOCK`` rows are salted into parts, its queries likewise, and all parts of both meet, so
+that no task gathers a bucket. ``k`` follows from the number of rows, so that a
 bucket's expected size does not grow with the table. Queries are shuffled PROBES x TABLES times, rows TABLES times.
 
 Cases: vectors that are null, zero, or hold null, NaN or infinite components take no part, nor do those that have another length than most have;
@@ -148,10 +148,15 @@ def search(rows: DataFrame, is_query, n: int = N, tables: int = TABLES, probes:
     alike = stored(queries.groupBy("v").agg(F.min("vec_id").alias("first")))
     indexed = first_copies(d, n + 1, shape["n"]).mapInArrow(index, kind).select("vec_id", "v", keys).select("vec_id", "v", "b.table", "b.bucket")
     indexed = stored(indexed)
-    sizes = indexed.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     asked = alike.select(F.col("first").alias("vec_id"), "v").mapInArrow(probe, kind).select("vec_id", "v", keys).select("vec_id", "v", "b.table", "b.bucket")
-    inside = indexed.join(sizes, ["table", "bucket"]).select("table", "bucket", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("query"), "vec_id", "v")
-    visits = asked.join(sizes, ["table", "bucket"]).select("table", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"), "vec_id", "v")
+    asked = stored(asked)
+    # a bucket's rows and its queries are both split into blocks, and every block of rows meets every block of queries
+    blocks = lambda df, name: df.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = stored(blocks(indexed, "parts").join(blocks(asked, "turns"), ["table", "bucket"]))
+    own = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col(n)).cast("int").alias(n[:-1])
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[:-1])
+    inside = indexed.join(sizes, ["table", "bucket"]).select("table", "bucket", own("parts"), each("turns"), F.lit(False).alias("query"), "vec_id", "v")
+    visits = asked.join(sizes, ["table", "bucket"]).select("table", "bucket", each("parts"), own("turns"), F.lit(True).alias("query"), "vec_id", "v")
 
     def meet(t: pa.Table) -> pa.RecordBatch | None:
         q = t.column("query").combine_chunks().to_numpy(zero_copy_only=False)
@@ -162,7 +167,7 @@ def search(rows: DataFrame, is_query, n: int = N, tables: int = TABLES, probes:
         rows_ = rows_[np.argsort(ids[rows_], kind="stable")]
         return _best(ids[queries], v[queries], ids[rows_], v[rows_], n + 1)
 
-    pairs = in_runs(inside.unionByName(visits), ["table", "bucket", "part"], meet, "first long, vec_id long, score double")
+    pairs = in_runs(inside.unionByName(visits), ["table", "bucket", "part", "turn"], meet, "first long, vec_id long, score double")
     # the same pair has the same score in every bucket; a query's own row is among the n + 1 at most once
     once = pairs.groupBy("first", "vec_id").agg(F.max("score").alias("score"))
     top = stored(_ranked(once, "first").where(F.col("rank") <= n + 1).drop("rank"))

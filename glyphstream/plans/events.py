@@ -295,6 +295,45 @@ def event_page(spark: SparkSession, d: str) -> DataFrame:
 EVENT_PAGE = f"WITH {OBS_SQL} SELECT event_id, t, content FROM obs ORDER BY t, event_id LIMIT 100 OFFSET 200"
 
 
+def stream_info(spark: SparkSession, d: str) -> DataFrame:
+    """What a probe of a stream says: frames, duration (else frames over rate), rate."""
+    n, span = F.count(F.lit(1)), F.max("t") - F.min("t")
+    o = observations(spark, d).groupBy("video_id").agg(n.alias("frames"), span.alias("span"))
+    return o.select("video_id", "frames", F.round(F.coalesce(F.nullif("span", F.lit(0.0)), F.col("frames") / 25.0), 6).alias("duration"), F.round(F.when(F.col("span") > 0, F.col("frames") / F.col("span")), 9).alias("rate"))
+
+
+STREAM_INFO = f"WITH {OBS_SQL}, s AS (SELECT video_id, count(*) AS frames, max(t) - min(t) AS span FROM obs GROUP BY video_id) SELECT video_id, frames, round(coalesce(nullif(span, 0), frames / 25.0::DOUBLE), 6) AS duration, round(CASE WHEN span > 0 THEN frames / span END, 9) AS rate FROM s"
+
+
+def picked_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Those of a fixed set of counters that a profile has."""
+    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    m = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    kept = F.map_filter("m", lambda k, v: k.isin("click", "purchase", "none"))
+    return m.select("user_id", F.array_join(F.array_sort(F.transform(F.map_entries(kept), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))), ",").alias("picked"))
+
+
+PICKED = "SELECT user_id, coalesce(string_agg(event_type || '=' || n::VARCHAR, ',' ORDER BY event_type || '=' || n::VARCHAR) FILTER (WHERE event_type IN ('click', 'purchase', 'none')), '') AS picked FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id"
+
+
+def shifted_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    o = observations(spark, d).select("event_id", F.floor(F.col("t") / WIDTH).cast("long").alias("chunk"), F.col("frame_id").alias("geometry_id"), (F.col("frame_id") + 1).alias("content_id"))
+    return chunks.shifted_ids(o)
+
+
+SHIFTED_IDS = f"WITH {OBS_SQL}, c AS (SELECT event_id, floor(t / {WIDTH}::DOUBLE)::BIGINT AS chunk, frame_id FROM obs) SELECT event_id, chunk, frame_id + chunk * 10000000 AS geometry_id, frame_id + 1 + chunk * 10000000 AS content_id FROM c"
+
+
+def deferred_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Contents whose recognition waits, as they are still being typed."""
+    o = observations(spark, d)
+    wait = recognition.deferred(F.col("tier") == 2, F.col("k") % 4, (F.col("event_id") % 9) / 8)
+    return o.where(wait).select("video_id", "event_id")
+
+
+DEFERRED = f"WITH {OBS_SQL} SELECT video_id, event_id FROM obs WHERE tier <> 2 AND k % 4 < 2 AND event_id % 9 / 8::DOUBLE >= 0.6"
+
+
 # ---------------------------------------------------------------- recognition
 
 
@@ -366,6 +405,10 @@ QUERIES = {
     "latency_percentiles": (latency_percentiles, LATENCY),
     "rank_runs": (rank_runs, RANK_RUNS),
     "event_page": (event_page, EVENT_PAGE),
+    "stream_info": (stream_info, STREAM_INFO),
+    "picked_counters": (picked_counters, PICKED),
+    "shifted_chunk_ids": (shifted_chunk_ids, SHIFTED_IDS),
+    "deferred_tasks": (deferred_tasks, DEFERRED),
     "recognition_cache_join": (recognition_cache_join, CACHE_JOIN),
     "fallback_choice": (fallback_choice, FALLBACK),
     "batch_ids": (batch_ids, BATCH_IDS),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import signature as S
 from ..operators import associate, segments, select, suppress
-from ..sources.adapters import FRAMES_SQL, OBS_SQL, frames_of_boxes, observations, signatures, table
+from ..sources.adapters import FRAMES_SQL, OBS_SQL, SIG_SQL, frames_of_boxes, observations, signatures, table
 
 FRAME_KEYS = ["video_id", "frame"]
 IGNORED = [(0.0, 0.0, 200.0, 120.0), (420.0, 240.0, 640.0, 360.0)]
@@ -238,6 +238,96 @@ def mmr_topk(spark: SparkSession, d: str) -> DataFrame:
     return g.select(*FRAME_KEYS, F.posexplode(select.complementary(F.col("items"), _CANDIDATE)).alias("place", "x")).select(*FRAME_KEYS, "place", F.col("x.id").alias("event_id"))
 
 
+def _mmr_best(pool: str, score: str) -> str:
+    return f"list_sort(list_transform({pool}, lambda p, i: {{'s': -({score}), 'i': i, 'x': p}}))[1].x"
+
+
+def _mmr_apart(other: str) -> str:
+    return f"bit_count(xor(p.sig, {other}.sig)) / 63.0::DOUBLE"
+
+
+_GAIN = "p.quality + 0.35::DOUBLE * (0.7::DOUBLE * {} + 0.3::DOUBLE * abs(p.complete - seed.complete))"
+_PAIR_GAIN, _TRIPLE_GAIN = _GAIN.format(f"({_mmr_apart('seed')})"), _GAIN.format(f"least({_mmr_apart('seed')}, {_mmr_apart('second')})")
+_BY_QUALITY = "list_transform(list_sort(list_transform(pool, lambda p, i: {'s': -p.quality, 'i': i, 'x': p})), lambda k: k.x)"
+MMR = f"""WITH RECURSIVE {_QUALITY}, {SIG_SQL},
+cand AS (SELECT video_id, frame_id // 8 AS frame, row_number() OVER (PARTITION BY video_id, frame_id // 8 ORDER BY frame_id) AS rn, {{'n': frame_id, 'id': event_id, 'sig': sig, 'complete': complete::DOUBLE, 'quality': quality}} AS x FROM q JOIN sigs ON vec_id = event_id % 500),
+m AS (
+  SELECT video_id, frame, rn, [x] AS kept FROM cand WHERE rn = 1
+  UNION ALL
+  SELECT video_id, frame, rn, CASE WHEN len(pool) <= 3 THEN {_BY_QUALITY} ELSE [seed, second, {_mmr_best("rest2", _TRIPLE_GAIN)}] END
+  FROM (SELECT *, list_filter(rest, lambda p: p.n <> second.n) AS rest2
+    FROM (SELECT *, {_mmr_best("rest", _PAIR_GAIN)} AS second
+      FROM (SELECT *, list_filter(pool, lambda p: p.n <> seed.n) AS rest
+        FROM (SELECT *, {_mmr_best("pool", "p.quality")} AS seed
+          FROM (SELECT c.video_id, c.frame, c.rn, list_append(m.kept, c.x) AS pool FROM m JOIN cand c ON c.video_id = m.video_id AND c.frame = m.frame AND c.rn = m.rn + 1)))))
+), last AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY rn DESC) = 1)
+SELECT video_id, frame, (unnest(range(1, len(kept) + 1)) - 1)::INT AS place, unnest(kept).id AS event_id FROM last"""
+
+
+def refresh_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Scopes that neither a box nor the refresh scope (the first box's overflow envelope) covers, and that refresh scope itself (id -1)."""
+    f = _frame_arrays(spark, d).where(F.size("boxes") > 0)
+    f = f.withColumn("fresh", G.overflow_envelope(G.box_in(F.col("boxes")[0]), F.array().cast("array<struct<l:double,t0:double,r:double,b0:double>>")))
+    left = F.filter(suppress.uncovered(F.col("scopes"), F.col("boxes")), lambda s: G.either_covers(G.box_in(s), G.box_in(F.col("fresh"))) < suppress.COVERED)
+    ids = F.concat(F.transform(left, lambda s: s["id"]), F.array(F.lit(-1).cast("long")))
+    return f.select(*FRAME_KEYS, F.explode(ids).alias("event_id"))
+
+
+_FRESH = f"""WITH {FRAMES_SQL}, fresh AS (SELECT video_id, frame, l - 0.6::DOUBLE * (r - l) AS l, t0 - 2 * (b0 - t0) AS t0, r + 0.6::DOUBLE * (r - l) AS r, b0 + 2 * (b0 - t0) AS b0 FROM framed WHERE tier <> 1 QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY event_id) = 1)"""
+REFRESH_SCOPES = f"""{_FRESH} SELECT s.video_id, s.frame, s.event_id FROM framed s JOIN fresh f ON f.video_id = s.video_id AND f.frame = s.frame AND s.tier = 1 AND {G.sql_either('s.', 'f.')} < {suppress.COVERED}
+WHERE NOT EXISTS (SELECT 1 FROM framed o WHERE o.video_id = s.video_id AND o.frame = s.frame AND o.tier <> 1 AND {G.sql_either('s.', 'o.')} >= {suppress.COVERED}) UNION ALL SELECT video_id, frame, -1 FROM fresh"""
+
+
+def refreshed_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """How many of a frame's boxes lie in its refresh scope: two or more rest longer."""
+    f = _frame_arrays(spark, d).where(F.size("boxes") > 0)
+    f = f.withColumn("fresh", G.overflow_envelope(G.box_in(F.col("boxes")[0]), F.col("boxes").cast("array<struct<id:bigint,l:double,t0:double,r:double,b0:double>>")))
+    n = F.size(F.filter("boxes", lambda b: G.either_covers(G.box_in(b), G.box_in(F.col("fresh"))) >= suppress.COVERED))
+    area = F.aggregate("scopes", F.lit(0.0), lambda a, s: a + G.area(G.box_in(s)))
+    return f.select(*FRAME_KEYS, n.alias("inside"), F.when(n >= 2, 5.0).otherwise(2.25).alias("rest"), F.when(F.size("scopes") > 0, area).otherwise(F.lit(640.0 * 360)).alias("scope_area"))
+
+
+REFRESHED_BOXES = f"""WITH {FRAMES_SQL}, b AS (SELECT * FROM framed WHERE tier <> 1), first AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY event_id) = 1),
+fresh AS (SELECT f.video_id, f.frame, least(f.l - 0.6::DOUBLE * (f.r - f.l), min(b.l)) AS l, least(f.t0 - 2 * (f.b0 - f.t0), min(b.t0)) AS t0, greatest(f.r + 0.6::DOUBLE * (f.r - f.l), max(b.r)) AS r, greatest(f.b0 + 2 * (f.b0 - f.t0), max(b.b0)) AS b0
+  FROM first f JOIN b USING (video_id, frame) GROUP BY f.video_id, f.frame, f.l, f.t0, f.r, f.b0),
+n AS (SELECT f.video_id, f.frame, (count(*) FILTER (WHERE {G.sql_either('b.', 'f.')} >= {suppress.COVERED}))::INT AS inside FROM fresh f JOIN b ON b.video_id = f.video_id AND b.frame = f.frame GROUP BY ALL),
+sc AS (SELECT video_id, frame, sum((r - l) * (b0 - t0)) AS area FROM framed WHERE tier = 1 GROUP BY ALL)
+SELECT video_id, frame, inside, CASE WHEN inside >= 2 THEN 5 ELSE 2.25 END::DOUBLE AS rest, coalesce(area, 230400)::DOUBLE AS scope_area FROM n LEFT JOIN sc USING (video_id, frame)"""
+
+
+def guided_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks fit for projection: confident, slow for the frame's diagonal, and outside the ignored regions."""
+    w = segments.over(["video_id", "content"], "frame_id")
+    o = observations(spark, d)
+    x, y = (F.col("l") + F.col("r")) / 2, (F.col("t0") + F.col("b0")) / 2
+    o = o.withColumn("speed", F.coalesce(F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w)), F.lit(0.0)) / DIAGONAL)
+    return o.where((F.col("confidence") >= 0.45) & (F.col("speed") <= 0.3) & ~suppress.excluded(G.box_cols(), IGNORED)).select("video_id", "event_id")
+
+
+_IGNORED = f"i(gl, gt0, gr, gb0) AS (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)' for a, b, c, e in IGNORED)})"
+GUIDED_GATE = f"""WITH {OBS_SQL}, v AS (SELECT *, coalesce(sqrt(pow((l + r) / 2 - lag((l + r) / 2) OVER w, 2) + pow((t0 + b0) / 2 - lag((t0 + b0) / 2) OVER w, 2)), 0) / {DIAGONAL}::DOUBLE AS speed FROM obs WINDOW w AS (PARTITION BY video_id, content ORDER BY frame_id)), {_IGNORED}
+SELECT video_id, event_id FROM v WHERE confidence >= 0.45 AND speed <= 0.3 AND NOT EXISTS (SELECT 1 FROM i WHERE {G.sql_coverage('v.', 'i.g')} >= {suppress.EXCLUDED})"""
+
+
+def tier_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that reach the least score of their tier: 0.35 fast, 0.28 local, 0.22 audit."""
+    least = F.when(F.col("tier") == 0, 0.35).when(F.col("tier") == 1, 0.28).otherwise(0.22)
+    return observations(spark, d).where(F.col("confidence") >= least).select("video_id", "event_id", "tier")
+
+
+TIER_THRESHOLDS = f"WITH {OBS_SQL} SELECT video_id, event_id, tier FROM obs WHERE confidence >= CASE tier WHEN 0 THEN 0.35 WHEN 1 THEN 0.28 ELSE 0.22 END::DOUBLE"
+
+
+def lanes_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of signatures in two lanes; 1 where a lane is missing."""
+    s = signatures(spark, d)
+    two = s.select("vec_id", F.array("sig", F.col("sig") * 0 + F.col("vec_id")).alias("a"), F.when(F.col("vec_id") % 9 == 0, F.array("sig")).otherwise(F.array(F.col("sig").bitwiseXOR(F.lit(1023)), F.lit(5).cast("long"))).alias("b"))
+    return two.select("vec_id", F.round(S.lanes_distance(F.col("a"), F.col("b")), 9).alias("distance"))
+
+
+LANES_DISTANCE = f"WITH {SIG_SQL} SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN 1::DOUBLE ELSE round((10 + bit_count(xor(vec_id, 5::BIGINT))) / 128.0::DOUBLE, 9) END AS distance FROM sigs"
+
+
 QUERIES = {
     "region_to_pixels": (region_to_pixels, REGION_TO_PIXELS),
     "quad_order": (quad_order, QUAD_ORDER),
@@ -255,5 +345,10 @@ QUERIES = {
     "candidate_quality": (candidate_quality, QUALITY),
     "best_candidate": (best_candidate, BEST),
     "motion_validity": (motion_validity, MOTION),
-    "mmr_topk": (mmr_topk, None),
+    "mmr_topk": (mmr_topk, MMR),
+    "refresh_scopes": (refresh_scopes, REFRESH_SCOPES),
+    "refreshed_boxes": (refreshed_boxes, REFRESHED_BOXES),
+    "guided_gate": (guided_gate, GUIDED_GATE),
+    "tier_thresholds": (tier_thresholds, TIER_THRESHOLDS),
+    "lanes_distance": (lanes_distance, LANES_DISTANCE),
 }

@@ -37,8 +37,10 @@ _SEED = 5
 
 
 def valid(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): usable vectors as double arrays, one for each vec_id."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """(vec_id, v): usable vectors, one for each vec_id, as they are stored if as floats or doubles."""
+    v = F.col("embedding")
+    if rows.schema["embedding"].dataType.elementType.simpleString() not in ("float", "double"):
+        v = F.transform(v, lambda x: x.cast("double"))
     d = rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     d = d.where(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
@@ -105,7 +107,7 @@ def probe_buckets(x: np.ndarray, k: int, probes: int = PROBES, tables: int = TAB
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
@@ -142,14 +144,17 @@ def search(rows: DataFrame, is_query, n: int = N, tables: int = TABLES, probes:
         for b in batches:
             yield _hashed(b, probe_buckets(padded(_matrix(b.column("v")), longest, True), k, probes, tables))
 
-    kind = "vec_id long, v array<double>, buckets array<struct<table:int,bucket:long>>"
-    keys = F.explode("buckets").alias("b")
+    kind = f"vec_id long, v {d.schema['v'].dataType.simpleString()}, buckets array<struct<table:int,bucket:long>>"
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.select("vec_id", "v", F.explode("buckets").alias("b")).select("vec_id", "v", "b.table", "b.bucket")
+
     queries = d.where(is_query(F.col("vec_id")))
     alike = stored(queries.groupBy("v").agg(F.min("vec_id").alias("first")))
-    indexed = first_copies(d, n + 1, shape["n"]).mapInArrow(index, kind).select("vec_id", "v", keys).select("vec_id", "v", "b.table", "b.bucket")
-    indexed = stored(indexed)
-    asked = alike.select(F.col("first").alias("vec_id"), "v").mapInArrow(probe, kind).select("vec_id", "v", keys).select("vec_id", "v", "b.table", "b.bucket")
-    asked = stored(asked)
+    indexed = first_copies(d, n + 1, shape["n"]).mapInArrow(index, kind)
+    indexed = spread(stored(indexed))
+    asked = alike.select(F.col("first").alias("vec_id"), "v").mapInArrow(probe, kind)
+    asked = spread(stored(asked))
     # a bucket's rows and its queries are both split into blocks, and every block of rows meets every block of queries
     blocks = lambda df, name: df.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     sizes = stored(blocks(indexed, "parts").join(blocks(asked, "turns"), ["table", "bucket"]))
@@ -181,7 +186,7 @@ def _ranked(pairs: DataFrame, by: str) -> DataFrame:
 
 
 def _norm(v: str):
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
 def _hashed(b: pa.RecordBatch, buckets: np.ndarray) -> pa.RecordBatch:

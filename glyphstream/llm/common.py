@@ -170,14 +170,17 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def in_runs(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+def in_runs(df: DataFrame, keys: list[str], function, schema: str, after=None) -> DataFrame:
     """Applies a function of a table to each run of like keys, without a Python call per group for its plumbing. The function
-    returns a RecordBatch or None."""
+    returns a RecordBatch or None; ``after``, if given, turns a task's batches into others."""
 
-    def run(batches):
+    def each(batches):
         for t in runs(batches, keys):
             out = function(t)
             if out is not None and out.num_rows:
                 yield out
 
+    def run(batches):
+        yield from each(batches) if after is None else after(each(batches))
+
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -21,6 +21,7 @@ gives an empty result; columns other than vec_id and embedding are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,7 +173,7 @@ def search(rows: DataFrame, is_query, n: int = N, tables: int = TABLES, probes:
         rows_ = rows_[np.argsort(ids[rows_], kind="stable")]
         return _best(ids[queries], v[queries], ids[rows_], v[rows_], n + 1)
 
-    pairs = in_runs(inside.unionByName(visits), ["table", "bucket", "part", "turn"], meet, "first long, vec_id long, score double")
+    pairs = in_runs(inside.unionByName(visits), ["table", "bucket", "part", "turn"], meet, "first long, vec_id long, score double", lambda found: compacted(found, n + 1))
     # the same pair has the same score in every bucket; a query's own row is among the n + 1 at most once
     once = pairs.groupBy("first", "vec_id").agg(F.max("score").alias("score"))
     top = stored(_ranked(once, "first").where(F.col("rank") <= n + 1).drop("rank"))
@@ -197,6 +198,33 @@ def _hashed(b: pa.RecordBatch, buckets: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.ListArray.from_arrays(offsets, items)], names=["vec_id", "v", "buckets"])
 
 
+def compacted(found: Iterator[pa.RecordBatch], n: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A task's finds, each pair once and each query's best ``n`` only; handed on whenever ``most`` do not shrink by half, so that what is held is bounded."""
+    held, rows = [], 0
+
+    def best() -> pa.RecordBatch:
+        first, vec, score = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
+        order = np.lexsort((vec, -score, first))
+        first, vec, score = first[order], vec[order], score[order]
+        new = np.ones(len(first), dtype=bool)
+        new[1:] = (first[1:] != first[:-1]) | (vec[1:] != vec[:-1])
+        first, vec, score = first[new], vec[new], score[new]
+        keep = np.arange(len(first)) - np.searchsorted(first, first) < n
+        return pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(vec[keep]), pa.array(score[keep])], names=["first", "vec_id", "score"])
+
+    for b in found:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= most:
+            held = [best()]
+            rows = held[0].num_rows
+            if rows > most // 2:
+                yield held[0]
+                held, rows = [], 0
+    if held:
+        yield best()
+
+
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in an order of sums that does not depend on the matrices' shapes."""
     s = np.zeros(len(a))

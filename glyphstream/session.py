@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,3 +78,17 @@ def drop_stored(spark: SparkSession) -> None:
     """Delete the tables that ``stored`` has written in this process."""
     while _stored:
         _delete(spark, _stored.pop())
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that they need not find it on their own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_glyphstream_shipped", False):
+        return
+    package = Path(__file__).parent
+    place = Path(tempfile.mkdtemp(prefix="glyphstream-")) / "glyphstream.zip"
+    with zipfile.ZipFile(place, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(str(place))
+    sc._glyphstream_shipped = True

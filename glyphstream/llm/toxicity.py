@@ -198,7 +198,7 @@ def _learn_terms(rows: DataFrame, least_g2: float = 18.0, contexts: int = 4, mos
     return {r["w"]: min(1.0, r["odds"] / 6) for r in kept.orderBy(F.desc("g2"), "w").limit(most).collect()}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
     """Newton's method with a ridge on all but the intercept."""
     a = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(a.shape[1])

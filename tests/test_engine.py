@@ -111,3 +111,14 @@ def test_run_over_tables(spark):
     merged = E.run(frames, detector, recognizer, chunk_sec=3.0).orderBy("start").collect()
     assert [r.text for r in merged][:1] == [whole[0].text.strip()] and len(merged) == 2 and max(r.stop for r in merged) == 5.5
     assert E.run(frames.where("false"), detector, recognizer).count() == 0
+
+
+def test_runs_are_ranked_by_completeness(spark):
+    from glyphstream.benchmark import compare
+
+    kind = "video_id long, event_id long, start double, stop double, text string, history array<struct<t:double,l:double,t0:double,r:double,b0:double>>"
+    box = [(0.0, 10.0, 10.0, 110.0, 50.0)]
+    reference = spark.createDataFrame([(v, e, 10.0 * e, 10.0 * e + 5, f"line {e}", box) for v in (1, 2) for e in (1, 2)], kind)
+    got = compare({"half": lambda: reference.where("event_id = 1"), "all": lambda: reference, "twice": lambda: reference.unionByName(reference.withColumn("event_id", F.col("event_id") + 10))}, reference, 60.0)
+    assert [r["name"] for r in got] == ["all", "twice", "half"]
+    assert [r["event_recall"] for r in got] == [1.0, 1.0, 0.5] and got[1]["duplicate_rate"] == 0.5

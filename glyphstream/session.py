@@ -92,3 +92,15 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{package.name}/{f.relative_to(package)}")
     sc.addPyFile(str(place))
     sc._glyphstream_shipped = True
+
+
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and lower the size of Arrow batches from Spark's default (64 MB) to BATCH_BYTES, as a worker holds a batch of long texts
+    several times over; another setting of the session stays."""
+    ship(spark)
+    if spark.conf.get(_BATCH, None) == "67108864b":
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")

@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstream.llm import decontam, mixing, neardup, pii, toxicity
 from glyphstream.llm.common import stored, table
+from glyphstream.session import prepare
+
+
+def _prepared(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_prepared
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject."""
     return toxicity.reject(docs, toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")))
 
 
+@_prepared
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return neardup.keep_one(docs)
 
 
+@_prepared
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontam.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_prepared
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars is that of the new text."""
     return docs.withColumn("text", pii.redacted(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_prepared
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words the mix takes from each document, by its source's target."""
     return mixing.mix(docs)

@@ -10,8 +10,11 @@ Inner products are searched as angles: where norms differ, rows get one more coo
 
 Copies: of rows with equal vectors only the n + 1 with the smallest ids are put in the tables, since ties go to smaller ids and so no
 other copy can be among anyone's n nearest; equal query vectors are searched once. Rows of a bucket with more than ``BLOCK`` rows are salted into parts, its queries likewise, and all parts of both meet, so
-that no task gathers a bucket. ``k`` follows from the number of rows, so that a
-bucket's expected size does not grow with the table. Queries are shuffled PROBES x TABLES times, rows TABLES times.
+that no task gathers a bucket.
+
+Choice: the exact neighbours of SAMPLE queries are found first. The largest ``k``, up to the one that leaves ``BUCKET`` rows in a bucket, and the
+fewest probes, PROBES to WIDEST x PROBES, whose buckets hold TARGET of those neighbours are taken. Where none do, where they would compare half of all pairs or more,
+or where all rows make one bucket, ``k`` is 0: every query meets every row in blocks, and the result is exact. Queries are shuffled probes x TABLES times and rows TABLES times, or by blocks where ``k`` is 0.
 
 Cases: vectors that are null, zero, or hold null, NaN or infinite components take no part, nor do those that have another length than most have;
 rows with a null vec_id take no part; of rows with equal vec_id the one with the smallest vector counts; ties go to the smaller vec_id; fewer rows than asked for give them all; an empty table
@@ -34,6 +37,8 @@ N = 20
 TABLES, PROBES = 8, 16
 BUCKET = 256  # rows that a bucket shall hold on average
 BLOCK = 4096
+SAMPLE, TARGET = 64, 0.95  # queries whose recall is measured, and the recall that they shall have
+WIDEST = 4  # times PROBES
 _SEED = 5
 
 
@@ -124,6 +129,38 @@ def padded(v: np.ndarray, longest: float | None, query: bool) -> np.ndarray:
     return np.pad(v, ((0, 0), (0, (1 << max(1, (v.shape[1] - 1).bit_length())) - v.shape[1])))
 
 
+def choice(q: np.ndarray, near: np.ndarray, of: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES) -> tuple[int, int]:
+    """(k, probes): the largest ``k`` and the fewest probes whose buckets hold TARGET of the rows ``near``, the true neighbours of the queries ``q[of]``; (0, 1) if none do."""
+    values = 2 * q.shape[1]
+    for h in range(k, 0, -1):
+        buckets, p = row_buckets(near, h, tables), probes
+        while p <= WIDEST * probes and 2 * tables * p < values**h:
+            if len(of) and (probe_buckets(q, h, p, tables)[of] == buckets[:, :, None]).any((1, 2)).mean() >= TARGET:
+                return h, p
+            p *= 2
+    return 0, 1
+
+
+def _sampled(d: DataFrame, alike: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors of SAMPLE queries, vectors of their exact ``n`` neighbours, whose each of these is)."""
+    some = alike.orderBy(F.xxhash64("first"), "first").limit(SAMPLE).collect()
+    qids, q = np.array([r["first"] for r in some], dtype=np.int64), np.array([r["v"] for r in some], dtype=np.float64)
+
+    def best(batches):
+        for b in batches:
+            ids, v = b.column("vec_id").to_numpy(), _matrix(b.column("v"))
+            order = np.argsort(ids, kind="stable")
+            if len(ids):
+                got = _best(qids, q, ids[order], v[order], n + 1)
+                at = order[np.searchsorted(ids[order], got.column(1).to_numpy())]
+                yield pa.RecordBatch.from_arrays([*got.columns, b.column("v").take(pa.array(at))], names=["first", "vec_id", "score", "v"])
+
+    pairs = d.mapInArrow(best, f"first long, vec_id long, score double, v {d.schema['v'].dataType.simpleString()}").where("first <> vec_id")
+    found = _ranked(pairs, "first").where(F.col("rank") <= n).select("first", "v").collect()
+    place = {i: k for k, i in enumerate(qids.tolist())}
+    return q, np.array([r["v"] for r in found], dtype=np.float64).reshape(len(found), q.shape[1]), np.array([place[r["first"]] for r in found], dtype=np.int64)
+
+
 def search(rows: DataFrame, is_query, n: int = N, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` marks, its ``n`` nearest rows found."""
     spark = rows.sparkSession
@@ -135,27 +172,51 @@ def search(rows: DataFrame, is_query, n: int = N, tables: int = TABLES, probes:
     d = d.where(F.size("v") == shape["dim"])
     longest = shape["hi"] if shape["lo"] < 0.99 * shape["hi"] else None
     values = 2 << (shape["dim"] + (longest is not None) - 1).bit_length()
-    k = max(1, round(math.log(max(1, shape["n"] / bucket), values)))
+    queries = d.where(is_query(F.col("vec_id")))
+    alike = stored(queries.groupBy("v").agg(F.min("vec_id").alias("first")))
+    k = max(1, round(math.log(max(1, shape["n"] / bucket), values))) if shape["n"] > bucket else 0
+    if any(2 * tables * probes < values**h for h in range(1, k + 1)):
+        q, near, of = _sampled(d, alike, n)
+        k, probes = choice(padded(q, longest, True), padded(near, longest, False), of, k, tables, probes) if len(q) else (0, 1)
+    else:
+        k = 0
+    if not k:
+        tables = probes = 1
 
     def index(batches):
         for b in batches:
             yield _hashed(b, row_buckets(padded(_matrix(b.column("v")), longest, False), k, tables)[:, :, None])
 
     def probe(batches):
-        for b in batches:
-            yield _hashed(b, probe_buckets(padded(_matrix(b.column("v")), longest, True), k, probes, tables))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                yield _hashed(b, probe_buckets(padded(_matrix(b.column("v")), longest, True), k, probes, tables))
 
     kind = f"vec_id long, v {d.schema['v'].dataType.simpleString()}, buckets array<struct<table:int,bucket:long>>"
 
     def spread(df: DataFrame) -> DataFrame:
         return df.select("vec_id", "v", F.explode("buckets").alias("b")).select("vec_id", "v", "b.table", "b.bucket")
 
-    queries = d.where(is_query(F.col("vec_id")))
-    alike = stored(queries.groupBy("v").agg(F.min("vec_id").alias("first")))
-    indexed = first_copies(d, n + 1, shape["n"]).mapInArrow(index, kind)
-    indexed = spread(stored(indexed))
-    asked = alike.select(F.col("first").alias("vec_id"), "v").mapInArrow(probe, kind)
-    asked = spread(stored(asked))
+    copies = stored(first_copies(d, n + 1, shape["n"]))
+    question = alike.select(F.col("first").alias("vec_id"), "v")
+    if k:
+        indexed, asked = (spread(stored(df.mapInArrow(f, kind))) for df, f in ((copies, index), (question, probe)))
+    else:
+        indexed, asked = _in_one(copies), _in_one(question)
+    top = stored(_met(indexed, asked, n + 1, block))
+    own = queries.join(alike, "v").select(F.col("vec_id").alias("query_id"), "first")
+    found = own.join(top, "first").where("query_id <> vec_id").drop("first")
+    return _ranked(found, "query_id").where(F.col("rank") <= n).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _in_one(df: DataFrame) -> DataFrame:
+    """All rows in one bucket of one table."""
+    return df.select("vec_id", "v", F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"))
+
+
+def _met(indexed: DataFrame, asked: DataFrame, n: int, block: int) -> DataFrame:
+    """first, vec_id, score: the best ``n`` rows of the buckets that each query looks in."""
     # a bucket's rows and its queries are both split into blocks, and every block of rows meets every block of queries
     blocks = lambda df, name: df.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     sizes = stored(blocks(indexed, "parts").join(blocks(asked, "turns"), ["table", "bucket"]))
@@ -169,17 +230,14 @@ def search(rows: DataFrame, is_query, n: int = N, tables: int = TABLES, probes:
         if not q.any() or q.all():
             return None
         ids, v = t.column("vec_id").to_numpy(), _matrix(t.column("v").combine_chunks())
-        rows_, queries = np.flatnonzero(~q), np.flatnonzero(q)
-        rows_ = rows_[np.argsort(ids[rows_], kind="stable")]
-        return _best(ids[queries], v[queries], ids[rows_], v[rows_], n + 1)
+        rows, queries = np.flatnonzero(~q), np.flatnonzero(q)
+        rows = rows[np.argsort(ids[rows], kind="stable")]
+        return _best(ids[queries], v[queries], ids[rows], v[rows], n)
 
-    pairs = in_runs(inside.unionByName(visits), ["table", "bucket", "part", "turn"], meet, "first long, vec_id long, score double", lambda found: compacted(found, n + 1))
-    # the same pair has the same score in every bucket; a query's own row is among the n + 1 at most once
+    pairs = in_runs(inside.unionByName(visits), ["table", "bucket", "part", "turn"], meet, "first long, vec_id long, score double", lambda found: compacted(found, n))
+    # the same pair has the same score in every bucket; a query's own row is among them at most once
     once = pairs.groupBy("first", "vec_id").agg(F.max("score").alias("score"))
-    top = stored(_ranked(once, "first").where(F.col("rank") <= n + 1).drop("rank"))
-    own = queries.join(alike, "v").select(F.col("vec_id").alias("query_id"), "first")
-    found = own.join(top, "first").where("query_id <> vec_id").drop("first")
-    return _ranked(found, "query_id").where(F.col("rank") <= n).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _ranked(once, "first").where(F.col("rank") <= n).drop("rank")
 
 
 def _ranked(pairs: DataFrame, by: str) -> DataFrame:

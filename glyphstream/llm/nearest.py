@@ -14,7 +14,8 @@ that no task gathers a bucket.
 
 Choice: the exact neighbours of SAMPLE queries are found first. The largest ``k``, up to the one that leaves ``BUCKET`` rows in a bucket, and the
 fewest probes, PROBES to WIDEST x PROBES, whose buckets hold TARGET of those neighbours are taken. Where none do, where they would compare half of all pairs or more,
-or where all rows make one bucket, ``k`` is 0: every query meets every row in blocks, and the result is exact. Queries are shuffled probes x TABLES times and rows TABLES times, or by blocks where ``k`` is 0.
+or where all rows make one bucket, ``k`` is 0: every query meets every row in blocks, and the result is exact. Queries that find fewer rows than asked for
+are searched so too. Queries are shuffled probes x TABLES times and rows TABLES times, or by blocks where ``k`` is 0.
 
 Cases: vectors that are null, zero, or hold null, NaN or infinite components take no part, nor do those that have another length than most have;
 rows with a null vec_id take no part; of rows with equal vec_id the one with the smallest vector counts; ties go to the smaller vec_id; fewer rows than asked for give them all; an empty table
@@ -205,6 +206,12 @@ def search(rows: DataFrame, is_query, n: int = N, tables: int = TABLES, probes:
     else:
         indexed, asked = _in_one(copies), _in_one(question)
     top = stored(_met(indexed, asked, n + 1, block))
+    if k:
+        counts = top.groupBy("first").agg(F.count(F.lit(1)).alias("found"))
+        short = stored(question.join(counts, F.col("vec_id") == F.col("first"), "left").where(F.coalesce("found", F.lit(0)) < min(n + 1, copies.count())).select("vec_id", "v"))
+        if not short.isEmpty():
+            again = _met(_in_one(copies), _in_one(short), n + 1, block)
+            top = top.join(short.select(F.col("vec_id").alias("first")), "first", "left_anti").unionByName(again)
     own = queries.join(alike, "v").select(F.col("vec_id").alias("query_id"), "first")
     found = own.join(top, "first").where("query_id <> vec_id").drop("first")
     return _ranked(found, "query_id").where(F.col("rank") <= n).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -38,3 +38,14 @@ def test_hashes_are_used_where_they_find_enough(spark):
     near, of = np.concatenate([m[i * 25 + 1 : i * 25 + 21] for i in range(40)]), np.repeat(np.arange(40), 20)
     assert nearest.choice(m[: 40 * 25 : 25], near, of, 2)[0] == 2
     assert recall(spark, m, bucket=1)[0] >= 0.9
+
+
+def test_small_tables_are_searched_whole(spark):
+    rng = np.random.default_rng(5)
+    for rows in (15, 25, 60):
+        assert recall(spark, unit(rng, rows, 64)) == (1.0, min(20, rows - 1))
+
+
+def test_queries_that_find_few_rows_are_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "choice", lambda *_: (1, 1))
+    assert recall(spark, unit(np.random.default_rng(6), 500, 512)) == (1.0, 20)

@@ -10,8 +10,8 @@ distance ``max_edits`` (a share of the item's length) of the item.
 2. *CGK.* A random walk copies a window into a string of twice its length, advancing on a character if a random function of (step, character) says
    so. Strings at edit distance k become strings at Hamming distance O(k^2) with constant probability, for each of WALKS walks.
 3. *Bit sampling.* Of every walk, TABLES sets of BITS positions are compared; a window that agrees with its item on any is a
-   candidate. WALKS x TABLES sets are chosen to find windows at the allowed distance with probability RECALL or more (measured in
-   the tests); windows alike in a few common words only seldom agree.
+   candidate. WALKS x TABLES sets are chosen to find windows at the allowed distance, insertions and deletions among the edits, with
+   probability RECALL or more (measured in the tests); windows alike in a few common words only seldom agree.
 4. *Verification.* Candidates are confirmed by Myers' bit-parallel algorithm, exactly, the window being widened by the
    number of edits.
 
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import chunks, pair_hash, text_bytes, word_table
 
 MAX_EDITS = 0.08
-WALKS, TABLES, BITS = 4, 6, 10
+WALKS, TABLES, BITS = 4, 24, 5
+RECALL = 0.9  # at the allowed distance
 NEED = 0.15  # share of an item's shingles that a window must hold
 WINDOWS = 1024  # embedded together
 BLOCK_BYTES = 8 << 20

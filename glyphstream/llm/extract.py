@@ -246,8 +246,9 @@ def matching(a: list, b: list) -> list[tuple[list, list]]:
 
 # ---------------------------------------------------------------- wrappers
 #
-# A wrapper is a tree of [key, children, hash], where hash is None before any text was seen, a text's hash while
-# that is the only one, and VARIES after; with it goes a sorted list of up to MIN_PAGES different page hashes.
+# A wrapper is a tree of [key, children, hash, pages], where hash is None before any text was seen, a text's hash while
+# that is the only one, and VARIES after; pages are up to MIN_PAGES different hashes of pages that have the only text.
+# With the tree goes a sorted list of up to MIN_PAGES different page hashes.
 
 VARIES = "*"
 
@@ -256,18 +257,27 @@ def _join(a: str | None, b: str | None) -> str | None:
     return b if a is None else a if b is None or a == b else VARIES
 
 
+def _see(slot: list, hash_: str | None, pages: list[str]) -> None:
+    """Adds to a slot a text and pages that have it."""
+    slot[2] = _join(slot[2], hash_)
+    if slot[2] == VARIES:
+        slot[3] = []
+    elif hash_ is not None and len(slot[3]) < MIN_PAGES:
+        slot[3] = sorted({*slot[3], *pages})[:MIN_PAGES]
+
+
 def fold(wrapper: list, tree: list) -> dict[int, list]:
-    """Folds a tree into a wrapper, both of [key, children, hash]; gives the slot of each node of the tree by id."""
+    """Folds a tree into a wrapper, both of [key, children, hash, pages]; gives the slot of each node of the tree by id."""
     slots = {id(y): x for x, y in matching(wrapper, tree)}
 
     def insert(x: list, y: list) -> None:
-        x[2] = _join(x[2], y[2])
+        _see(x, y[2], y[3])
         at = 0
         for k in y[1]:
             if id(k) in slots:
                 at = next(i for i, c in enumerate(x[1]) if c is slots[id(k)]) + 1
             else:
-                slots[id(k)] = fresh = [k[0], [], None]
+                slots[id(k)] = fresh = [k[0], [], None, []]
                 x[1].insert(at, fresh)
                 at += 1
             insert(slots[id(k)], k)
@@ -277,7 +287,7 @@ def fold(wrapper: list, tree: list) -> dict[int, list]:
 
 
 def merged(parts: list[tuple[list, list[str]]]) -> tuple[list, list[str]]:
-    wrapper, pages = ["", [], None], set()
+    wrapper, pages = ["", [], None, []], set()
     for tree, some in sorted(parts, key=lambda p: json.dumps(p, sort_keys=True)):
         fold(wrapper, tree)
         pages |= set(some)
@@ -316,18 +326,17 @@ def _partial(batches):
     hosts: dict[str, tuple[list, set, dict]] = {}
     for b in batches:
         for host, shape, nodes, page in zip(*(b.column(c).to_pylist() for c in ("host", "shape", "nodes", "page"))):
-            wrapper, pages, known = hosts.setdefault(host, (["", [], None], set(), {}))
+            wrapper, pages, known = hosts.setdefault(host, (["", [], None, []], set(), {}))
             if shape not in known:
                 tree = tree_of(shape)
                 flat = list(_nodes(tree))
                 for x in flat:
-                    x[2] = None
+                    x[2:] = None, []
                 slots = fold(wrapper, tree)
                 known[shape] = [slots[id(x)] for x in flat]
             slots = known[shape]
             for r in nodes:
-                slot = slots[r["node"]]
-                slot[2] = _join(slot[2], r["hash"])
+                _see(slots[r["node"]], r["hash"], [page])
             pages.add(page)
             if len(pages) > 4 * MIN_PAGES:
                 hosts[host] = (wrapper, set(sorted(pages)[:MIN_PAGES]), known)
@@ -342,8 +351,8 @@ def _merge(t: pa.Table) -> pa.RecordBatch:
 
 
 def template_nodes(wrapper: list, shape: str) -> list[int]:
-    """Nodes of the shape whose slot holds one text only."""
-    return sorted(y[2] for x, y in matching(wrapper, tree_of(shape)) if x[2] not in (None, VARIES) and x[0].partition(".")[0] != "h1")
+    """Nodes of the shape whose slot holds one text only, on MIN_PAGES differing pages."""
+    return sorted(y[2] for x, y in matching(wrapper, tree_of(shape)) if x[2] not in (None, VARIES) and len(x[3]) >= MIN_PAGES and x[0].partition(".")[0] != "h1")
 
 
 def _decide(batches):

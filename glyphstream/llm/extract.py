@@ -49,7 +49,8 @@ ENDS_P = BLOCK - {"html", "body"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>?)|<[!?/][^>]*>?", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+BESIDE = frozenset("no not non has have with without".split())  # a class that says what is beside the element, or is not
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[a-z]+")
 
 
@@ -72,8 +73,8 @@ def _left_out(tag: str, attributes: str) -> tuple[bool, str]:
                 out = True
             elif name == "aria-hidden":
                 out |= value == "true"
-            else:
-                out |= not MARKS.isdisjoint(_PARTS.findall(value))
+            elif name in ("class", "id"):
+                out |= any(not MARKS.isdisjoint(words) and BESIDE.isdisjoint(words) for words in map(_PARTS.findall, value.split()))
                 if name == "class" and value:
                     first = value.split()[0] if value.split() else ""
     return out, first

@@ -11,3 +11,11 @@ def test_a_slot_of_one_page_is_no_template(spark):
     got = {r.page_id: r.text for r in extract.extract(d).collect()}
     assert got[5] == "story 5" and got[50] == "story 50\n\nsaid once" and got[51] == "a lone layout"
     assert {r.page_id: r.text for r in extract.extract(d.repartition(7)).collect()} == got
+
+
+def test_attributes_are_read_by_name():
+    kept = ['style="overflow:hidden"', 'title="hidden gems"', 'data-hidden="false"', 'data-role="search"', "href=/c?id=ad", 'class="layout no-sidebar"', "class=has-sidebar", "data-x='class=ad'"]
+    for a in kept:
+        assert [t for _, t, _ in extract.parse(f"<div {a}><p>text</p></div>")[1]] == ["text"], a
+    for a in ["hidden", "HIDDEN=''", "role=search", "data-x=1 id=main-ad", 'class="wide sidebar"', 'class="no-margin sidebar"', "aria-hidden='true'", 'title="a"class="ad"']:
+        assert extract.parse(f"<div {a}><p>text</p></div>")[1] == [], a

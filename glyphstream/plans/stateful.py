@@ -38,7 +38,7 @@ def _frame(k: int, e: int, height: int = 60, width: int = 80) -> np.ndarray:
 
 
 def pixel_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Frames drawn from observations, reduced in one Arrow pass to signature, quality and change; pixels are never shuffled."""
+    """Frames drawn from all observations, reduced in one Arrow pass to signature, quality and change; pixels are never shuffled."""
     from ..functions import pixels
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +54,7 @@ def pixel_pipeline(spark: SparkSession, d: str) -> DataFrame:
                 rows.append((r.event_id, pixels.difference_bits(crop).hex(), *[round(v, 6) for v in pixels.quality_parts(crop)], round(float(tiles.mean()), 6), int((tiles >= 0.035).sum()), len(pixels.change_scopes(tiles >= 0.035, 80, 60)), dx, dy))
             yield pd.DataFrame(rows, columns=["event_id", "signature", "sharp", "contrast", "complete", "occluded", "score", "changed", "scopes", "dx", "dy"])
 
-    o = observations(spark, d).where(F.col("frame_id") % 8 == 0).select("event_id", "k")
+    o = observations(spark, d).select("event_id", "k")
     return o.mapInPandas(features, "event_id long, signature string, sharp double, contrast double, complete double, occluded double, score double, changed long, scopes long, dx double, dy double")
 
 

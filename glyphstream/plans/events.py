@@ -101,9 +101,10 @@ def chunk_assign(spark: SparkSession, d: str) -> DataFrame:
 CHUNK_ASSIGN = f"WITH plan AS ({CHUNK_PLAN}), {OBS_SQL} SELECT o.video_id, o.frame_id, p.chunk FROM obs o JOIN plan p ON o.video_id = p.video_id AND o.t BETWEEN p.read_start AND p.read_end"
 
 
-def _chunk_events(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as short events of the chunks around their begin, every third seen again by the next chunk."""
-    i = intervals(spark, d).where(F.col("line") <= 3)
+def _chunk_events(spark: SparkSession, d: str, lines: int | None = None) -> DataFrame:
+    """Line items (up to number ``lines`` of an order, if given) as short events of the chunks around their begin, every third seen again by the next chunk."""
+    i = intervals(spark, d)
+    i = i if lines is None else i.where(F.col("line") <= lines)
     b = F.floor(F.col("start") / 4).cast("long")
     text = F.concat(F.lit("order "), F.col("order_id").cast("string"))
     one = i.select(F.col("source_id").alias("video_id"), b.alias("chunk"), (F.col("order_id") * 10 + F.col("line")).alias("event_id"), "start", (F.col("start") + F.col("line")).alias("stop"), text.alias("text"), (F.col("weight") / 50).alias("confidence"), (F.col("order_id") % 7 * 60).cast("double").alias("l"), F.lit(10.0).alias("t0"))
@@ -118,7 +119,7 @@ ce AS (SELECT * FROM one UNION ALL SELECT video_id, chunk + 1, -event_id, start
 
 
 def chunk_dedup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.neighbour_pairs(_chunk_events(spark, d))
+    return chunks.neighbour_pairs(_chunk_events(spark, d, 3))  # as its SQL says
 
 
 CHUNK_DEDUP = f"""WITH {_CHUNK_EVENTS}, p AS (SELECT a.video_id, a.event_id AS left_id, b.event_id AS right_id, least(a.stop, b.stop) - greatest(a.start, b.start) AS shared, replace(a.text, ' ', '') AS x, replace(b.text, ' ', '') AS y, {G.sql_iou('a.', 'b.')} AS s

@@ -1,30 +1,34 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH over item-sized windows.
 
-Texts and items are read as lower-case words joined by single spaces. A document leaks an item if some window of it is within edit
+Texts and items are read as lower-case words joined by single spaces. A document leaks an item if some part of it is within edit
 distance ``max_edits`` (a share of the item's length) of the item.
 
-1. *Windows.* A 2-word shingle that a text shares with an item names one item-sized window, in which the shingle lies at the item's
-   offset; shingles are looked up in all words of all texts. Edits shift windows by no more than their number, so a leak has the
-   shingles that its edits left whole on diagonals that near each other. A window goes on if the allowed edits to its right hold
-   NEED of the item's shingles: edits spread at random over a 30-word item leave a third of them whole, changed words more.
-2. *CGK.* A random walk copies a window into a string of twice its length, advancing on a character if a random function of (step, character) says
-   so. Strings at edit distance k become strings at Hamming distance O(k^2) with constant probability, for each of WALKS walks.
-3. *Bit sampling.* Of every walk, TABLES sets of BITS positions are compared; a window that agrees with its item on any is a
-   candidate. WALKS x TABLES sets are chosen to find windows at the allowed distance, insertions and deletions among the edits, with
-   probability RECALL or more (measured in the tests); windows alike in a few common words only seldom agree.
-4. *Verification.* Candidates are confirmed by Myers' bit-parallel algorithm, exactly, the window being widened by the
-   number of edits.
+1. *Windows.* A window begins at every STRIDE-th word of a text, and an item is indexed from each of its first STRIDE words on, so that
+   wherever a leak begins, one of its own windows meets one of the item's. Items of less than SHORT bytes have windows at every word.
+2. *CGK.* A random walk reads a window into a string of twice its length, advancing on a character if a random function of (step,
+   character) says so. Strings at edit distance k become strings at Hamming distance O(k^2) with constant probability, for each of WALKS
+   walks. A walk from a window's begin serves windows of all sizes: an item of n bytes is compared on 2n steps.
+3. *Bit sampling.* Of every walk, HALVES sets of BITS positions each are drawn for each class of lengths; two halves that both agree make a
+   window a candidate, so HALVES give HALVES (HALVES - 1) / 2 tables of 2 BITS positions. They find a leak at the allowed distance,
+   insertions and deletions among its edits, with probability RECALL or more (measured in the tests).
+4. *Verification.* Candidates are confirmed by Myers' bit-parallel algorithm, exactly, the window being widened by the number of edits. An
+   edit changes at most GRAM of an item's GRAM-byte pieces, so a window that holds fewer than all but GRAM times the allowed edits of them
+   is refused before.
+
+Nothing but the tables generates candidates, whatever words a leak shares with its item. Items of one word have no window worth sampling:
+they are matched as whole words.
 
 Items are shipped to the tasks in blocks of at most ``block_bytes`` of text; further blocks take further passes over the
 documents, so a growing benchmark costs passes, never memory. Texts are not shuffled; what is emitted is one row per (document, item) found.
 
-Cases: null and empty texts leak nothing; items without two words are matched as whole words exactly; null items are ignored;
+Cases: null and empty texts leak nothing; null and empty items are ignored;
 repeated items and rows give repeated findings, made distinct; an empty benchmark or table gives an empty result; columns other than
-doc_id, text and item_id, text are not read.
+doc_id, text and item_id, text are not read. Case is folded for A-Z only, so other letters in upper case count as edits.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -33,16 +37,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, pair_hash, text_bytes, word_table
+from .common import chunks, text_bytes
 
-MAX_EDITS = 0.08
-WALKS, TABLES, BITS = 4, 24, 5
+MAX_EDITS = 0.05
+WALKS, HALVES, BITS = 3, 10, 4
 RECALL = 0.9  # at the allowed distance
-NEED = 0.15  # share of an item's shingles that a window must hold
-WINDOWS = 1024  # embedded together
-BLOCK_BYTES = 8 << 20
-CHUNK = 1 << 20
+STRIDE, SHORT = 8, 64
+CLASS = 2  # lengths of a class differ by less than this factor
+BLOCK_BYTES = 2 << 20
+CHUNK = 1 << 18
 _SEED = 11
+GRAM, SLOTS = 4, 1 << 12
+_PAIRS = [(i, j) for i in range(HALVES) for j in range(i)]
+_odd = lambda *of: np.random.default_rng((_SEED, *of)).integers(1 << 62, size=of[1:], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS, _SCALE, _SALT = _odd(1, HALVES, BITS), _odd(2, HALVES), _odd(3, len(_PAIRS))
+_RUN = 56  # steps whose random bits fit one word, beside the byte itself
 
 
 def normal(text: bytes) -> bytes:
@@ -50,37 +59,52 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-@lru_cache(maxsize=2)
-def _walk_bits(steps: int) -> np.ndarray:
-    """bits[t, w, c]: does walk w advance at step t on byte c?"""
-    return np.random.default_rng(_SEED).integers(0, 2, (steps, WALKS, 257)).astype(np.intp)
-
-
-def cgk(strings: list[bytes], length: int) -> np.ndarray:
-    """(step, walk, string) -> byte as 0-255, 256 beyond the end: the CGK embeddings, of 2 * length steps, of strings of up to ``length``.
-    All walks of all strings take their steps together."""
-    steps = 2 * length
-    n = len(strings)
-    x = np.full((n, steps + 1), 256, dtype=np.intp)
-    for i, s in enumerate(strings):
-        k = min(len(s), steps)
-        x[i, :k] = np.frombuffer(s, dtype=np.uint8, count=k)
-    x = x.ravel()
-    out = np.empty((steps, WALKS, n), dtype=np.int16)
-    bits = _walk_bits(1 << max(10, (steps - 1).bit_length())).reshape(-1, WALKS * 257)
-    at = np.tile(np.arange(n) * (steps + 1), (WALKS, 1))
-    which = (np.arange(WALKS) * 257)[:, None]
-    for t in range(steps):
-        c = x.take(at)
-        out[t] = c
-        at += bits[t].take(c + which)
+@lru_cache(maxsize=512)
+def _words(walk: int, run: int) -> np.ndarray:
+    """For each byte, _RUN random bits, one a step, below the byte itself."""
+    bits = np.random.default_rng((_SEED, 0, walk, run)).integers(1 << _RUN, size=256, dtype=np.int64)
+    return bits | np.arange(256) << _RUN
+
+
+def cgk(text: np.ndarray, starts: np.ndarray, steps: int, walk: int, wanted: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """The embeddings of the windows of ``text`` at ``starts``: step -> the byte that each walk reads then, for the ``wanted`` steps.
+    The text must reach ``steps`` bytes beyond the last start."""
+    at, out = starts.astype(np.int64), {}
+    wanted = np.ones(steps, dtype=bool) if wanted is None else wanted
+    step = np.empty_like(at)
+    for run in range(0, steps, _RUN):
+        signs = _words(walk, run // _RUN).take(text)
+        for t in range(run, min(run + _RUN, steps)):
+            c = signs.take(at)
+            if wanted[t]:
+                out[t] = (c >> _RUN).view(np.uint64) & np.uint64(255)
+            np.right_shift(c, t - run, out=step)
+            step &= 1
+            at += step
     return out
 
 
+def _class(length: int) -> int:
+    return int(math.log(length) / math.log(CLASS))
+
+
 @lru_cache(maxsize=512)
-def _positions(length: int) -> np.ndarray:
-    """Sampled steps, (walk, table, bit), of an item of that length."""
-    return np.random.default_rng(_SEED + length).integers(0, 2 * length, (WALKS, TABLES, BITS))
+def _positions(walk: int, kind: int) -> np.ndarray:
+    """Sampled steps, (half, bit), of items of that class: within twice the least length of the class."""
+    least = max(1, math.ceil(CLASS**kind))
+    return np.random.default_rng((_SEED, 4, walk, kind)).integers(0, 2 * least, (HALVES, BITS))
+
+
+def _halves(rows: dict[int, np.ndarray], positions: np.ndarray) -> np.ndarray:
+    """(half, window) -> key of the bytes read at the half's positions."""
+    out = []
+    for i, p in enumerate(positions.tolist()):
+        key = rows[p[0]] * _FACTORS[i, 0]
+        for j in range(1, BITS):
+            key += rows[p[j]] * _FACTORS[i, j]
+        key ^= key >> np.uint64(29)
+        out.append(key * _SCALE[i])
+    return np.array(out)
 
 
 def myers_search(pattern: bytes, text: bytes, most: int) -> int | None:
@@ -112,120 +136,139 @@ def myers_search(pattern: bytes, text: bytes, most: int) -> int | None:
     return best if best <= most else None
 
 
+class _Tables:
+    """Keys of the items of one class under one walk, all pairs of halves in one sorted table behind a first, cheap look."""
+
+    def __init__(self, halves: np.ndarray, item: np.ndarray, shift: np.ndarray):
+        keys = np.concatenate([halves[i] + halves[j] + s for (i, j), s in zip(_PAIRS, _SALT)])
+        owner = np.tile(np.arange(len(item), dtype=np.int32), len(_PAIRS))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.item, self.shift = keys[order], owner[order], item, shift
+        self.drop = np.uint64(64 - min(24, max(16, len(keys).bit_length() + 5)))
+        self.seen = np.zeros(1 << (64 - int(self.drop)), dtype=bool)
+        self.seen[(keys >> self.drop).view(np.int64)] = True
+
+    def hits(self, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, owner) of every agreement."""
+        at, found = [], []
+        for (i, j), salt in zip(_PAIRS, _SALT):
+            key = halves[i] + halves[j]
+            key += salt
+            k = np.flatnonzero(self.seen.take((key >> self.drop).view(np.int64)))
+            if len(k):
+                at.append(k)
+                found.append(key[k])
+        if not at:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, found = np.concatenate(at), np.concatenate(found)
+        lo, hi = np.searchsorted(self.keys, found, "left"), np.searchsorted(self.keys, found, "right")
+        n = hi - lo
+        place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(at, n), self.owner[place]
+
+
 class Items:
-    """A block of items, indexed by their shingles."""
+    """A block of items, indexed for windows of texts."""
 
     def __init__(self, rows: list[tuple[int, bytes]], max_edits: float):
         self.ids = [i for i, _ in rows]
         self.texts = [t for _, t in rows]
         self.most = np.array([int(max_edits * len(t)) for t in self.texts], dtype=np.int64)
-        h, start, end, first = word_table(self.texts)
-        begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in self.texts])))
-        keys, item, offset = [], [], []
-        single: dict[int, list[int]] = {}
-        for k in range(len(rows)):
-            a, b = first[k], first[k + 1]
-            if b - a >= 2:
-                keys.append(pair_hash(h[a : b - 1], h[a + 1 : b]))
-                item.append(np.full(b - a - 1, k))
-                offset.append(start[a : b - 1] - begins[k])
-            elif b - a == 1:
-                single.setdefault(int(h[a]), []).append(k)
-        z = np.zeros(0, np.int64)
-        key = np.concatenate(keys) if keys else z.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.item = (np.concatenate(item) if item else z)[order]
-        self.offset = (np.concatenate(offset) if offset else z)[order]
-        self.single = single
-        self.single_key = np.array(sorted(single), dtype=np.uint64)
-        self.seen = np.zeros(1 << 20, dtype=bool)  # a first, cheap look
-        self.seen[(self.key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.need = np.maximum(1, (NEED * np.bincount(self.item, minlength=len(rows))).astype(np.int64))
-        self._sampled: dict[int, np.ndarray] = {}
-
-    def sampled(self, k: int) -> np.ndarray:
-        """The item's embeddings at the sampled steps: walk, table, bit."""
-        if k not in self._sampled:
-            p = _positions(len(self.texts[k]))
-            out = cgk([self.texts[k]], len(self.texts[k]))[:, :, 0]
-            self._sampled[k] = np.stack([out[p[w], w] for w in range(WALKS)])
-        return self._sampled[k]
+        self.grams = [_grams(np.frombuffer(t, dtype=np.uint8)) for t in self.texts]
+        self.single: dict[bytes, list[int]] = {}
+        # stride -> (item, bytes of the item before the window, the window)
+        windows: dict[int, list[tuple[int, int, bytes]]] = {1: [], STRIDE: []}
+        for k, t in enumerate(self.texts):
+            if b" " not in t:
+                self.single.setdefault(t, []).append(k)
+                continue
+            stride, begin = STRIDE if len(t) >= SHORT else 1, 0
+            for _ in range(stride):
+                windows[stride].append((k, begin, t[begin:]))
+                begin = t.find(b" ", begin) + 1
+                if not begin:
+                    break
+        #: stride, steps, steps that are sampled, tables by (walk, class)
+        self.groups: list[tuple[int, int, list[np.ndarray], dict[tuple[int, int], _Tables]]] = []
+        for stride, some in windows.items():
+            if not some:
+                continue
+            lengths = np.array([len(w) for _, _, w in some])
+            kinds = np.array([_class(n) for n in lengths.tolist()])
+            steps = 2 * max(math.ceil(CLASS**k) for k in set(kinds.tolist()))
+            joined, starts = _padded([w for _, _, w in some], steps)
+            wanted, tables = [], {}
+            for walk in range(WALKS):
+                of = {k: _positions(walk, k) for k in sorted(set(kinds.tolist()))}
+                flags = np.zeros(steps, dtype=bool)
+                for p in of.values():
+                    flags[p] = True
+                wanted.append(flags)
+                rows_ = cgk(joined, starts, steps, walk, flags)
+                for k, p in of.items():
+                    own = np.flatnonzero(kinds == k)
+                    picked = {t: rows_[t][own] for t in set(p.ravel().tolist())}
+                    tables[walk, k] = _Tables(_halves(picked, p), np.array([some[i][0] for i in own]), np.array([some[i][1] for i in own]))
+            self.groups.append((stride, steps, wanted, tables))
 
     def find(self, raw: list[bytes]) -> list[tuple[int, int, int]]:
         """(place of the text, place of the item, edits) of every leak."""
-        h, start, end, first = word_table(raw)
-        if not len(h):
-            return []
-        found: list[tuple[int, int, int]] = []
-        doc = np.repeat(np.arange(len(raw)), np.diff(first))
-        if len(self.single_key):
-            at = np.minimum(np.searchsorted(self.single_key, h), len(self.single_key) - 1)
-            for i in np.flatnonzero(self.single_key[at] == h):
-                found += [(int(doc[i]), k, 0) for k in self.single[int(h[i])]]
-        if not len(self.key) or len(h) < 2:
-            return sorted(set(found))
-        p = pair_hash(h[:-1], h[1:])
-        i = np.flatnonzero(self.seen[(p & np.uint64((1 << 20) - 1)).astype(np.int64)] & (doc[:-1] == doc[1:]))
-        lo, hi = np.searchsorted(self.key, p[i], "left"), np.searchsorted(self.key, p[i], "right")
-        n = hi - lo
-        i, lo, n = i[n > 0], lo[n > 0], n[n > 0]
-        if not len(i):
-            return sorted(set(found))
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        word = np.repeat(i, n)
-        # white space as single spaces: places of the words in the normalised text
-        width = np.concatenate(([0], np.cumsum(end - start + 1)))
-        place = width[:-1] - width[first[doc]]
-        window = place[word] - self.offset[which]
-        item, d = self.item[which], doc[word]
-        key = ((d * len(self.ids) + item).astype(np.int64) << 40) + (window + (1 << 38))
-        key.sort()
-        pair = key >> 40
-        item = pair % len(self.ids)
-        # enough of the item's shingles on diagonals within the allowed edits
-        near = np.searchsorted(key, key + self.most[item], "right") - np.arange(len(key))
-        ok = near >= self.need[item]
-        ok[1:] &= (key[1:] != key[:-1]) | ~ok[:-1]
-        pair, key, item = pair[ok], key[ok], item[ok]
-        d, window = pair // len(self.ids), (key & ((1 << 40) - 1)) - (1 << 38)
+        texts = [normal(t) for t in raw]
         best: dict[tuple[int, int], int] = {}
-        texts: dict[int, bytes] = {}
-        todo: list[tuple[int, int, bytes, bytes]] = []
-        exact: dict[tuple[int, int], bool] = {}
-        for at, k, x in zip(d.tolist(), item.tolist(), window.tolist()):
-            if at not in texts:
-                texts = {at: normal(raw[at])}
-            text = texts[at]
-            if (at, k) not in exact:
-                exact[at, k] = self.texts[k] in text
-                if exact[at, k]:
-                    best[at, k] = 0
-            if not exact[at, k]:
-                x, n, most = min(max(x, 0), max(0, len(text) - 1)), len(self.texts[k]), int(self.most[k])
-                todo.append((at, k, text[x : x + n], text[max(0, x - 2 * most) : x + n + 2 * most]))
-                if len(todo) == WINDOWS:
-                    self._verify(todo, best)
-                    todo = []
-        self._verify(todo, best)
-        return sorted({*found, *((at, k, e) for (at, k), e in best.items())})
-
-    def _verify(self, todo: list[tuple[int, int, bytes, bytes]], best: dict[tuple[int, int], int]) -> None:
-        """Adds to ``best`` the least edits of the windows (text, item, window, wider window) that agree with their items and are confirmed."""
-        if not todo:
-            return
-        items = np.array([k for _, k, _, _ in todo])
-        n = len(todo)
-        out = cgk([w for _, _, w, _ in todo], max(len(self.texts[k]) for k in set(items.tolist())))
-        kinds, which = np.unique(items, return_inverse=True)
-        place = np.stack([_positions(len(self.texts[k])) for k in kinds.tolist()])[which]  # window, walk, table, bit
-        own = np.stack([self.sampled(k) for k in kinds.tolist()])[which]
-        mine = out[place, np.arange(WALKS)[None, :, None, None], np.arange(n)[:, None, None, None]]
-        for i in np.flatnonzero((mine == own).all(3).any((1, 2))).tolist():
-            at, k, _, wide = todo[i]
-            got = myers_search(self.texts[k], wide, int(self.most[k]))
-            if got is not None:
-                best[at, k] = min(got, best.get((at, k), got))
+        if self.single:
+            for at, t in enumerate(texts):
+                best.update({(at, k): 0 for w in set(t.split()) if w in self.single for k in self.single[w]})
+        for stride, steps, wanted, tables in self.groups:
+            joined, begins = _padded(texts, 0)
+            joined = np.concatenate([joined, np.zeros(steps + 1, np.uint8)])
+            edge = np.concatenate([begins, np.flatnonzero(joined == 32) + 1])
+            edge.sort()
+            doc = np.searchsorted(begins, edge, "right") - 1
+            first = np.searchsorted(edge, begins)
+            mine = (np.arange(len(edge)) - first[doc]) % stride == 0
+            edge, doc = edge[mine], doc[mine]
+            found = []
+            for walk in range(WALKS):
+                rows = cgk(joined, edge, steps, walk, wanted[walk])
+                for (w, kind), t in tables.items():
+                    if w == walk:
+                        at, owner = t.hits(_halves(rows, _positions(walk, kind)))
+                        found.append((at, t.item[owner], edge[at] - begins[doc[at]] - t.shift[owner]))
+            at, item, begin = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((begin, item, doc[at]))
+            d, item, begin = doc[at][order], item[order], begin[order]
+            new = np.ones(len(d), dtype=bool)
+            new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (begin[1:] != begin[:-1])
+            pieces = _grams(joined)
+            for d, k, x in zip(d[new].tolist(), item[new].tolist(), begin[new].tolist()):
+                if best.get((d, k), 1):
+                    most = int(self.most[k])
+                    begin, end = max(0, x - 2 * most), min(len(texts[d]), max(0, x) + len(self.texts[k]) + 2 * most)
+                    held = np.zeros(SLOTS, dtype=bool)
+                    held[pieces[begins[d] + begin : begins[d] + end - GRAM + 1]] = True
+                    if np.count_nonzero(held[self.grams[k]]) < len(self.grams[k]) - GRAM * most:
+                        continue
+                    got = myers_search(self.texts[k], texts[d][begin:end], most)
+                    if got is not None:
+                        best[d, k] = min(got, best.get((d, k), got))
+        return sorted((at, k, e) for (at, k), e in best.items())
+
+
+def _grams(text: np.ndarray) -> np.ndarray:
+    """Slots of the pieces of GRAM bytes that begin at each byte."""
+    if len(text) < GRAM:
+        return np.zeros(0, dtype=np.uint32)
+    g = np.zeros(len(text) - GRAM + 1, dtype=np.uint32)
+    for i in range(GRAM):
+        g = g * np.uint32(2654435761) + text[i : len(text) - GRAM + 1 + i] + np.uint32(i)
+    return (g ^ g >> np.uint32(15)) % np.uint32(SLOTS)
+
+
+def _padded(texts: list[bytes], steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the texts, each followed by a zero and ``steps`` more, where each begins)."""
+    gap = bytes(steps + 1)
+    begins = np.cumsum([0, *(len(t) + len(gap) for t in texts)])[:-1]
+    return np.frombuffer(b"".join(t + gap for t in texts), dtype=np.uint8), begins
 
 
 def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):

@@ -2,7 +2,7 @@
 
 A host's labels, less the public suffix and common prefixes, are split at every sign that is not a letter; each run of letters is cut
 into words by a unigram Viterbi search, in which an unknown word of n letters has a probability that falls with n. The words of
-host and path are scored by multinomial naive Bayes, trained on the small labelled table below. Host words count once each, as path words do.
+host and path are scored by multinomial naive Bayes, trained on the labelled table below: a word counts as often as it occurs.
 
 Rules: the host is what follows the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; the path follows up to ``?`` or ``#``. A
 rule fits its host and all subdomains if the url's path begins with the rule's; the longest fitting rule wins.
@@ -95,11 +95,19 @@ UNIGRAMS |= {w: 300 for w in _BAD if w not in UNIGRAMS}
 
 #: the labelled table: host (and path) by class
 BLOCKED = """
-cheap-pills discountpharmacy buyviagra onlinemeds cheapcialis bestpills free-bets sportsbets bettingbonus freebet casino-win wincasino
-casinoroyal onlinecasino slotsjackpot pokerbonus jackpotwinner luckyslots adult-x adultcams xxxvideos freexxx sexdating hotgirls porntube nudecams
-escortservice spam-farm linkfarm spamlinks seofarm backlinks buybacklinks ads-track adserver tracking adtracker clicktrack popupads banner-ads
-trackads affiliateclicks paydayloans cheaploans fastcash freeprize winprize lotterywin freecrypto bitcoinbonus forexbonus crackkeygen warezdownload
-torrentcrack serialkeygen malwaredownload phishinglogin verifyaccount replicawatches cheapreplica adultdating cheapmeds casinobets freespins adultfree
+discountpharmacy buyviagra viagra-online viagrasale viagrapharmacy cheapviagra onlinemeds cheapcialis bestpills rxpills pillstore pharmacydeals genericmeds medsdirect diet-pills
+sportsbets bettingbonus bet-now livebets bettingtips betking onlinebetting bettingodds bigbets sportsbetting
+casinoroyal onlinecasino slotsjackpot pokerbonus jackpotwinner luckyslots livecasino royalcasino casinogames pokerstars vegasslots slotmachines
+megajackpot roulettebonus blackjackcasino playpoker pokeronline casinobets freespins winbig win-cash instantwin winmoney
+adultcams xxxvideos freexxx xxxtube sexdating hotgirls porntube nudecams freeporn pornvideos sexchat livesex camgirls adultvideos adultdating
+adultfree milfdating escortservice sexyescorts hotmilf nudegirls adultfriend
+linkfarm spamlinks seofarm backlinks buybacklinks contentfarm clickfarm spammers spamblast bulkspam spammail farmlinks seolinks cheapbacklinks
+adserver tracking clicktrack trackads popupads ads-network adclick bannerads adnetwork adtracker trackpixel pixeltrack usertrack
+adtracking affiliateclicks affiliatebonus clickbanner popuptraffic adpopup adsdelivery adtraffic
+paydayloans cheaploans fastcash quickloans easycredit badcredit freeprize winprize lotterywin lottowinner freecrypto bitcoinbonus
+forexbonus bitcoindouble cryptoinvest makemoneyfast freemoney getrich cashbonus freebonus freegift giftcards freeiphone
+crackkeygen warezdownload torrentcrack serialkeygen malwaredownload phishinglogin verifyaccount loginverify securelogin hackaccount
+replicawatches cheapreplica cheapmeds cheapjerseys cheapbags fakewatches discountreplica cheapdeals hotdeals
 """.split()
 ALLOWED = """
 dailynews worldnews citynews localnews weathermap sciencejournal universitylibrary publiclibrary schoolbooks historymuseum cooking recipes
@@ -107,9 +115,21 @@ travelguide hotelguide gardenclub musicstore bookstore bookreview moviereview sp
 softwaresupport computerhelp opensource webdesign photogallery artmuseum cityoffice governmentservices statepolicy lawoffice insurancecompany
 bankofamerica carservice autoparts realestate homeandgarden familyhistory childrensbooks englishcourse languageschool technews engineering
 energyreport environment oceanresearch spacecenter chemistry biology mathematics philosophy theater concerttickets filmfestival
-blog forum community members wiki docs support about contact products shop order freelibrary freecourse cheapflights winterguide trackandfield farmhouse familyfarm
+forum community members wiki docs support about contact products shop order freelibrary freecourse cheapflights winterguide trackandfield farmhouse familyfarm
+download downloads softwaredownload freesoftware freedownload login account secure webmail mail calendar status api cdn static images media
+video videos photos music games gaming play playground kids school teacher student campus college research institute academy
+news press journal magazine times post herald tribune gazette chronicle review reviews blogs weather traffic maps transport trains buses
+airport flights hotels holiday vacation camping hiking cycling running tennis golf soccer baseball basketball swimming fitness yoga
+doctor dentist clinic nursing mentalhealth nutrition foodandwine kitchen bakery coffee restaurant farmersmarket organicfarm greenfarm
+bank savings mortgage taxes accounting finance economy business jobs careers hiring market exchange investorrelations charity foundation
+law court police fire government parliament city county council park museum gallery library archive heritage church
+developers code git data cloud hosting server network security privacy linux python java database statistics analytics
+house home garden furniture tools hardware paint lighting cleaning repair auto cars bikes trucks boats
+fashion shoes clothing jewelry watches watchmaker beauty hair wedding baby toys pets dogs cats horses birds
+friends familytree genealogy stories poems novels authors writers readers publisher print design art theatre dance opera jazz
+directwin winterwonderland windows windmill window trackrecord racetrack soundtrack freedom freelance freeway adulteducation
 """.split()
-_LETTERS = re.compile(r"[a-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SKIPPED = frozenset("www m blog com net org example http https html htm php index page".split())
 LONGEST = max(map(len, UNIGRAMS))
 _TOTAL = float(sum(UNIGRAMS.values()))
@@ -136,8 +156,8 @@ def segment(name: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Segmented words of a host or path, each once, less those that say nothing."""
-    return list(dict.fromkeys(w for run in _LETTERS.findall(text.lower()) if run not in _SKIPPED for w in segment(run)))
+    """Segmented words of a host or path, less those that say nothing."""
+    return [w for run in _LETTERS.findall(text.lower()) if run not in _SKIPPED for w in segment(run)]
 
 
 @lru_cache(maxsize=1)
@@ -171,13 +191,18 @@ def log_odds(host: Column, path: Column) -> Column:
     return score(host, path)
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty if there is none."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
+
+
 def host_of(url: Column) -> Column:
-    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.translate(F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*(/[^?#]*)", 1)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -133,6 +133,13 @@ def test_url_rules_and_verdicts(spark):
         ("http://dailynews.example.net?a=/fr/", "dailynews.example.net", "", None, "allow"),
         ("a\n://h.net/p\nq", "h.net", "/p\nq", None, "allow"),
         ("no scheme.com/de/", "", "", None, "allow"),
+        ("http://example.org?u=http://foo.com/de/x", "example.org", "", None, "allow"),
+        ("http://foo.com?next=http://a.b/de/q", "foo.com", "", None, "allow"),
+        ("http://foo.com#http://a.com/fr/", "foo.com", "", None, "allow"),
+        ("http://foo.com/fr/?u=http://foo.com/de/", "foo.com", "/fr/", "com/fr/", "allow"),
+        ("://h.com/de/", "h.com", "/de/", "com/de/", "block"),
+        ("http:///de/", "", "/de/", None, "allow"),
+        ("http://" + "a" * 200_000 + ".com/de/" + "b" * 200_000, "a" * 200_000 + ".com", "/de/" + "b" * 200_000, "com/de/", "block"),
         (None, "", "", None, "allow"),
         ("", "", "", None, "allow"),
     ]
@@ -147,7 +154,8 @@ def test_url_rules_and_verdicts(spark):
 def test_op5_equals_a_loop(spark):
     got = {r.page_id: r for r in Q.op5_url_filter(spark, SMALL).collect()}
     for p in spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url").collect():
-        m = re.search(r"://([^/?#]*)(/[^?#]*)?", p.url)
+        rest = (p.url or "").partition("://")[2]
+        m = re.match(r"([^/?#]*)(/[^?#]*)?", rest)
         host, path = m[1].lower(), m[2] or ""
         fits = [r for r in urls.RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
         best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
@@ -155,6 +163,41 @@ def test_op5_equals_a_loop(spark):
         assert (got[p.page_id].host, got[p.page_id].path, got[p.page_id].rule, got[p.page_id].verdict) == (host, path, best and best[0] + best[1], verdict)
 
 
+def test_segmentation_is_the_likeliest_of_all_cuts():
+    rng = random.Random(1)
+    words = sorted(urls.UNIGRAMS)
+
+    def cuts(name):
+        if not name:
+            yield []
+        for n in range(1, len(name) + 1):
+            for rest in cuts(name[n:]):
+                yield [name[:n], *rest]
+
+    cost = lambda words: sum(urls._KNOWN.get(w, urls._UNKNOWN[len(w)]) for w in words)
+    for _ in range(60):
+        name = (rng.choice(words) + rng.choice(words) + rng.choice("abc"))[:11]
+        assert cost(urls.segment(name)) == pytest.approx(max(map(cost, cuts(name))))
+
+
+def test_odds_are_those_of_counted_words():
+    bad, good = ([w for h in table for w in urls.words_of(h)] for table in (urls.BLOCKED, urls.ALLOWED))
+    words = set(bad) | set(good)
+    ratio = lambda w: np.log((bad.count(w) + 1) / (len(bad) + len(words))) - np.log((good.count(w) + 1) / (len(good) + len(words)))
+    assert urls.odds("casino-casino.net") == pytest.approx(2 * ratio("casino"))
+    assert urls.odds("free-weather.com") == pytest.approx(ratio("free") + ratio("weather")) and urls.odds("qqzzqq") == 0
+
+
+def test_hosts_that_the_table_does_not_hold():
+    block = "bestonlinepharmacy.com luckycasino.net pokerking.org.uk viagra-shop.biz hotsexvideos.com freeslots.net bigcasinobonus.com cheappillsonline.net spambacklinks.com bettingjackpot.com adclicktracking.net fastpaydayloans.com replicawatchdeals.com".split()
+    allow = "downloads4you.mozilla.org dailyweather.com cityhospital.org mathschool.edu opensourcenews.net winterpark.gov freebooks.org photographyclub.com universitypress.edu greengarden.net musicteacher.com wikipedia.org nikkei.co.jp trainstation.eu".split()
+    known = set(urls.BLOCKED) | set(urls.ALLOWED)
+    assert not [h for h in block + allow if set(h.split(".")) & known]
+    verdict = lambda h: urls.model()[0] + urls.odds(h) > 0
+    wrong = [h for h in block if not verdict(h)] + [h for h in allow if verdict(h)]
+    assert len(wrong) <= 2, wrong
+
+
 # ---------------------------------------------------------------- extraction
 
 
@@ -172,6 +215,31 @@ def test_parse():
     assert text_of("<p>&am") == ["&am"]
 
 
+def test_marks_that_say_something_else_are_content():
+    html = "<article><section class='related-work'>a</section><p class='alert-level'>b</p><div id='reply-brief'>c</div><p>d</p><div class='comment-list'>no</div><div class='cookie-banner big'>no</div></article>"
+    assert text_of(html) == ["a", "b", "c", "d"]
+
+
+def test_deep_and_broken_markup(spark):
+    deep = "<div>" * 100_000 + "deep text"
+    inline = "<b>" * 50_000 + "<p>x" + "</i>" * 50_000 + "</section>" * 50_000
+    d = spark.createDataFrame([(i, f"http://deep.net/{i}", deep + str(i)) for i in range(6)] + [(9, "http://deep.net/9", inline)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract(d).collect()}
+    assert got == {**{i: f"deep text{i}" for i in range(6)}, 9: "x"}
+    tree = [extract.tree_of(extract.shape_of(extract.parse(deep)[0])) for _ in range(2)]
+    assert len(extract.matching(*tree)) == 100_001
+    wrapper = extract.unpacked('[["", 0, null, []], ["a", 1, "h", ["p"]], ["b", 2, null, []], ["c", 1, "*", []]]')
+    assert extract.unpacked(extract.packed(wrapper)) == wrapper and [x[0] for x in extract._nodes(wrapper)] == ["", "a", "b", "c"]
+
+
+def test_large_templates_are_joined_by_shuffle(spark, monkeypatch):
+    page = lambda i: f"<body><div><p>Site of things</p></div><section><p>story {i}</p></section></body>"
+    d = spark.createDataFrame([(i, f"http://h.net/{i}", page(i)) for i in range(40)] + [(99, None, page(99))], "page_id long, url string, html string")
+    want = sorted(extract.extract(d).collect(), key=lambda r: r.page_id)
+    monkeypatch.setattr(extract, "BROADCAST_BYTES", 0)
+    assert sorted(extract.extract(d).collect(), key=lambda r: r.page_id) == want and want[3].text == "story 3"
+
+
 def test_matching_is_largest():
     a, b = extract.tree_of("(body(x p(a b) y))"), extract.tree_of("(body(p(b) y z))")
     assert {(x[0]) for x, _ in extract.matching(a, b)} == {"", "body", "p", "b", "y"}

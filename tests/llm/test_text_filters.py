@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.01"
 
 def test_clauses_weigh_aim_negation_and_reports():
     insults, threats = {"idiot": 1.0}, frozenset(["kill"])
-    score = lambda s: toxicity.clause_score(s.split(), insults, threats)[0]
+    score = lambda s: toxicity.clause_score(s.split(), insults, threats)
     assert score("the idiot") == 1.0
     assert score("you idiot") == toxicity.AIMED
     assert score("not an idiot") < 0.5 and score("he said idiot") < score("you idiot")
@@ -24,6 +24,56 @@ def test_clauses_weigh_aim_negation_and_reports():
     assert score("not a b c idiot") == 1.0
 
 
+def paths(t, symbols):
+    """All (weight, terms taken by place, written) of a transducer's accepting paths, by plain enumeration."""
+
+    def walk(state, i):
+        if i == len(symbols):
+            if state in t.final:
+                yield t.final[state], (), ()
+            return
+        for write, to, w, takes in t.arcs.get((state, symbols[i]), ()):
+            for rest, taken, written in walk(to, i + 1):
+                yield w * rest, ((i,) if takes else ()) + taken, (write, *written)
+
+    yield from walk(0, 0)
+
+
+def test_machine_equals_the_paths_of_the_five_transducers():
+    rng = random.Random(6)
+    words = {"idiot": "insult", "scum": "insult", "kill": "threat", "you": "target", "not": "negator", "said": "saying", "x": "other"}
+    insults, threats = {"idiot": 1.0, "scum": 0.7}, frozenset(["kill"])
+    for _ in range(300):
+        clause = [rng.choice(list(words)) for _ in range(rng.randint(0, 9))]
+        want = 0.0
+        for w1, _, marked in paths(toxicity.negation(), [words[t] for t in clause]):
+            for w2, _, twice in paths(toxicity.reported_speech(), marked):
+                for w3, taken, same in paths(toxicity.insult(), twice):
+                    for w4, _, _ in paths(toxicity.target(), same):
+                        want += w1 * w2 * w3 * w4 * np.prod([insults[clause[i]] for i in taken])
+                want += sum(w1 * w2 * w for w, _, _ in paths(toxicity.threat(), twice))
+        assert toxicity.clause_score(clause, insults, threats) == pytest.approx(want), clause
+
+
+def test_union_keeps_the_paths_of_both():
+    a, b = toxicity.Transducer(final={1: 2.0}), toxicity.Transducer(final={0: 0.5})
+    a.add(0, "x", "y", 1)
+    b.add(0, "x", "z", 0, 3.0)
+    u = toxicity.union(a, b)
+    assert sorted(paths(u, ["x"])) == [(1.5, (), ("z",)), (2.0, (), ("y",))] and list(paths(u, [])) == [(0.5, (), ())]
+
+
+def test_long_words_are_learnt_and_repeated_documents_count_once(spark):
+    slur = "verylongslur" * 10
+    rows = [(i, f"{'abcdefgh'[i % 8]} {slur} {'stuvwxyz'[i // 8 % 8]} word") for i in range(1, 61)] + [(i, f"plain text number {i}") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows + [(200, "zzz plain")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+    g = toxicity.fit(docs, labels)
+    assert slur in dict(g.insults)
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs.where("doc_id < 400"), g).collect()}
+    assert all(got[i] == int(i < 100) for i in got)
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = {r.doc_id: r for r in Q.op3_toxicity(spark, SMALL).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
@@ -37,7 +87,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_toxicity_of_odd_rows(spark):
-    g = toxicity.Grammar((("idiot", 1.0),), coefficients=(-3.0, 4.0, 1.0, 0.5, 0.5, 0.0))
+    g = toxicity.Grammar((("idiot", 1.0),), coefficients=(-3.0, 4.0, 1.0, 0.5, 0.5))
     long = "fine words. " * 50_000 + "you idiot!"
     d = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, long, 1.0), (4, "you idiot", 1.0), (4, "you idiot", 1.0), (None, "hello", 1.0), (5, "idiots idiotic", 1.0)], "doc_id long, text string, score double")
     rows = toxicity.score_documents(d, g).collect()

@@ -51,12 +51,14 @@ def fingerprint(paths) -> str:
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where a layout keeps its turns: a list of messages with a role and a text field, or single fields with fixed roles."""
+    """Where a layout keeps its turns: a list of messages with a role and a text field, single fields with fixed roles, or a row for each turn
+    with its number, role and text (roles of rows stay as they are)."""
 
     messages: str | None = None
     role: str | None = None
     text: str | None = None
     fields: tuple[tuple[str, str], ...] = ()
+    turn: str | None = None
 
 
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -75,6 +77,8 @@ register(["prompt", "response"], Mapping(fields=(("user", "prompt"), ("assistant
 register(["instruction", "output"], Mapping(fields=(("user", "instruction"), ("assistant", "output"))))
 register(["instruction", "input", "output"], Mapping(fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))))
 register(["system", "prompt", "response"], Mapping(fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))))
+register(["turn", "role", "text"], Mapping(turn="turn", role="role", text="text"))
+register(["turn", "role", "content"], Mapping(turn="turn", role="role", text="content"))
 register(["question", "answer"], Mapping(fields=(("user", "question"), ("assistant", "answer"))))
 
 TURNS = "array<struct<role:string,text:string>>"
@@ -87,6 +91,8 @@ def turns_of_table(df: DataFrame, id_column: str) -> DataFrame:
     if key not in REGISTRY:
         raise ValueError(f"no mapping for the layout {sorted(field_paths(rest))} (fingerprint {key})")
     m = REGISTRY[key]
+    if m.turn:
+        return df.select(F.col(id_column).alias("conv_id"), F.col(m.turn).cast("long").alias("turn"), F.col(m.role).cast("string").alias("role"), F.col(m.text).cast("string").alias("text"))
     if m.messages:
         turns = F.transform(F.col(m.messages), lambda x: F.struct(_role(x[m.role]).alias("role"), x[m.text].alias("text")))
     else:
@@ -117,11 +123,16 @@ def turns_of_json(df: DataFrame, id_column: str, json_column: str, registry: dic
                 m = known.get(key)
                 if m is None:
                     turns = [(None, None)]
+                elif m.turn:
+                    turns = [(row[m.role], row[m.text])]
                 elif m.messages:
-                    turns = [(ROLES.get(x[m.role], x[m.role]), x[m.text]) for x in row[m.messages]]
+                    turns = [(x.get(m.role), x.get(m.text)) for x in row[m.messages]]
+                    turns = [(ROLES.get(r, r) if isinstance(r, str) else r, x) for r, x in turns]
                 else:
                     turns = [(r, row[c]) for r, c in m.fields if row[c] is not None]
-                out += [(cid, key, i if m else None, r, None if x is None else str(x)) for i, (r, x) in enumerate(turns)]
+                of = lambda i: None if m is None else i if not m.turn else row[m.turn] if isinstance(row[m.turn], int) else None
+                text = lambda x: None if x is None else str(x)
+                out += [(cid, key, of(i), text(r), text(x)) for i, (r, x) in enumerate(turns)]
             yield pd.DataFrame(out, columns=["conv_id", "layout", "turn", "role", "text"]).astype({"turn": "Int64"})
 
     kind = df.schema[id_column].dataType.simpleString()

@@ -53,11 +53,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every formatted conversation says when read back."""
+    """What every formatted conversation says when read back; its turns are found by the fingerprint of the table's layout."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+    return chat.digests(chat.format_conversations(chat.turns_of_table(turns.unionByName(extra), "conv_id")))
 
 
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,17 @@ def test_layouts(spark):
     j = spark.createDataFrame([(1, '{"prompt": "p", "response": "r"}'), (2, '{"x": 1}'), (3, None)], "id long, raw string")
     rows = chat.turns_of_json(j, "id", "raw").orderBy("conv_id", "turn").collect()
     assert [(r.conv_id, r.role, r.text) for r in rows] == [(1, "user", "p"), (1, "assistant", "r"), (2, None, None), (3, None, None)]
+    odd = ['{"messages": [{"role": "human", "content": "a"}, {"content": 5}, {"role": ["x"], "content": null}]}', '{"messages": [{"role": "u"}, {"content": 5}]}', '{"turn": 3, "role": "human", "text": "t"}', '{"turn": "x", "role": null, "text": "t"}', "[1]", '{"messages": []}']
+    j = spark.createDataFrame(list(enumerate(odd)), "id long, raw string")
+    by = {}
+    for r in chat.turns_of_json(j, "id", "raw").collect():
+        by.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    assert sorted(by[1], key=str) == [(0, "u", None), (1, None, "5")] and by[2] == [(3, "human", "t")] and by[3] == [(None, None, "t")] and by[4] == by[5] == [(None, None, None)]
+    assert by[0] == [(None, None, None)]  # its roles are no plain fields: another layout
+
+
+def test_rows_by_turn_are_a_layout(spark):
+    d = spark.createDataFrame([(1, 2, "human", "b"), (1, 1, "user", None)], TURNS.replace(", extra string", ""))
+    assert sorted(chat.turns_of_table(d, "conv_id").collect(), key=str) == sorted(d.collect(), key=str)
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.turns_of_table(d.withColumn("more", F.lit(1)), "conv_id")

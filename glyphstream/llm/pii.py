@@ -4,7 +4,7 @@ Base patterns are matched leftmost and without overlaps per kind, in time linear
 white-space-delimited tokens with O, email, ip, card or phone from word-shape features of the token and its neighbours; it is
 trained at first use on the small labelled table below and decoded by Viterbi in numpy batches. Tokens without a digit, ``@`` or a
 bracketed ``at``/``dot`` (and not beside one) can only be O; a token fixed to O splits the chain exactly, so only runs of
-other tokens are decoded, whole texts notwithstanding. Spans of the field that touch a base span are dropped.
+other tokens are decoded, whole texts notwithstanding. Spans of the field that touch a base span are dropped, as are cards that fail Luhn's check.
 
 Cases: a null text counts as empty; an empty text has no spans; repeated rows give equal rows; very long texts and tokens
 are read in whole. Columns other than doc_id and text are not read.
@@ -102,6 +102,49 @@ card <card 4111.1111.1111.1111> expires 12/27
 visa <card 5500_0000_0000_0004> code 123
 card number <card 4111/1111/1111/1111> was charged 25.00
 pay with <card 3400.000000.00009> today
+ring <phone 0161 496 0018> before noon
+her number is <phone 617-555-0132> at work
+office <phone (415) 555-0199> or <phone 415.555.0143> after six
+phone <phone 089/636-48018> in Munich
+call <phone 1 (800) 555-0123> for help
+contact us: <phone 00 33 1 70 18 99 00> in Paris
+mobile: <phone 0151-23456789> or mail us
+text <phone 5550199> now
+hotline <phone 0800 1234567> is open 24 hours
+send it to <email info [at] firm [dot] co [dot] uk> by 5 pm
+email <email anna.b(at)web.example> about order 77
+ask <email help [at] desk.example.net> first
+mail to <email x_y (at) lab (dot) example> on 3 June
+<email peter[at]home[dot]example> wrote 2 days ago
+ip <ip fd00::1:2> and gateway <ip 10[.]1[.]2[.]3> both
+ping <ip 2001:db8:0:1::1> failed 3 times
+blocked <ip 203[.]0[.]113[.]9> at 10:15
+amex <card 3782.822463.10005> until 05/29
+mastercard <card 5555.5555.5555.4444> was declined
+charged to <card 4012_8888_8888_1881> on 1 May
+card no <card 6011/1111/1111/1117> is valid
+the sum of 3000 2000 1000 4000 is 10000
+serial 1234-5678-9012 of 2019
+lot 4000 0000 1111 2222 was sold
+codes 55 66 77 88 and 99 11
+flight 370 left at 00:41 on 8 March 2014
+at 12:30:45 and 2024-01-15T10:20:30Z
+ratio 16:9 or 4:3 in 1080p
+chapters 1:2:3 and 4:5:6
+room [at] the end of floor 2
+see [1] [2] and (3) in 2020
+call it 2000 or 2001 at most
+phone 7 and mobile 8 were sold in 2017
+number 42 is the answer
+the number 1000000 is large
+reach 10000 users in 30 days
+mail 3 of 12 arrived
+host 5 has 16 cores and server 7 has 32
+card 12 of 52 and card 13 of 52
+sizes 10.5 11.5 and 12.5
+sums of 1.000.000 and 2,500,000.50
+10.1234/abcd.5678 is a doi
+win 1-0 or 2-1 at 15-3-2021
 from 1999 to 2004 there were 12 cases
 version 1.2.3 was released on 2024-01-15
 chapter 12 page 345 line 6
@@ -133,16 +176,22 @@ zip 12345 or 12345-6789 in area 51
 _MARK = re.compile(r"<(email|ip|card|phone) ([^>]*)>|(\S+)")
 _CUES = {w: k for k, ws in {"phone": "phone phone: tel tel. tel: telephone mobile call fax fax: dial reach number", "email": "mail email e-mail write contact", "ip": "ip server host address connect", "card": "card visa mastercard pay amex"}.items() for w in ws.split()}
 N_HASH = 4096
+_RUNS = re.compile(r"([0-9]+)|([a-z]+)|([A-Z]+)|([^\W_]+)|(.)", re.S)
 
 
 def shape(token: str) -> str:
-    """Runs of like characters as one sign, with its length up to 4 for digits."""
+    """Runs of like characters as one sign, with its class of length (1, 2, 3, more) for digits."""
     out = []
-    for m in re.finditer(r"([0-9]+)|([a-z]+)|([A-Z]+)|([^\W_]+)|(.)", token[:64], re.S):
+    for m in _RUNS.finditer(token):
         out.append("d" + str(min(4, len(m[1]))) if m[1] else "x" if m[2] else "X" if m[3] else "w" if m[4] else m[5])
     return "".join(out)
 
 
+def signs(shape_: str) -> str:
+    """The signs of a shape in the order in which they come up first."""
+    return "".join(dict.fromkeys(c for c in shape_ if not c.isdigit()))
+
+
 def token_features(tokens: list[str], i: int) -> list[int]:
     """Hashed features of token i: word shapes of it and its neighbours, digit count, marks and cue words."""
     from zlib import crc32
@@ -150,12 +199,13 @@ def token_features(tokens: list[str], i: int) -> list[int]:
     t = tokens[i]
     before = tokens[i - 1] if i else "^"
     after = tokens[i + 1] if i + 1 < len(tokens) else "$"
-    digits = sum(c.isdigit() for c in t[:64])
+    digits = min(20, sum(c.isdigit() for c in t))
     s = shape(t)
-    names = [f"s={s}", f"n={digits}", f"k={re.sub('[0-9]', '', s)[:12]}", f"p={shape(before)[:8]}|{s[:8]}", f"a={s[:8]}|{shape(after)[:8]}", f"d={digits > 6},{'-' in t},{'.' in t},{':' in t},{'(' in t}"]
+    own, left, right = signs(s), signs(shape(before)), signs(shape(after))
+    names = [f"s={s}", f"n={digits}", f"k={own}", f"p={left}|{own}", f"a={own}|{right}", f"d={digits > 6},{'-' in t},{'.' in t},{':' in t},{'(' in t}", f"b={own},{digits}"]
     for j in (1, 2, 3):
-        if i >= j and (cue := _CUES.get(tokens[i - j].lower())):
-            names.append(f"c{cue}{min(digits, 4)}")
+        if i >= j and (cue := _CUES.get(tokens[i - j].lower().rstrip(":,."))):
+            names.append(f"c{cue}{digits // 4},{own}")
     for sign in ("(at)", "[at]", "[dot]", "(dot)", "::", "[.]"):
         if sign in t.lower():
             names.append(f"m{sign}")
@@ -198,30 +248,10 @@ def model() -> tuple[np.ndarray, np.ndarray]:
     for _ in range(60):
         gw, gt = -0.02 * w, -0.02 * t
         for feats, tags in chains:
-            e = np.array([w[f].sum(0) for f in feats])
-            n = len(e)
-            a, b = np.zeros((n, L)), np.zeros((n, L))
-            a[0] = e[0] + t[0]  # a chain begins after an O
-            for i in range(1, n):
-                x = a[i - 1][:, None] + t
-                a[i] = e[i] + x.max(0) + np.log(np.exp(x - x.max(0)).sum(0))
-            b[-1] = t[:, 0]  # and ends before one
-            for i in range(n - 2, -1, -1):
-                x = t + (e[i + 1] + b[i + 1])[None, :]
-                b[i] = x.max(1) + np.log(np.exp(x - x.max(1)[:, None]).sum(1))
-            z = np.logaddexp.reduce(a[-1] + b[-1])
-            p = np.exp(a + b - z)
+            _, ge, g = likelihood(np.array([w[f].sum(0) for f in feats]), t, tags)
             for i, f in enumerate(feats):
-                g = -p[i]
-                g[tags[i]] += 1
-                np.add.at(gw, f, g)
-            gt[0] -= p[0]
-            gt[0, tags[0]] += 1
-            gt[:, 0] -= p[-1]
-            gt[tags[-1], 0] += 1
-            for i in range(1, n):
-                gt -= np.exp(a[i - 1][:, None] + t + (e[i] + b[i])[None, :] - z)
-                gt[tags[i - 1], tags[i]] += 1
+                np.add.at(gw, f, ge[i])
+            gt += g
         gw2 += gw**2
         gt2 += gt**2
         w += 0.5 * gw / np.sqrt(gw2)
@@ -229,6 +259,31 @@ def model() -> tuple[np.ndarray, np.ndarray]:
     return w, t
 
 
+def likelihood(e: np.ndarray, t: np.ndarray, tags: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of a chain's labels, and its gradients by emissions and transitions (by forward and backward sums). A chain begins after an O and ends before one."""
+    n = len(e)
+    a, b = np.zeros((n, L)), np.zeros((n, L))
+    a[0] = e[0] + t[0]
+    for i in range(1, n):
+        x = a[i - 1][:, None] + t
+        a[i] = e[i] + x.max(0) + np.log(np.exp(x - x.max(0)).sum(0))
+    b[-1] = t[:, 0]
+    for i in range(n - 2, -1, -1):
+        x = t + (e[i + 1] + b[i + 1])[None, :]
+        b[i] = x.max(1) + np.log(np.exp(x - x.max(1)[:, None]).sum(1))
+    z = np.logaddexp.reduce(a[-1] + b[-1])
+    p = np.exp(a + b - z)
+    ge, gt, path = -p, np.zeros_like(t), [0, *tags, 0]
+    ge[np.arange(n), tags] += 1
+    gt[0] -= p[0]
+    gt[:, 0] -= p[-1]
+    for i in range(1, n):
+        gt -= np.exp(a[i - 1][:, None] + t + (e[i] + b[i])[None, :] - z)
+    for i, j in zip(path, path[1:]):
+        gt[i, j] += 1
+    return float(sum(e[i, y] for i, y in enumerate(tags)) + sum(t[i, j] for i, j in zip(path, path[1:])) - z), ge, gt
+
+
 def _runs(can: np.ndarray) -> list[range]:
     edge = np.diff(can.astype(np.int8), prepend=0, append=0)
     return [range(a, b) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
@@ -266,8 +321,14 @@ _EDGE = ".,;:!?\"'<>"
 
 
 def _valid(kind: str, s: str) -> bool:
-    digits = sum(c.isdigit() for c in s)
-    return {"phone": 7 <= digits <= 15, "card": 13 <= digits <= 19, "email": "at" in s.lower() or "@" in s, "ip": s.count(":") >= 2 or s.count(".") == 3}[kind]
+    digits = "".join(c for c in s if c in "0123456789")
+    if kind == "phone":
+        return 7 <= len(digits) <= 15
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "email":
+        return "at" in s.lower() or "@" in s
+    return s.count(":") >= 2 or s.count(".") == 3
 
 
 def added_spans(texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:

@@ -17,13 +17,15 @@ fewest probes, PROBES to WIDEST x PROBES, whose buckets hold TARGET of those nei
 or where all rows make one bucket, ``k`` is 0: every query meets every row in blocks, and the result is exact. Queries that find fewer rows than asked for
 are searched so too. Queries are shuffled probes x TABLES times and rows TABLES times, or by blocks where ``k`` is 0.
 
-Cases: vectors that are null, zero, or hold null, NaN or infinite components take no part, nor do those that have another length than most have;
+Cases: vectors that are null, zero, or hold null, NaN or infinite components take no part; vectors of each length are searched apart, as no inner
+product joins different lengths;
 rows with a null vec_id take no part; of rows with equal vec_id the one with the smallest vector counts; ties go to the smaller vec_id; fewer rows than asked for give them all; an empty table
 gives an empty result; columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -164,13 +166,16 @@ def _sampled(d: DataFrame, alike: DataFrame, n: int) -> tuple[np.ndarray, np.nda
 
 def search(rows: DataFrame, is_query, n: int = N, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` marks, its ``n`` nearest rows found."""
-    spark = rows.sparkSession
     d = stored(valid(rows))
-    shape = d.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(_norm("v")).alias("hi"), F.min(_norm("v")).alias("lo")).orderBy(F.desc("n"), "dim").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if shape is None:
-        return spark.createDataFrame([], schema)
-    d = d.where(F.size("v") == shape["dim"])
+    shapes = d.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(_norm("v")).alias("hi"), F.min(_norm("v")).alias("lo")).orderBy("dim").collect()
+    found = [_search_length(d.where(F.size("v") == s["dim"]), s, is_query, n, tables, probes, bucket, block) for s in shapes]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return functools.reduce(DataFrame.unionAll, found)
+
+
+def _search_length(d: DataFrame, shape, is_query, n: int, tables: int, probes: int, bucket: int, block: int) -> DataFrame:
+    """``search`` of vectors of one length, whose number and largest and smallest norm are given."""
     longest = shape["hi"] if shape["lo"] < 0.99 * shape["hi"] else None
     values = 2 << (shape["dim"] + (longest is not None) - 1).bit_length()
     queries = d.where(is_query(F.col("vec_id")))

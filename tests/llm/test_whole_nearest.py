@@ -49,3 +49,15 @@ def test_small_tables_are_searched_whole(spark):
 def test_queries_that_find_few_rows_are_searched_whole(spark, monkeypatch):
     monkeypatch.setattr(nearest, "choice", lambda *_: (1, 1))
     assert recall(spark, unit(np.random.default_rng(6), 500, 512)) == (1.0, 20)
+
+
+def test_each_length_is_searched_apart(spark):
+    rng = np.random.default_rng(7)
+    a, b = unit(rng, 40, 8), unit(rng, 30, 5)
+    rows = [(2 * i, v) for i, v in enumerate(a.tolist())] + [(2 * i + 1, v) for i, v in enumerate(b.tolist())]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: (v % 20 == 0) | (v == 5), n=3).collect()
+    for q, m, of in [(q, a, lambda i: 2 * i) for q in (0, 20, 40, 60)] + [(5, b, lambda i: 2 * i + 1)]:
+        s = m @ m[q // 2]
+        s[q // 2] = -np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [of(int(i)) for i in np.argsort(-s)[:3]]
+    assert len(got) == 15

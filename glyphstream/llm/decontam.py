@@ -3,8 +3,8 @@
 Texts and items are read as lower-case words joined by single spaces. A document leaks an item if some part of it is within edit
 distance ``max_edits`` (a share of the item's length) of the item.
 
-1. *Windows.* A window begins at every STRIDE-th word of a text, and an item is indexed from each of its first STRIDE words on, so that
-   wherever a leak begins, one of its own windows meets one of the item's. Items of less than SHORT bytes have windows at every word.
+1. *Windows.* A window begins at every s-th word of a text, and an item is indexed from each of its first s words on, so that
+   wherever a leak begins, one of its own windows meets one of the item's; s is the first of STRIDES that the item has words.
 2. *CGK.* A random walk reads a window into a string of twice its length, advancing on a character if a random function of (step,
    character) says so. Strings at edit distance k become strings at Hamming distance O(k^2) with constant probability, for each of WALKS
    walks. A walk from a window's begin serves windows of all sizes: an item of n bytes is compared on 2n steps.
@@ -39,19 +39,20 @@ from pyspark.sql import functions as F
 
 from .common import chunks, text_bytes
 
-MAX_EDITS = 0.05
-WALKS, HALVES, BITS = 3, 10, 4
+MAX_EDITS = 0.07
+WALKS, HALVES, BITS = 4, 11, 4
 RECALL = 0.9  # at the allowed distance
-STRIDE, SHORT = 8, 64
+STRIDES = (12, 6, 3, 1)
 CLASS = 2  # lengths of a class differ by less than this factor
 BLOCK_BYTES = 2 << 20
-CHUNK = 1 << 18
+CHUNK = 1 << 20
 _SEED = 11
 GRAM, SLOTS = 4, 1 << 12
 _PAIRS = [(i, j) for i in range(HALVES) for j in range(i)]
-_odd = lambda *of: np.random.default_rng((_SEED, *of)).integers(1 << 62, size=of[1:], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTORS, _SCALE, _SALT = _odd(1, HALVES, BITS), _odd(2, HALVES), _odd(3, len(_PAIRS))
-_RUN = 56  # steps whose random bits fit one word, beside the byte itself
+_FIRST, _SECOND = np.array(_PAIRS).T
+TOGETHER = 9  # pairs looked up at once
+_draw = lambda *shape: np.random.default_rng((_SEED, *shape)).integers(1 << 64, size=shape, dtype=np.uint64)
+_CODES, _SALT = _draw(HALVES, BITS, 256), _draw(len(_PAIRS))  # the code of a byte at a half's position; of a pair
 
 
 def normal(text: bytes) -> bytes:
@@ -59,28 +60,22 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-@lru_cache(maxsize=512)
-def _words(walk: int, run: int) -> np.ndarray:
-    """For each byte, _RUN random bits, one a step, below the byte itself."""
-    bits = np.random.default_rng((_SEED, 0, walk, run)).integers(1 << _RUN, size=256, dtype=np.int64)
-    return bits | np.arange(256) << _RUN
+@lru_cache(maxsize=64)
+def _advances(walk: int, steps: int) -> np.ndarray:
+    """(step, byte) -> does the walk advance?"""
+    blocks = [np.random.default_rng((_SEED, 0, walk, b)).integers(0, 2, (64, 256)) for b in range(-(-steps // 64))]
+    return np.concatenate(blocks)[:steps]
 
 
 def cgk(text: np.ndarray, starts: np.ndarray, steps: int, walk: int, wanted: np.ndarray | None = None) -> dict[int, np.ndarray]:
     """The embeddings of the windows of ``text`` at ``starts``: step -> the byte that each walk reads then, for the ``wanted`` steps.
     The text must reach ``steps`` bytes beyond the last start."""
     at, out = starts.astype(np.int64), {}
-    wanted = np.ones(steps, dtype=bool) if wanted is None else wanted
-    step = np.empty_like(at)
-    for run in range(0, steps, _RUN):
-        signs = _words(walk, run // _RUN).take(text)
-        for t in range(run, min(run + _RUN, steps)):
-            c = signs.take(at)
-            if wanted[t]:
-                out[t] = (c >> _RUN).view(np.uint64) & np.uint64(255)
-            np.right_shift(c, t - run, out=step)
-            step &= 1
-            at += step
+    for t, advances in enumerate(_advances(walk, steps)):
+        c = text.take(at)
+        if wanted is None or wanted[t]:
+            out[t] = c
+        at += advances.take(c)
     return out
 
 
@@ -99,11 +94,10 @@ def _halves(rows: dict[int, np.ndarray], positions: np.ndarray) -> np.ndarray:
     """(half, window) -> key of the bytes read at the half's positions."""
     out = []
     for i, p in enumerate(positions.tolist()):
-        key = rows[p[0]] * _FACTORS[i, 0]
+        key = _CODES[i, 0].take(rows[p[0]])
         for j in range(1, BITS):
-            key += rows[p[j]] * _FACTORS[i, j]
-        key ^= key >> np.uint64(29)
-        out.append(key * _SCALE[i])
+            key += _CODES[i, j].take(rows[p[j]])
+        out.append(key)
     return np.array(out)
 
 
@@ -150,16 +144,15 @@ class _Tables:
 
     def hits(self, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, owner) of every agreement."""
-        at, found = [], []
-        for (i, j), salt in zip(_PAIRS, _SALT):
-            key = halves[i] + halves[j]
-            key += salt
-            k = np.flatnonzero(self.seen.take((key >> self.drop).view(np.int64)))
-            if len(k):
-                at.append(k)
-                found.append(key[k])
-        if not at:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n, at, found = halves.shape[1], [], []
+        for k in range(0, len(_PAIRS), TOGETHER):
+            key = halves[_FIRST[k : k + TOGETHER]]
+            key += halves[_SECOND[k : k + TOGETHER]]
+            key += _SALT[k : k + TOGETHER, None]
+            key = key.ravel()
+            hit = np.flatnonzero(self.seen.take((key >> self.drop).view(np.int64)))
+            at.append(hit % n)
+            found.append(key[hit])
         at, found = np.concatenate(at), np.concatenate(found)
         lo, hi = np.searchsorted(self.keys, found, "left"), np.searchsorted(self.keys, found, "right")
         n = hi - lo
@@ -177,12 +170,13 @@ class Items:
         self.grams = [_grams(np.frombuffer(t, dtype=np.uint8)) for t in self.texts]
         self.single: dict[bytes, list[int]] = {}
         # stride -> (item, bytes of the item before the window, the window)
-        windows: dict[int, list[tuple[int, int, bytes]]] = {1: [], STRIDE: []}
+        windows: dict[int, list[tuple[int, int, bytes]]] = {s: [] for s in STRIDES}
         for k, t in enumerate(self.texts):
             if b" " not in t:
                 self.single.setdefault(t, []).append(k)
                 continue
-            stride, begin = STRIDE if len(t) >= SHORT else 1, 0
+            n_words, begin = t.count(b" ") + 1, 0
+            stride = next(s for s in STRIDES if s <= n_words)
             for _ in range(stride):
                 windows[stride].append((k, begin, t[begin:]))
                 begin = t.find(b" ", begin) + 1

@@ -26,8 +26,12 @@ def width_column(duration: Column, target: float = TARGET, short: float = SHORT)
 
 
 def planned(durations: DataFrame, width: Column, overlap: float, key: str = "video_id", duration: str = "duration", start: float = 0.0) -> DataFrame:
-    """key, chunk, core_start, core_end, read_start, read_end: cores tile each stream, reads reach ``overlap`` beyond them on both sides."""
-    d = durations.withColumn("_w", width).where(F.col("_w").isNotNull() & (F.col("_w") > 2 * overlap))
+    """key, chunk, core_start, core_end, read_start, read_end: cores tile each stream, reads reach ``overlap`` beyond them on both sides. Streams without
+    a width or a duration, or too narrow a width, are errors."""
+    d = durations.withColumn("_w", width)
+    bad = F.col("_w").isNull() | (F.col("_w") <= 2 * overlap) | F.col(duration).isNull() | (F.col(duration) < 0)
+    say = F.concat(F.lit("a chunk must be more than twice as wide as the overlap, and a stream have a duration: width "), F.coalesce(F.col("_w").cast("string"), F.lit("null")))
+    d = d.withColumn("_w", F.when(bad, F.raise_error(say).cast("double")).otherwise(F.col("_w")))
     n = F.greatest(F.lit(1), F.ceil((F.col(duration) - 1e-9) / F.col("_w"))).cast("long")
     d = d.select(key, duration, "_w", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk"))
     begin = start + F.col("chunk") * F.col("_w")
@@ -56,18 +60,25 @@ def same_event(a, b, text_similarity: Column, spatial: Column, prefix: Column, o
     return (a("chunk") != b("chunk")) & near & texts & alike
 
 
-def neighbour_pairs(events: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """Pairs of events (video_id, chunk, event_id, start, stop, text, l, t0, r, b0) of neighbouring chunks that may be one: an equi join on
-    stream and chunk boundary, which only events near the boundary reach, then the residual test."""
+def chunk_pairs(events: DataFrame, overlap: float = OVERLAP, bin_sec: float = 16.0) -> DataFrame:
+    """Pairs of events (video_id, chunk, event_id, start, stop, text, l, t0, r, b0) of two chunks that may be one, the lower chunk's first. Events, half the
+    reach longer at both ends, meet in the time bins that both touch and count in the first of them; the residual test follows."""
     reach = max(1.25, overlap + 0.5)
     e = events.where(F.length("text") > 0)
     cols = ["event_id", "start", "stop", "text", "l", "t0", "r", "b0", "chunk"]
-    side = lambda p, edge: e.select("video_id", edge.alias("edge"), *[F.col(c).alias(p + c) for c in cols])
-    pairs = side("a_", F.col("chunk")).join(side("b_", F.col("chunk") - 1), ["video_id", "edge"])
+
+    def side(p: str) -> DataFrame:
+        first, last = F.floor((F.col("start") - reach / 2 - 1e-6) / bin_sec), F.floor((F.col("stop") + reach / 2 + 1e-6) / bin_sec)
+        return e.select("video_id", F.explode(F.sequence(first, last)).alias("bin"), first.alias(p + "first"), T.bare(F.col("text")).alias(p + "bare"), *[F.col(c).alias(p + c) for c in cols])
+
+    pairs = side("a_").join(side("b_"), ["video_id", "bin"]).where((F.col("bin") == F.greatest("a_first", "b_first")) & (F.col("a_chunk") < F.col("b_chunk")))
     pairs = pairs.where((F.col("b_start") <= F.col("a_stop") + reach + 1e-6) & (F.col("a_start") <= F.col("b_stop") + reach + 1e-6))
-    similar = T.similarity(T.bare(F.col("a_text")), T.bare(F.col("b_text")))
-    spatial = G.iou(G.box_cols("a_"), G.box_cols("b_"))
-    ok = same_event(lambda c: F.col("a_" + c), lambda c: F.col("b_" + c), similar, spatial, T.prefix_related(F.col("a_text"), F.col("b_text")), overlap)
+    x, y = F.col("a_bare"), F.col("b_bare")
+    prefix = (F.length(x) > 0) & (F.length(y) > 0) & (F.startswith(x, y) | F.startswith(y, x))
+    ok = same_event(lambda c: F.col("a_" + c), lambda c: F.col("b_" + c), F.col("similar"), F.col("spatial"), prefix, overlap)
+    # boxes apart can only be one event if they share time, and are told by text alone then
+    pairs = pairs.withColumn("spatial", G.iou(G.box_cols("a_"), G.box_cols("b_")))
+    pairs = pairs.where((F.col("spatial") >= 0.08) | (F.least("a_stop", "b_stop") >= F.greatest("a_start", "b_start"))).withColumn("similar", T.similarity(x, y))
     return pairs.where(ok).select("video_id", F.col("a_event_id").alias("left_id"), F.col("b_event_id").alias("right_id"))
 
 
@@ -89,20 +100,25 @@ def merged_history(points: Column) -> Column:
     )
 
 
-def merge_chunk_events(events: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+def numbered(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``event_id`` from 1 within the keys, in that order."""
+    return events.withColumn("event_id", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def merge_chunk_events(events: DataFrame, overlap: float = OVERLAP, begin: float | None = None, end: float | None = None) -> DataFrame:
     """Events of all chunks of a stream folded in order of (start, chunk): each joins the first merged row that it may be one with, whose
-    extent grows as it goes; what is left is numbered by (start, stop). Streams are first split at gaps that no pair can bridge, so a
-    task folds one stretch of a stream, not a stream.
+    extent grows as it goes; what is left is numbered by (start, stop). An ordered scan holds the merged rows that a later event can still reach.
 
-    Columns: video_id, chunk, event_id, start, stop, text, confidence, l, t0, r, b0. Adds n (events folded) and numbers event_id anew."""
+    Columns: video_id, chunk, event_id, start, stop, text, confidence, l, t0, r, b0. Of others, history (points with t), frames, alternatives, cached,
+    level and n_seen are merged, the rest are those of the text chosen. Events outside ``begin`` to ``end`` are left out first. Adds n (events
+    folded) and numbers event_id anew."""
     reach = max(1.25, overlap + 0.5)
-    w = Window.partitionBy("video_id").orderBy("start", "chunk", "event_id")
-    reached = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    e = events.withColumn("_gap", F.coalesce((F.col("start") - reached > reach + 1e-6).cast("int"), F.lit(1)))
-    e = e.withColumn("stretch", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
-
-    columns = ["video_id", "chunk", "event_id", "start", "stop", "text", "confidence", "l", "t0", "r", "b0"]
-    kinds = {f.name: f for f in to_arrow_schema(events.select(*columns).schema)}
+    if begin is not None:
+        events = events.where(F.col("stop") >= begin - 1e-6)
+    if end is not None:
+        events = events.where(F.col("start") <= end + 1e-6)
+    columns = events.columns
+    kinds = {f.name: f.type for f in to_arrow_schema(events.schema)} | {"n": pa.int64()}
 
     def step(b: pa.RecordBatch, near, ends: bool):
         """``near``: the merged rows that a later event can still reach; others are handed on."""
@@ -110,23 +126,43 @@ def merge_chunk_events(events: DataFrame, overlap: float = OVERLAP) -> DataFrame
         for r in b.to_pylist():
             done += [m for m in near if m["stop"] < r["start"] - reach - 1e-6]
             near = [m for m in near if m["stop"] >= r["start"] - reach - 1e-6]
-            hit = next((m for m in near if one_event(m, r, overlap)), None)
+            hit = next((i for i, m in enumerate(near) if one_event(m, r, overlap)), None)
             if hit is None:
                 near.append({**r, "n": 1})
-                continue
-            if _chosen(hit, r) is r:
-                hit["text"] = r["text"]
-            if r["stop"] >= hit["stop"]:  # the last box
-                hit.update({c: r[c] for c in ("l", "t0", "r", "b0")})
-            hit.update(start=min(hit["start"], r["start"]), stop=max(hit["stop"], r["stop"]), confidence=max(hit["confidence"], r["confidence"]), chunk=min(hit["chunk"], r["chunk"]), n=hit["n"] + 1)
+            else:
+                near[hit] = merged_event(near[hit], r)
         if ends:
             done, near = done + near, []
-        out = pa.RecordBatch.from_arrays([pa.array([m[c] for m in done], kinds[c].type if c in kinds else pa.int64()) for c in (*columns, "n")], names=[*columns, "n"])
+        out = pa.RecordBatch.from_arrays([pa.array([m[c] for m in done], kinds[c]) for c in (*columns, "n")], names=[*columns, "n"])
         return out, near
 
-    schema = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in columns) + ", n long"
-    out = scan(e.select(*columns, "stretch"), ["video_id", "stretch"], ["start", "chunk", "event_id"], step, schema)
-    return out.withColumn("event_id", F.row_number().over(Window.partitionBy("video_id").orderBy("start", "stop", "chunk", "event_id")).cast("long"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", n long"
+    return numbered(scan(events, ["video_id"], ["start", "chunk", "event_id"], step, schema), ["video_id"], ["start", "stop", "chunk", "event_id"])
+
+
+def merged_event(a: dict, b: dict) -> dict:
+    """A merged row and an event as one; lists of either may be missing or null."""
+    m = {**_chosen(a, b), "event_id": a["event_id"], "n": a["n"] + 1}
+    m.update(start=min(a["start"], b["start"]), stop=max(a["stop"], b["stop"]), confidence=max(a["confidence"], b["confidence"]), chunk=min(a["chunk"], b["chunk"]))
+    last = b if b["stop"] >= a["stop"] else a
+    both = lambda c: [*(a[c] or []), *(b[c] or [])]
+    if "history" in m:
+        m["history"] = []
+        for p in sorted(both("history"), key=lambda p: p["t"]):
+            if not m["history"] or p["t"] - m["history"][-1]["t"] >= 1e-6:
+                m["history"].append(p)
+    m.update({c: last[c] for c in ("l", "t0", "r", "b0")})
+    if "frames" in m:
+        m["frames"] = sorted(set(both("frames")))
+    if "alternatives" in m:
+        m["alternatives"] = list(dict.fromkeys(both("alternatives")))
+    if "cached" in m:
+        m["cached"] = bool(a["cached"]) or bool(b["cached"])
+    if "level" in m:
+        m["level"] = max(1 if x["level"] is None else x["level"] for x in (a, b))
+    if "n_seen" in m:
+        m["n_seen"] = (a["n_seen"] or 0) + (b["n_seen"] or 0)
+    return m
 
 
 def _distance(a: str, b: str) -> int:
@@ -168,6 +204,17 @@ def _chosen(a: dict, b: dict) -> dict:
 def rolled_up(profiles: DataFrame, keys: list[str], sums: list[str], counters: str) -> DataFrame:
     """Profiles per key: sums of the scalars, and per-name sums of the counter maps, in name order."""
     totals = profiles.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    profiles, keys = profiles.withColumn("_all", F.lit(0)), [*keys, "_all"]
     each = profiles.select(*keys, F.explode(counters).alias("name", "value")).groupBy(*keys, "name").agg(F.sum("value").alias("value"))
     maps = each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias(counters))
     return totals.join(maps, keys, "left")
+
+
+def run_profile(profiles: DataFrame, keys: list[str], core_sec: float, wall_sec: float) -> DataFrame:
+    """What the chunks of a run counted (chunk, counters) as one profile per key: counters are summed by name; the run lasted ``wall_sec``, whatever its
+    chunks did side by side, and went through ``core_sec`` of streams, overlaps not counted twice."""
+    profiles, keys = profiles.withColumn("_all", F.lit(0)), [*keys, "_all"]
+    each = profiles.select(*keys, F.explode("counters").alias("name", "value")).groupBy(*keys, "name").agg(F.sum("value").alias("value"))
+    sums = each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("counters"), F.sum(F.when(F.col("name").endswith("_sec"), F.col("value")).otherwise(0.0)).alias("work_sec_sum"))
+    n = profiles.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunk_count"))
+    return n.join(sums, keys, "left").drop("_all").withColumns({"total_sec": F.lit(wall_sec), "processed_sec": F.lit(core_sec), "video_realtime": F.lit(core_sec / max(wall_sec, 1e-9))})

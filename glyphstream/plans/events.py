@@ -101,10 +101,9 @@ def chunk_assign(spark: SparkSession, d: str) -> DataFrame:
 CHUNK_ASSIGN = f"WITH plan AS ({CHUNK_PLAN}), {OBS_SQL} SELECT o.video_id, o.frame_id, p.chunk FROM obs o JOIN plan p ON o.video_id = p.video_id AND o.t BETWEEN p.read_start AND p.read_end"
 
 
-def _chunk_events(spark: SparkSession, d: str, lines: int | None = None) -> DataFrame:
-    """Line items (up to number ``lines`` of an order, if given) as short events of the chunks around their begin, every third seen again by the next chunk."""
+def _chunk_events(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as short events of the chunks around their begin, every third seen again by the next chunk."""
     i = intervals(spark, d)
-    i = i if lines is None else i.where(F.col("line") <= lines)
     b = F.floor(F.col("start") / 4).cast("long")
     text = F.concat(F.lit("order "), F.col("order_id").cast("string"))
     one = i.select(F.col("source_id").alias("video_id"), b.alias("chunk"), (F.col("order_id") * 10 + F.col("line")).alias("event_id"), "start", (F.col("start") + F.col("line")).alias("stop"), text.alias("text"), (F.col("weight") / 50).alias("confidence"), (F.col("order_id") % 7 * 60).cast("double").alias("l"), F.lit(10.0).alias("t0"))
@@ -114,16 +113,16 @@ def _chunk_events(spark: SparkSession, d: str, lines: int | None = None) -> Data
 
 
 _CHUNK_EVENTS = INTERVALS_SQL + """, one AS (SELECT source_id AS video_id, floor(start / 4)::BIGINT AS chunk, order_id * 10 + line AS event_id, start, start + line AS stop, 'order ' || order_id::VARCHAR AS text, weight / 50 AS confidence,
-  (order_id % 7 * 60)::DOUBLE AS l, 10::DOUBLE AS t0, (order_id % 7 * 60 + 100)::DOUBLE AS r, 40::DOUBLE AS b0 FROM intervals WHERE line <= 3),
+  (order_id % 7 * 60)::DOUBLE AS l, 10::DOUBLE AS t0, (order_id % 7 * 60 + 100)::DOUBLE AS r, 40::DOUBLE AS b0 FROM intervals),
 ce AS (SELECT * FROM one UNION ALL SELECT video_id, chunk + 1, -event_id, start + 1, stop + 1, text || 'x', confidence + 0.01::DOUBLE, l + 5, t0, r + 5, b0 FROM one WHERE event_id % 3 = 0)"""
 
 
 def chunk_dedup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.neighbour_pairs(_chunk_events(spark, d, 3))  # as its SQL says
+    return chunks.chunk_pairs(_chunk_events(spark, d))
 
 
 CHUNK_DEDUP = f"""WITH {_CHUNK_EVENTS}, p AS (SELECT a.video_id, a.event_id AS left_id, b.event_id AS right_id, least(a.stop, b.stop) - greatest(a.start, b.start) AS shared, replace(a.text, ' ', '') AS x, replace(b.text, ' ', '') AS y, {G.sql_iou('a.', 'b.')} AS s
-  FROM ce a JOIN ce b ON a.video_id = b.video_id AND b.chunk = a.chunk + 1),
+  FROM ce a JOIN ce b ON a.video_id = b.video_id AND a.chunk < b.chunk AND b.start <= a.stop + 4.5 + 1e-6 AND a.start <= b.stop + 4.5 + 1e-6),
 q AS (SELECT *, greatest(0, 1 - levenshtein(x, y) / greatest(length(x), length(y), 1)::DOUBLE) AS sim, starts_with(x, y) OR starts_with(y, x) AS pre FROM p WHERE shared >= -4.5)
 SELECT video_id, left_id, right_id FROM q WHERE (sim >= 0.92 AND (s >= 0.08 OR shared >= 0)) OR (s >= 0.25 AND (sim >= 0.72 OR pre))"""
 
@@ -165,7 +164,42 @@ SELECT user_id, sum(f)::BIGINT AS frames, sum(c)::BIGINT AS calls, string_agg(ev
 
 
 def chunk_merge_full(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.merge_chunk_events(_chunk_events(spark, d))
+    """All that is merged: extent, text, box, history, frames, alternatives, flags."""
+    e = _chunk_events(spark, d)
+    whole = F.col("start").cast("long")
+    point = lambda t: F.struct(t.alias("t"), F.col("l"), F.col("t0"), F.col("r"), F.col("b0"))
+    e = e.select("*", F.array(point(F.col("start")), point(F.col("stop"))).alias("history"), F.array(whole % 97, whole).alias("frames"), F.array("text", F.concat(F.lit("c"), F.col("chunk").cast("string"))).alias("alternatives"), (F.abs("event_id") % 5 == 0).alias("cached"), (F.abs("event_id") % 4).cast("int").alias("level"))
+    m = chunks.merge_chunk_events(e)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    return m.select(*[c for c in m.columns if c not in ("history", "frames", "alternatives")], joined("history", lambda p: F.concat_ws("/", p["t"].cast("long").cast("string"), p["l"].cast("long").cast("string"))), joined("frames", lambda x: x.cast("string")), joined("alternatives", lambda x: x))
+
+
+_MERGE_AS_ONE = """(least(m.stop, e.stop) - greatest(m.start, e.start) >= -1e-6 OR greatest(m.start, e.start) - least(m.stop, e.stop) <= 4.5) AND m.chunk <> e.chunk AND length(m.text) > 0 AND length(e.text) > 0 AND (
+  (SIM >= 0.92 AND (IOU >= 0.08 OR least(m.stop, e.stop) - greatest(m.start, e.start) >= 0)) OR (IOU >= 0.25 AND (SIM >= 0.72 OR starts_with(BARE_M, BARE_E) OR starts_with(BARE_E, BARE_M))))""".replace(
+    "SIM", "greatest(0, 1 - levenshtein(BARE_M, BARE_E) / greatest(length(BARE_M), length(BARE_E), 1)::DOUBLE)"
+).replace("IOU", G.sql_iou("m.", "e.")).replace("BARE_M", "replace(m.text, ' ', '')").replace("BARE_E", "replace(e.text, ' ', '')")
+_PREFIX = "(starts_with(replace(m.text, ' ', ''), replace(e.text, ' ', '')) OR starts_with(replace(e.text, ' ', ''), replace(m.text, ' ', '')))"
+_TAKE_NEW = f"(CASE WHEN {_PREFIX} THEN length(e.text) >= length(m.text) ELSE e.confidence > m.confidence END)"
+_EVENT_ROW = "{{'event_id': {0}event_id, 'chunk': {0}chunk, 'start': {0}start, 'stop': {0}stop, 'text': {0}text, 'confidence': {0}confidence, 'l': {0}l, 't0': {0}t0, 'r': {0}r, 'b0': {0}b0, 'h': {0}h, 'f': {0}f, 'alt': {0}alt, 'cached': {0}cached, 'level': {0}level, 'n': {0}n}}"
+_LAST = lambda c: f"CASE WHEN e.stop >= m.stop THEN e.{c} ELSE m.{c} END"
+#: the fold as a recursion over each stream's events; its state is the list of merged rows that a later event can still reach
+CHUNK_MERGE_FULL = f"""WITH RECURSIVE {_CHUNK_EVENTS}, x AS (SELECT *, [{{'t': start, 'l': l}}, {{'t': stop, 'l': l}}] AS h, [start::BIGINT % 97, start::BIGINT] AS f, [text, 'c' || chunk::VARCHAR] AS alt, abs(event_id) % 5 = 0 AS cached, (abs(event_id) % 4)::INT AS level, 1::BIGINT AS n FROM ce),
+o AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start, chunk, event_id) AS rn, {_EVENT_ROW.format("")} AS e FROM x),
+g AS (
+  SELECT video_id, 0::BIGINT AS rn, list_filter([e], lambda m: false) AS near, list_filter([e], lambda m: false) AS gone FROM o WHERE rn = 1
+  UNION ALL
+  SELECT video_id, rn, CASE WHEN hit IS NULL THEN list_append(alive, e) ELSE list_transform(alive, lambda m, i: CASE WHEN i = hit THEN {{'event_id': m.event_id, 'chunk': least(m.chunk, e.chunk), 'start': least(m.start, e.start), 'stop': greatest(m.stop, e.stop), 'text': CASE WHEN {_TAKE_NEW} THEN e.text ELSE m.text END,
+      'confidence': greatest(m.confidence, e.confidence), 'l': {_LAST("l")}, 't0': {_LAST("t0")}, 'r': {_LAST("r")}, 'b0': {_LAST("b0")}, 'h': list_concat(m.h, e.h), 'f': list_concat(m.f, e.f), 'alt': list_concat(m.alt, e.alt), 'cached': m.cached OR e.cached, 'level': greatest(m.level, e.level), 'n': m.n + 1}} ELSE m END) END, gone
+  FROM (SELECT *, list_position(list_transform(alive, lambda m: {_MERGE_AS_ONE}), true) AS hit FROM (
+    SELECT o.video_id, o.rn, o.e, list_filter(g.near, lambda m: m.stop >= o.e.start - 4.5 - 1e-6) AS alive, list_filter(g.near, lambda m: m.stop < o.e.start - 4.5 - 1e-6) AS gone FROM g JOIN o ON o.video_id = g.video_id AND o.rn = g.rn + 1))
+), ends AS (SELECT video_id, max(rn) AS rn FROM g GROUP BY video_id),
+d AS (SELECT video_id, unnest(gone) AS m FROM g UNION ALL SELECT g.video_id, unnest(near) AS m FROM g JOIN ends USING (video_id, rn)),
+r AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY m.start, m.stop, m.chunk, m.event_id) AS event_id, m FROM d)
+SELECT video_id, m.chunk, event_id, m.start, m.stop, m.text, m.confidence, m.l, m.t0, m.r, m.b0, m.cached, m.level, m.n,
+  (SELECT string_agg(p.t::BIGINT::VARCHAR || '/' || p.l::BIGINT::VARCHAR, ',' ORDER BY p.t) FROM (SELECT t, arg_min(l, i) AS l FROM (SELECT unnest(m.h).t AS t, unnest(m.h).l AS l, unnest(range(len(m.h))) AS i) GROUP BY t) p) AS history,
+  array_to_string(list_sort(list_distinct(m.f)), ',') AS frames,
+  (SELECT string_agg(a, ',' ORDER BY i) FROM (SELECT a, min(i) AS i FROM (SELECT unnest(m.alt) AS a, unnest(range(len(m.alt))) AS i) GROUP BY a)) AS alternatives
+FROM r"""
 
 
 # ---------------------------------------------------------------- evaluation
@@ -196,11 +230,7 @@ def history_interval_join(spark: SparkSession, d: str) -> DataFrame:
     o = observations(spark, d)
     cut = segments.islands(o.where("tier <> 1").select("video_id", "frame_id", "t", "content"), F.lag("content").over(w) != F.col("content"), "video_id", "frame_id")
     seg = cut.groupBy("video_id", "island").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    samples = o.where("tier = 1").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("t", "frame_id"))).alias("s"))
-    j = seg.join(samples, "video_id")
-    inside = F.filter("s", lambda p: (p["t"] >= F.col("first") - 1e-6) & (p["t"] <= F.col("last") + 1e-6))
-    at = F.when(F.size(inside) > 0, inside).otherwise(F.array(evaluate.nearest(F.col("s"), F.col("first"))))
-    return j.select("video_id", "island", F.explode(at).alias("p")).select("video_id", "island", F.col("p.frame_id").alias("frame_id"))
+    return evaluate.samples_of_segments(seg, o.where("tier = 1").select("video_id", "frame_id", "t"), bin_sec=DAY)
 
 
 HISTORY_JOIN = f"""WITH {OBS_SQL}, c AS (SELECT video_id, frame_id, t, content FROM obs WHERE tier <> 1), m AS (SELECT *, CASE WHEN lag(content) OVER (PARTITION BY video_id ORDER BY frame_id) IS DISTINCT FROM content THEN 1 ELSE 0 END AS b FROM c),
@@ -211,7 +241,7 @@ SELECT * FROM ins UNION ALL SELECT a.video_id, a.island, arg_min(frame_id, [abs(
 
 
 def _reference(spark: SparkSession, d: str) -> DataFrame:
-    i = intervals(spark, d).where(F.col("source_id") % 10 == 3)
+    i = intervals(spark, d)
     box = lambda x: F.struct(F.col("start").alias("t"), x.alias("l"), F.lit(10.0).alias("t0"), (x + 100).alias("r"), F.lit(40.0).alias("b0"))
     left = (F.col("order_id") % 7 * 60).cast("double")
     return i.select(F.col("source_id").alias("video_id"), (F.col("order_id") * 10 + F.col("line")).alias("event_id"), "start", (F.col("start") + F.col("line")).alias("stop"), F.concat(F.lit("order "), F.col("order_id").cast("string")).alias("text"), F.array(box(left)).alias("history"))
@@ -225,7 +255,7 @@ def _predicted(spark: SparkSession, d: str) -> DataFrame:
     return p.unionByName(p.where(F.col("event_id") % 11 == 0).withColumn("event_id", -F.col("event_id")))
 
 
-_EVALUATION = INTERVALS_SQL + f""", ref AS (SELECT source_id AS video_id, order_id * 10 + line AS event_id, start, start + line AS stop, 'order ' || order_id::VARCHAR AS text, (order_id % 7 * 60)::DOUBLE AS l, 10::DOUBLE AS t0, (order_id % 7 * 60 + 100)::DOUBLE AS r, 40::DOUBLE AS b0 FROM intervals WHERE source_id % 10 = 3),
+_EVALUATION = INTERVALS_SQL + f""", ref AS (SELECT source_id AS video_id, order_id * 10 + line AS event_id, start, start + line AS stop, 'order ' || order_id::VARCHAR AS text, (order_id % 7 * 60)::DOUBLE AS l, 10::DOUBLE AS t0, (order_id % 7 * 60 + 100)::DOUBLE AS r, 40::DOUBLE AS b0 FROM intervals),
 pre AS (SELECT video_id, event_id, start + event_id % 3 / 4::DOUBLE AS start, stop, CASE WHEN event_id % 5 = 0 THEN text || 'z' ELSE text END AS text, l + 10 AS l, t0, r + 10 AS r, b0 FROM ref WHERE event_id % 7 <> 0),
 pred AS (SELECT * FROM pre UNION ALL SELECT * REPLACE (-event_id AS event_id) FROM pre WHERE event_id % 11 = 0),
 sc AS (SELECT a.video_id, a.event_id AS ref_id, b.event_id AS pred_id, CASE WHEN greatest(a.stop, b.stop) - least(a.start, b.start) > 0 THEN greatest(0, least(a.stop, b.stop) - greatest(a.start, b.start)) / (greatest(a.stop, b.stop) - least(a.start, b.start)) ELSE 0 END AS ts,
@@ -414,5 +444,5 @@ QUERIES = {
     "fallback_choice": (fallback_choice, FALLBACK),
     "batch_ids": (batch_ids, BATCH_IDS),
     "task_result_check": (task_result_check, TASK_CHECK),
-    "chunk_merge_full": (chunk_merge_full, None),
+    "chunk_merge_full": (chunk_merge_full, CHUNK_MERGE_FULL),
 }

@@ -1,4 +1,4 @@
-"""python -m glyphstream show-config | doctor | evaluate REFERENCE PREDICTED | run QUERY DATA OUTPUT"""
+"""python -m glyphstream show-config | doctor | evaluate REFERENCE PREDICTED | run FOLDER OUTPUT --detector M:F --recognizer M:F | query QUERY DATA OUTPUT"""
 
 from __future__ import annotations
 
@@ -19,9 +19,18 @@ def main(args: list[str] | None = None) -> int:
     e = s.add_parser("evaluate")
     e.add_argument("reference")
     e.add_argument("predicted")
-    r = s.add_parser("run")
+    q = s.add_parser("query", help="a registered query over a folder of tables")
     for name in ("query", "data", "output"):
+        q.add_argument(name)
+    r = s.add_parser("run", help="text events of a folder of streams")
+    for name in ("folder", "output"):
         r.add_argument(name)
+    for name in ("detector", "recognizer"):
+        r.add_argument(f"--{name}", required=True, help="module:function")
+    r.add_argument("--config")
+    for name, kind in (("start-sec", float), ("end-sec", float), ("chunk-sec", float), ("overlap-sec", float), ("sample-fps", float), ("max-width", int), ("short-sec", float), ("decoder", str), ("probe", str)):
+        r.add_argument(f"--{name}", type=kind)
+    r.add_argument("--exclude", action="append", default=[], help="left,top,right,bottom as shares of the frame")
     a = p.parse_args(args)
     if a.command == "show-config":
         print(json.dumps(Config.load(a.config).to_dict(), indent=2))
@@ -31,6 +40,14 @@ def main(args: list[str] | None = None) -> int:
         print(json.dumps({"pyspark": pyspark.__version__, "rows": get_session().range(3).count()}))
     elif a.command == "evaluate":
         print(json.dumps(evaluate_files(a.reference, a.predicted)))
+    elif a.command == "run":
+        from . import runs
+        from .sources.frames import function_named
+
+        given = {k: v for k in ("start_sec", "end_sec", "chunk_sec", "overlap_sec", "sample_fps", "max_width", "short_sec", "decoder", "probe") if (v := getattr(a, k)) is not None}
+        options = runs.Options(**given, regions=tuple(tuple(map(float, x.split(","))) for x in a.exclude))
+        made = runs.run_folder(get_session(), a.folder, a.output, function_named(a.detector), function_named(a.recognizer), Config.load(a.config), options)
+        print(json.dumps({k: v for k, v in made.to_dict().items() if k != "profile"}))
     else:
         from . import catalog
 

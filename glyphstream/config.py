@@ -7,14 +7,6 @@ from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
 
-@dataclass
-class Motion:
-    max_width: int = 640
-    min_features: int = 24
-    min_inlier_ratio: float = 0.45
-    max_residual: float = 3.5
-
-
 @dataclass
 class Detection:
     fast_width: int = 960
@@ -22,13 +14,17 @@ class Detection:
     audit_width: int = 2560
     audit_sec: float = 20.0
     min_audit_sec: float = 3.0
-    max_audit_sec: float = 40.0
     tile_rows: int = 10
     tile_cols: int = 16
     tile_threshold: float = 0.035
     fast_trigger_ratio: float = 0.12
     scene_score: float = 0.085
     scene_ratio: float = 0.60
+    guided: bool = True  # small changes inside known boxes need no detector
+    guided_confidence: float = 0.45
+    guided_velocity: float = 0.03  # share of the diagonal
+    refresh_rest_sec: float = 5.0
+    short_rest_sec: float = 2.25
 
 
 @dataclass
@@ -52,13 +48,10 @@ class Contents:
 class Policy:
     probe: float = 0.25
     batch: int = 16
-    wait_ms: float = 35.0
-    pressure: int = 48
 
 
 @dataclass
 class Config:
-    motion: Motion = field(default_factory=Motion)
     detection: Detection = field(default_factory=Detection)
     tracking: Tracking = field(default_factory=Tracking)
     contents: Contents = field(default_factory=Contents)
@@ -81,6 +74,15 @@ class Config:
     def load(cls, path: str | Path | None) -> Config:
         return cls() if path is None else cls.from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
 
+    def check(self) -> Config:
+        """Itself, if its values can be worked with."""
+        d, t, c = self.detection, self.tracking, self.contents
+        if min(d.tile_rows, d.tile_cols, d.fast_width, d.local_width, d.audit_width, c.candidates, c.stable, self.policy.batch) < 1 or t.max_missed < 0:
+            raise ValueError("rows, columns, widths and counts must be positive")
+        if not (0 <= t.min_iou <= 1 and 0 <= c.change <= 1 and 0 < d.min_audit_sec <= d.audit_sec and self.policy.probe > 0):
+            raise ValueError("shares must lie between 0 and 1, and waits be positive")
+        return self
+
     def to_dict(self) -> dict:
         return asdict(self)
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import shutil
 import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import delete
+
+
+def within(path: str, root: str) -> bool:
+    """Is the path below the root, by its parts?"""
+    parts, top = [p for p in path.split("/") if p != "."], [p for p in root.split("/") if p != "."]
+    return ".." not in parts and len(parts) > len(top) and parts[: len(top)] == top
+
 
 def now() -> str:
     return datetime.now(UTC).isoformat()
@@ -43,13 +49,13 @@ class Jobs:
     def __init__(self, spark: SparkSession, root: str, workers: int = 1):
         if not 1 <= workers <= 4:
             raise ValueError("1 to 4 workers")
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, root.rstrip("/")
         self._pool, self._lock = ThreadPoolExecutor(workers), threading.Lock()
         self._jobs: dict[str, Job] = {}
 
     def submit(self, kind: str, make: Callable[[], DataFrame]) -> Job:
         job_id = uuid.uuid4().hex[:12]
-        job = Job(job_id, kind, str(self.root / job_id))
+        job = Job(job_id, kind, f"{self.root}/{job_id}")
         with self._lock:
             self._jobs[job_id] = job
         self._pool.submit(self._run, job, make)
@@ -93,10 +99,9 @@ class Jobs:
 
     def clean_up(self, job_id: str, confirm: bool = False) -> None:
         job = self.status(job_id)
-        place = Path(job.output).resolve()
-        if not confirm or self.root.resolve() not in place.parents:
+        if not confirm or not within(job.output, self.root):
             raise ValueError("cleaning up takes confirm=True and a job below the root")
-        shutil.rmtree(place, ignore_errors=True)
+        delete(self.spark, job.output)
         with self._lock:
             del self._jobs[job_id]
 

@@ -3,13 +3,16 @@
 Detection depends on what earlier frames led to, so the first pass reads a stream (or a chunk of one) in order, in Arrow batches; it emits one row per content with its
 candidate crops, history and extent. Recognition feeds nothing back, so it is a plain ``mapInPandas`` over those rows, each
 distinct signature being read once. A detector is a function of (image, request) that gives (box, confidence) pairs; a request has tier, reason, width and
-scopes (boxes, none for the full frame). A recognizer takes a list of crops and gives (text, confidence) pairs."""
+scopes (boxes, none for the full frame). A recognizer takes a list of crops and gives (text, confidence) pairs. Contents that are ready wait in a queue until
+it is long or old enough to be flushed; its length is a signal of the policy. What an engine counts leaves it as one more row, ``counters``."""
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -17,16 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import pixels as X
 from ..functions.policy import decide_values
 from ..sources.frames import image_of
-from .chunks import ID_STEP
+from .chunks import ID_STEP, OVERLAP, merge_chunk_events, numbered
 from .ordered import scan
 from .planner import Planner
+from .recognition import Queue
 from .tracker import Box, Seen, Settings, Stream, Track, area, iou
 
 CROP_HEIGHT = 48
-WIDTHS = {"FAST": 960, "LOCAL": 1600, "AUDIT": 2560}
 PRIORITY = {"AUDIT": 3, "LOCAL": 2, "FAST": 1}
 
 
@@ -80,13 +84,17 @@ def without_contained(scopes: list[Box]) -> tuple[Box, ...]:
 
 @dataclass
 class Engine:
-    """The state of one stream. ``counts`` holds the telemetry of a run."""
+    """The state of one stream. ``counts`` holds the telemetry of a run, seconds by stage among it; ``gpu`` gives the load of the detector's
+    device (0 to 1), if that is known."""
 
     detector: Detector
-    settings: Settings = field(default_factory=lambda: Settings(bits=256))
+    settings: Settings | None = None
     regions: tuple[tuple[float, float, float, float], ...] = ()
-    guided: bool = True
-    planner: Planner = field(default_factory=Planner)
+    guided: bool | None = None
+    planner: Planner | None = None
+    config: Config = field(default_factory=Config)
+    gpu: Callable[[], float | None] = lambda: None
+    queue: Queue = field(default_factory=Queue)
     stream: Stream = None  # type: ignore[assignment]
     before: np.ndarray | None = None
     counts: Counter = field(default_factory=Counter)
@@ -96,10 +104,27 @@ class Engine:
     lives: tuple[float, float, int] = (0.0, 0.0, 0)  # summed lifetimes and typewriter scores, number of contents
 
     def __post_init__(self) -> None:
+        self.config.check()
+        if any(not (0 <= a < c <= 1 and 0 <= b < d <= 1) for a, b, c, d in self.regions):
+            raise ValueError("excluded regions are (left, top, right, bottom) as shares of the frame")
+        d = self.config.detection
+        self.settings = self.settings or settings_of(self.config)
+        self.guided = d.guided if self.guided is None else self.guided
+        self.planner = self.planner or Planner(audit=d.audit_sec, least_audit=d.min_audit_sec, probe=self.config.policy.probe, broad=d.fast_trigger_ratio)
         self.stream = self.stream or Stream(self.settings)
 
+    @contextmanager
+    def _stage(self, name: str):
+        begun = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.counts[f"{name}_sec"] += time.perf_counter() - begun
+
     def frame(self, t: float, image: np.ndarray) -> list[dict]:
         """Takes a frame; gives the contents that ended."""
+        look, own = self.config.detection, self.config
+        self.counts["frames"] += 1
         gray = X.luma(image)
         h, w = gray.shape
         self.settings.width, self.settings.height = float(w), float(h)
@@ -109,7 +134,9 @@ class Engine:
             masked[int(b) : int(np.ceil(d)), int(a) : int(np.ceil(c))] = True
         cut, ratio, reliable, shift, scopes, delta, sure = True, 1.0, False, (0.0, 0.0), [], None, 0.0
         if self.before is not None:
-            dx, dy, sure = X.translation(self.before, gray)
+            with self._stage("motion"):
+                dx, dy, sure = X.translation(self.before, gray)
+            self.counts["motion_estimates"] += 1
             aligned = self.before
             if aligned.shape != gray.shape:
                 aligned = np.rint(X.area_resize(aligned, w, h)).astype(np.uint8)
@@ -121,17 +148,23 @@ class Engine:
                     aligned, shift = tried, (dx, dy)
                 else:
                     sure = 0.0
-            tiles = X.tile_scores(aligned, gray, masked=masked)
-            changed = tiles >= 0.035
+            self.counts["valid_motion_estimates"] += sure >= 0.10
+            with self._stage("change"):
+                tiles = X.tile_scores(aligned, gray, look.tile_rows, look.tile_cols, masked=masked)
+            changed = tiles >= look.tile_threshold
             ratio = float(changed.mean())
             scopes = X.change_scopes(changed, w, h)
             delta = np.where(masked, 0.0, np.abs(gray.astype(float) - aligned) / 255)
-            cut = float(tiles.mean()) >= 0.085 and ratio >= 0.60
+            cut = float(tiles.mean()) >= look.scene_score and ratio >= look.scene_ratio
             reliable = sure >= 0.10 or ratio < 0.25
         total, typing, n = self.lives
-        decision = decide_values({"ocr_queue": 0, "detection_queue": 0, "layout_stability": 1 - ratio, "audit_yield": self.audit_yield, "motion_magnitude": float(np.hypot(*shift)), "motion_confidence": min(1.0, sure), "typewriter": typing / n if n else 0.0, "lifetime": total / n if n else 0.0, "gpu": None})
-        self.planner.probe, self.planner.audit = decision["probe"], decision["audit"]
-        self.settings.stable_wait, self.settings.longest_wait = decision["stable"], decision["longest"]
+        decision = decide_values({"ocr_queue": len(self.queue), "detection_queue": 0, "layout_stability": 1 - ratio, "audit_yield": self.audit_yield, "motion_magnitude": float(np.hypot(*shift)), "motion_confidence": min(1.0, sure), "typewriter": typing / n if n else 0.0, "lifetime": total / n if n else 0.0, "gpu": self.gpu()})
+        self.counts.update(decision["reasons"])
+        if self.queue.due(t, decision["batch"], decision["wait"] / 1000):
+            self._flush(decision["batch"])
+        # the policy's waits are those of the default settings: others scale them
+        self.planner.probe, self.planner.audit = decision["probe"] * own.policy.probe / 0.25, decision["audit"] * look.audit_sec / 20
+        self.settings.stable_wait, self.settings.longest_wait = decision["stable"] * own.contents.stable_wait / 0.45, decision["longest"] * own.contents.longest_wait / 1.8
         had_tracks = bool(self.stream.tracks)
         plan = self.planner.plan(t, cut, reliable, bool(scopes), had_tracks, ratio)
         self.before = gray
@@ -139,6 +172,7 @@ class Engine:
             self.stream.idle(t, shift)
             self.counts["idle_frames"] += 1
             return []
+        self.counts["frames_probed"] += 1
         done: list[dict] = []
         found: list[tuple[Box, float, str]] = []
         refresh: list[Box] = []
@@ -151,9 +185,11 @@ class Engine:
                 if not asked:
                     self.counts["local_requests_fully_guided"] += 1
                     continue
-            width = decision["width"] if tier == "FAST" else WIDTHS[tier]
-            answer = self.detector(image, Request(tier, reason, width, asked, excluded))
+            width = max(decision["width"], look.fast_width) if tier == "FAST" else {"LOCAL": look.local_width, "AUDIT": look.audit_width}[tier]
+            with self._stage("detect"):
+                answer = self.detector(image, Request(tier, reason, width, asked, excluded))
             self.counts[f"detector_calls_{tier.lower()}"] += 1
+            self.counts["detection_observations"] += len(answer)
             kept = [(b, c, tier) for b, c in answer if not any(covers(b, e) >= 0.35 for e in excluded)]
             self.counts["excluded_observations"] += len(answer) - len(kept)
             found += kept
@@ -161,11 +197,13 @@ class Engine:
         for k in stale:
             done += self.stream.drop(k, silent=True)
         first_new = self.stream.next_geometry
-        ended = self.stream.step(t, [self._seen(t, b, c, gray) for b, c, _ in found], shift)
+        with self._stage("track"):
+            ended = self.stream.step(t, [self._seen(t, b, c, gray) for b, c, _ in found], shift)
         done += ended
+        self._enqueue(t)
         if refresh:
             again = [b for b, _, _ in found if any(related(b, s) for s in refresh)]
-            rest = max(5.0 if len(again) >= 2 else 2.25, self.settings.longest_wait + 0.45)
+            rest = max(look.refresh_rest_sec if len(again) >= 2 else look.short_rest_sec, self.settings.longest_wait + 0.45)
             for k, track in self.stream.tracks.items():
                 if track.last == t and any(related(track.box, s) for s in refresh):
                     self.resting[k], self.refreshed[k] = t + rest, t
@@ -174,7 +212,35 @@ class Engine:
             self.audit_yield = 0.8 * self.audit_yield + 0.2 * born / max(len(found), 1)
         return self._count(done)
 
+    def _enqueue(self, t: float) -> None:
+        """Contents that became ready wait to be read, but for those still being typed."""
+        late = []
+        for k in self.stream.tasks:
+            c = next((x.content for x in self.stream.tracks.values() if x.content is not None and x.content.content_id == k), None)
+            if c is not None and c.stable < 2 and c.typewriter >= self.config.contents.typewriter_skip:
+                late.append(k)
+                self.counts["deferred_tasks"] += 1
+            else:
+                self.queue.push(t, k)
+                self.counts["recognition_tasks"] += 1
+        self.stream.tasks = late
+
+    def _flush(self, batch: int) -> None:
+        """Hands a batch on: contents that are read were last seen no earlier than their best candidate."""
+        ids = set(self.queue.pop(batch))
+        self.counts["recognition_batches"] += 1
+        for track in self.stream.tracks.values():
+            c = track.content
+            if c is not None and c.content_id in ids and c.pool:
+                c.last = max(c.last, max(c.pool, key=lambda p: p.quality).t)
+
     def end(self) -> list[dict]:
+        for k in self.stream.tasks:
+            self.queue.push(0.0, k)
+            self.counts["recognition_tasks"] += 1
+        while len(self.queue):
+            self._flush(self.config.policy.batch)
+        self.counts["geometry_tracks"], self.counts["content_tracks"] = self.stream.next_geometry - 1, self.stream.next_content - 1
         return self._count(self.stream.end())
 
     def _count(self, done: list[dict]) -> list[dict]:
@@ -194,11 +260,12 @@ class Engine:
         projected: list[tuple[Box, float, str]] = []
         refresh: list[Box] = []
         stale: list[int] = []
+        d = self.config.detection
         diagonal = max(1.0, float(np.hypot(self.settings.width, self.settings.height)))
         for k, track in self.stream.tracks.items() if self.guided else ():
             b: Box = tuple(v + shift[i % 2] for i, v in enumerate(track.box))  # type: ignore[assignment]
             mine = [s for s in scopes if related(b, s)]
-            if not mine or track.confidence < 0.45 or np.hypot(*track.velocity) / diagonal > 0.03 or any(covers(b, e) >= 0.35 for e in excluded):
+            if not mine or track.confidence < d.guided_confidence or np.hypot(*track.velocity) / diagonal > d.guided_velocity or any(covers(b, e) >= 0.35 for e in excluded):
                 continue
             over = delta is not None and track.confidence >= 0.60 and X.overflows(b, delta)
             if over and self._may_refresh(k, track, t):
@@ -217,7 +284,7 @@ class Engine:
         if t >= self.resting.get(k, -np.inf):
             return True
         last = self.refreshed.get(k, -np.inf)
-        return track.content is not None and track.content.first > last + 1e-6 and t - last >= 2.25
+        return track.content is not None and track.content.first > last + 1e-6 and t - last >= self.config.detection.short_rest_sec
 
 
 # ---------------------------------------------------------------- over tables
@@ -226,23 +293,42 @@ HISTORY = pa.list_(pa.struct([("t", pa.float64()), *((c, pa.float64()) for c in
 TASKS = "video_id long, chunk long, event_id long, geometry_id long, content_id long, start double, stop double, n_seen long, typewriter double, detection double, crops array<binary>, history array<struct<t:double,l:double,t0:double,r:double,b0:double>>"
 
 
-def contents(frames: DataFrame, detector: Detector, settings: Settings | None = None, regions=()) -> DataFrame:
-    """TASKS: a row per content of each (video_id, chunk) of frames (the frame source's columns, and ``chunk``)."""
+def settings_of(config: Config) -> Settings:
+    """The tracker's settings that a configuration asks for."""
+    t, c = config.tracking, config.contents
+    return Settings(t.min_iou, t.max_distance, t.max_missed, c.change, c.stable, c.stable_wait, c.longest_wait, c.candidates, bits=256)
+
+
+def passed(frames: DataFrame, detector: Detector, settings: Settings | None = None, regions=(), config: Config | None = None) -> DataFrame:
+    """TASKS and counters: a row per content of each (video_id, chunk) of frames (the frame source's columns, and ``chunk``), and one row of a null
+    event_id with what its engine counted. Store it where both are read."""
     names = [c.split()[0] for c in TASKS.split(", ")]
 
     def step(b: pa.RecordBatch, engine, ends: bool):
-        engine = engine or Engine(detector, settings or Settings(bits=256), tuple(regions))
+        engine = engine or Engine(detector, replace(settings) if settings else None, tuple(regions), config=config or Config())
         done: list[dict] = []
         for r in b.to_pylist():
             done += engine.frame(r["t"], image_of(r))
         if ends:
             done += engine.end()
         video, chunk = b.column("video_id")[0].as_py(), b.column("chunk")[0].as_py()
-        rows = [{**e, "video_id": video, "chunk": chunk, "detection": e["confidence"], "geometry_id": e["geometry_id"] + chunk * ID_STEP, "content_id": e["content_id"] + chunk * ID_STEP, "event_id": e["event_id"] + chunk * ID_STEP, "history": [dict(zip(("t", "l", "t0", "r", "b0"), (float(t), *map(float, box)))) for t, box in e["history"]]} for e in done]
-        kinds = [pa.list_(pa.binary()) if n == "crops" else HISTORY if n == "history" else pa.float64() if n in ("start", "stop", "typewriter", "detection") else pa.int64() for n in names]
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names), engine
+        rows = [{**e, "video_id": video, "chunk": chunk, "detection": e["confidence"], "geometry_id": e["geometry_id"] + chunk * ID_STEP, "content_id": e["content_id"] + chunk * ID_STEP, "event_id": e["event_id"] + chunk * ID_STEP, "history": [dict(zip(("t", "l", "t0", "r", "b0"), (float(t), *map(float, box)))) for t, box in e["history"]], "counters": None} for e in done]
+        if ends:
+            rows.append({**dict.fromkeys(names), "video_id": video, "chunk": chunk, "counters": [(k, float(v)) for k, v in sorted(engine.counts.items())]})
+        kinds = {"crops": pa.list_(pa.binary()), "history": HISTORY, "counters": pa.map_(pa.string(), pa.float64())} | dict.fromkeys(("start", "stop", "typewriter", "detection"), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.int64())) for n in (*names, "counters")], names=[*names, "counters"]), engine
 
-    return scan(frames, ["video_id", "chunk"], ["t", "frame_id"], step, TASKS)
+    return scan(frames, ["video_id", "chunk"], ["t", "frame_id"], step, TASKS + ", counters map<string,double>")
+
+
+def contents(frames: DataFrame, detector: Detector, settings: Settings | None = None, regions=(), config: Config | None = None) -> DataFrame:
+    """TASKS alone of ``passed``."""
+    return passed(frames, detector, settings, regions, config).where("event_id IS NOT NULL").drop("counters")
+
+
+def profiles(done: DataFrame) -> DataFrame:
+    """(video_id, chunk, counters) of what ``passed`` gave."""
+    return done.where("event_id IS NULL").select("video_id", "chunk", "counters")
 
 
 def texts(tasks: DataFrame, recognizer: Recognizer, retry_below: float = 0.82) -> DataFrame:
@@ -252,6 +338,7 @@ def texts(tasks: DataFrame, recognizer: Recognizer, retry_below: float = 0.82) -
         for pdf in batches:
             images = [[np.frombuffer(c, np.uint8).reshape(CROP_HEIGHT, -1) for c in crops] for crops in pdf["crops"]]
             known: dict[bytes, tuple[str, float]] = {}  # by signature
+            asked_before: list[bool] = []
 
             def read(crops: list[np.ndarray]) -> list[tuple[str, float]]:
                 marks = [X.difference_bits(c) for c in crops]
@@ -259,6 +346,11 @@ def texts(tasks: DataFrame, recognizer: Recognizer, retry_below: float = 0.82) -
                 known.update(zip([marks[i] for i in new], recognizer([crops[i] for i in new]) if new else []))
                 return [known[m] for m in marks]
 
+            for x in images:
+                mark = X.difference_bits(x[0])
+                asked_before.append(mark in known)
+                known.setdefault(mark, ("", 0.0))
+            known.clear()
             best = read([x[0] for x in images])
             weak = [i for i, (_, c) in enumerate(best) if c < retry_below and len(images[i]) > 1]
             more = iter(read([c for i in weak for c in images[i][1:]]))
@@ -267,20 +359,32 @@ def texts(tasks: DataFrame, recognizer: Recognizer, retry_below: float = 0.82) -
                 all_ = [best[i], *(next(more) for _ in images[i][1:])]
                 best[i] = max(all_, key=lambda r: r[1])
                 rivals[i] = list(dict.fromkeys(t for t, _ in all_ if t and t != best[i][0]))
-            yield pdf.drop(columns=["crops"]).assign(text=[t for t, _ in best], confidence=[c for _, c in best], alternatives=rivals)
+            yield pdf.drop(columns=["crops"]).assign(text=[t.strip() for t, _ in best], confidence=[c for _, c in best], alternatives=rivals, cached=asked_before)
 
     kept = ", ".join(c for c in TASKS.split(", ") if not c.startswith("crops"))
-    return tasks.mapInPandas(run, kept + ", text string, confidence double, alternatives array<string>").where("trim(text) <> ''").withColumn("level", F.when(F.size("alternatives") > 0, 2).otherwise(1))
-
+    return tasks.mapInPandas(run, kept + ", text string, confidence double, alternatives array<string>, cached boolean").where("text <> ''").withColumn("level", F.when(F.size("alternatives") > 0, 2).otherwise(1))
 
-def run(frames: DataFrame, detector: Detector, recognizer: Recognizer, settings: Settings | None = None, regions=(), chunk_sec: float = 0.0) -> DataFrame:
-    """Text events of whole streams; with ``chunk_sec``, of chunks in parallel, merged where neighbours saw the same."""
-    from .chunks import OVERLAP, merge_chunk_events
 
+def in_chunks(frames: DataFrame, chunk_sec: float, overlap: float = OVERLAP) -> DataFrame:
+    """Frames with each ``chunk`` that reads them; chunk 0 alone where ``chunk_sec`` is 0."""
     if not chunk_sec:
-        return texts(contents(frames.withColumn("chunk", F.lit(0).cast("long")), detector, settings, regions), recognizer)
-    low = F.greatest(F.lit(0), F.ceil((F.col("t") - OVERLAP) / chunk_sec - 1)).cast("long")
-    cut = frames.withColumn("chunk", F.explode(F.sequence(low, F.floor((F.col("t") + OVERLAP) / chunk_sec).cast("long"))))
-    events = texts(contents(cut, detector, settings, regions), recognizer)
-    last = F.element_at("history", -1)
-    return merge_chunk_events(events.select("video_id", "chunk", "event_id", "start", "stop", F.trim("text").alias("text"), "confidence", *[last[c].alias(c) for c in ("l", "t0", "r", "b0")]))
+        return frames.withColumn("chunk", F.lit(0).cast("long"))
+    if not 0 <= overlap < chunk_sec / 2:
+        raise ValueError("the overlap must be less than half of a chunk")
+    low = F.greatest(F.lit(0), F.ceil((F.col("t") - overlap) / chunk_sec - 1)).cast("long")
+    return frames.withColumn("chunk", F.explode(F.sequence(low, F.floor((F.col("t") + overlap) / chunk_sec).cast("long"))))
+
+
+def events(tasks: DataFrame, recognizer: Recognizer, chunked: bool, overlap: float = OVERLAP, begin: float | None = None, end: float | None = None) -> DataFrame:
+    """Text events of TASKS, merged where neighbouring chunks saw the same, numbered by when they were first seen."""
+    read = texts(tasks, recognizer)
+    if not chunked:
+        return numbered(read, ["video_id"], ["start", "content_id"])
+    last, kept = F.element_at("history", -1), read.columns
+    boxed = read.select("*", *[last[c].alias(c) for c in ("l", "t0", "r", "b0")])
+    return merge_chunk_events(boxed, overlap, begin, end).select(*kept)
+
+
+def run(frames: DataFrame, detector: Detector, recognizer: Recognizer, settings: Settings | None = None, regions=(), chunk_sec: float = 0.0, overlap: float = OVERLAP, config: Config | None = None) -> DataFrame:
+    """Text events of whole streams; with ``chunk_sec``, of chunks in parallel. Both have the same columns."""
+    return events(contents(in_chunks(frames, chunk_sec, overlap), detector, settings, regions, config), recognizer, bool(chunk_sec), overlap)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import scan
+
 
 def with_cache(tasks: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks with what the cache holds for their signature (text, confidence), and whether it does. The cache has one row per key."""
@@ -47,6 +51,48 @@ def batch_ids(df: DataFrame, keys: list[str], order: list[str], size: int) -> Da
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("long"))
 
 
+@dataclass
+class Queue:
+    """Tasks that wait to be read together: due once there are enough of them, or the oldest has waited long enough."""
+
+    items: list[tuple[float, int]] = field(default_factory=list)
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    def push(self, t: float, task: int) -> None:
+        self.items.append((t, task))
+
+    def due(self, t: float, size: int, wait: float) -> bool:
+        return len(self.items) >= size or bool(self.items) and t - self.items[0][0] >= wait
+
+    def pop(self, size: int) -> list[int]:
+        taken, self.items = self.items[:size], self.items[size:]
+        return [task for _, task in taken]
+
+
+def queued_batches(tasks: DataFrame, key: str, time: str, task: str, size: int, wait: float) -> DataFrame:
+    """(key, task, batch): tasks in order of (time, task) go through a Queue that is looked at after each of them, and emptied at the end."""
+    kinds = {f.name: f.dataType.simpleString() for f in tasks.schema}
+
+    def step(b: pa.RecordBatch, state, ends: bool):
+        queue, batch = state or (Queue(), 0)
+        out: list[tuple[int, int]] = []
+        for t, k in zip(b.column(time).to_pylist(), b.column(task).to_pylist()):
+            queue.push(t, k)
+            while queue.due(t, size, wait):
+                out += [(x, batch) for x in queue.pop(size)]
+                batch += 1
+        while ends and len(queue):
+            out += [(x, batch) for x in queue.pop(size)]
+            batch += 1
+        ids, batches = zip(*out) if out else ((), ())
+        whose = pa.array([b.column(key)[0].as_py()] * len(out), b.schema.field(key).type)
+        return pa.RecordBatch.from_arrays([whose, pa.array(ids, b.schema.field(task).type), pa.array(batches, pa.int64())], names=[key, task, "batch"]), (queue, batch)
+
+    return scan(tasks.select(key, time, task), [key], [time, task], step, f"{key} {kinds[key]}, {task} {kinds[task]}, batch long")
+
+
 def unmatched_results(tasks: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """Ids that only one side has."""
     a, b = tasks.select(key).distinct().withColumn("asked", F.lit(True)), results.select(key).distinct().withColumn("answered", F.lit(True))

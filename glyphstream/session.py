@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,12 +30,15 @@ def get_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The shared folder that ``spark.checkpoint.dir`` names. Where it is unset, a session of this machine alone takes a temporary one; a cluster's
+    is an error, as its machines share no such folder."""
     sc = spark.sparkContext
     if (named := sc.getCheckpointDir()) is not None:
         return named
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         named = os.path.join(tempfile.gettempdir(), "glyphstream-checkpoints")
     sc.setCheckpointDir(named)
     return named
@@ -69,6 +73,11 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any Hadoop file system."""
+    _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

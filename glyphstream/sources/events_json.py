@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, is_dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,26 @@ def write_events(events: DataFrame, path: str, single_file: bool = False) -> Non
     (d.repartition(1) if single_file else d).write.mode("overwrite").json(path)
 
 
+def plain(value: object) -> object:
+    """What JSON lacks a form for: a dataclass as its fields, an array or a number of numpy as Python's."""
+    if is_dataclass(value) and not isinstance(value, type):
+        return asdict(value)
+    if hasattr(value, "tolist"):
+        return value.tolist()
+    raise TypeError(f"no JSON for {type(value).__name__}")
+
+
+def write_metadata(spark: SparkSession, path: str, metadata: dict) -> None:
+    """What is known of a run, as indented JSON in one file of any Hadoop file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(conf).create(place, True)
+    try:
+        out.write(json.dumps(metadata, ensure_ascii=False, indent=2, default=plain).encode())
+    finally:
+        out.close()
+
+
 def chunk_parts(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
     """Events of the parts of a chunked run, ids made unique across chunks."""
     from ..operators.chunks import shifted_ids

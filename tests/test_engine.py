@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from glyphstream.functions import policy
@@ -107,9 +108,15 @@ def test_run_over_tables(spark):
     frames = frames_of(spark, 12)
     whole = E.run(frames, detector, recognizer).orderBy("start").collect()
     assert len(whole) == 2 and whole[0].start == 0 and whole[1].stop == 5.5 and whole[0].text != whole[1].text
+    assert [r.event_id for r in whole] == [1, 2] and not any(r.cached for r in whole)
     assert all(len(r.history) >= 1 and r.n_seen >= 1 for r in whole)
-    merged = E.run(frames, detector, recognizer, chunk_sec=3.0).orderBy("start").collect()
+    with pytest.raises(ValueError, match="half of a chunk"):
+        E.run(frames, detector, recognizer, chunk_sec=3.0)
+    cut = E.run(frames, detector, recognizer, chunk_sec=3.0, overlap=1.0)
+    merged = cut.orderBy("start").collect()
+    assert cut.columns == E.run(frames, detector, recognizer).columns
     assert [r.text for r in merged][:1] == [whole[0].text.strip()] and len(merged) == 2 and max(r.stop for r in merged) == 5.5
+    assert all([p.t for p in r.history] == sorted({p.t for p in r.history}) for r in merged)
     assert E.run(frames.where("false"), detector, recognizer).count() == 0
 
 
@@ -122,3 +129,53 @@ def test_runs_are_ranked_by_completeness(spark):
     got = compare({"half": lambda: reference.where("event_id = 1"), "all": lambda: reference, "twice": lambda: reference.unionByName(reference.withColumn("event_id", F.col("event_id") + 10))}, reference, 60.0)
     assert [r["name"] for r in got] == ["all", "twice", "half"]
     assert [r["event_recall"] for r in got] == [1.0, 1.0, 0.5] and got[1]["duplicate_rate"] == 0.5
+
+
+def test_settings_act():
+    from glyphstream.config import Config
+
+    e = E.Engine(lambda image, request: [], config=Config.from_dict({"tracking": {"max_missed": 2}, "detection": {"audit_sec": 8.0, "audit_width": 1234, "guided": False}}))
+    assert (e.settings.most_missed, e.planner.audit, e.guided) == (2, 8.0, False)
+    widths = []
+    e.detector = lambda image, request: widths.append(request.width) or []
+    e.frame(0.0, scene())
+    assert widths == [1234]
+    e.frame(0.5, scene())
+    assert e.planner.audit == 8.0 * 1.5  # a calm layout is looked at less often
+    for bad in ({"detection": {"tile_rows": 0}}, {"tracking": {"min_iou": 2.0}}):
+        with pytest.raises(ValueError):
+            E.Engine(lambda image, request: [], config=Config.from_dict(bad))
+    with pytest.raises(ValueError, match="regions"):
+        E.Engine(lambda image, request: [], regions=((0.5, 0.5, 0.4, 1.0),))
+
+
+def test_queue_presses_on_the_policy():
+    boxes = [(float(x), float(y), x + 30.0, y + 12.0) for x in range(5, 420, 40) for y in range(5, 230, 16)]
+    e = E.Engine(lambda image, request: [(b, 0.9) for b in boxes])
+    for i in range(3):
+        e.frame(i / 1000, scene(seed=i))
+        e.planner.last_audit = -np.inf
+        e.planner.last_probe = -np.inf
+    assert len(e.queue) >= 48
+    e.frame(0.004, scene(seed=9))
+    assert e.counts["queue_pressure"] >= 1 and e.counts["recognition_batches"] >= 1
+    e.end()
+    assert len(e.queue) == 0 and e.counts["recognition_tasks"] >= 48
+
+
+def test_load_of_the_device_is_a_signal():
+    e = E.Engine(lambda image, request: [(at(10), 0.9)], gpu=lambda: 0.95)
+    e.frame(0.0, scene())
+    assert e.counts["gpu_saturated"] == 1
+
+
+def test_counters_leave_the_run(spark):
+    from glyphstream.operators import chunks
+
+    done = E.passed(E.in_chunks(frames_of(spark, 12), 3.0, 1.0), lambda image, request: [((10.0, 20.0, 110.0, 60.0), 0.95)])
+    rows = {r.chunk: r.counters for r in E.profiles(done).collect()}
+    assert set(rows) == {0, 1, 2} and sum(r["frames"] for r in rows.values()) > 12 and all(r["detection_observations"] >= 1 for r in rows.values())
+    p = chunks.run_profile(E.profiles(done), ["video_id"], 5.5, 2.0).first()
+    assert (p.video_id, p.chunk_count, p.processed_sec, p.video_realtime, p.total_sec) == (1, 3, 5.5, 2.75, 2.0)
+    assert p.counters["frames"] == sum(r["frames"] for r in rows.values()) and p.work_sec_sum > 0
+    assert chunks.run_profile(E.profiles(done), [], 5.5, 2.0).count() == 1

@@ -38,29 +38,120 @@ def test_merge_across_chunks(spark):
     assert chunks.merge_chunk_events(spark.createDataFrame([], EVENT)).count() == 0
 
 
+POINT = "struct<t:double,l:double,t0:double,r:double,b0:double>"
+
+
+def plain_merge(rows):
+    """One stream's events folded one by one, over all merged rows."""
+    merged = []
+    for r in sorted(rows, key=lambda r: (r["start"], r["chunk"], r["event_id"])):
+        hit = next((i for i, m in enumerate(merged) if chunks.one_event(m, r)), None)
+        if hit is None:
+            merged.append({**r, "n": 1})
+            continue
+        a, x, y = merged[hit], "".join(merged[hit]["text"].split()), "".join(r["text"].split())
+        prefix = x and y and (x.startswith(y) or y.startswith(x))
+        new = len(r["text"]) >= len(a["text"]) if prefix else r["confidence"] > a["confidence"]
+        history = {}
+        for p in [*a["history"], *r["history"]]:
+            history.setdefault(p[0], p)
+        merged[hit] = {
+            **(r if new else a), "event_id": a["event_id"], "start": min(a["start"], r["start"]), "stop": max(a["stop"], r["stop"]), "confidence": max(a["confidence"], r["confidence"]), "chunk": min(a["chunk"], r["chunk"]), "n": a["n"] + 1,
+            **{c: (r if r["stop"] >= a["stop"] else a)[c] for c in ("l", "t0", "r", "b0")}, "history": [history[t] for t in sorted(history)], "frames": sorted({*a["frames"], *r["frames"]}),
+            "alternatives": list(dict.fromkeys([*a["alternatives"], *r["alternatives"]])), "cached": a["cached"] or r["cached"], "level": max(a["level"], r["level"]),
+        }
+    return merged
+
+
 def test_merge_equals_plain_fold(spark):
     rng = random.Random(3)
     rows = []
     for i in range(300):
         t = rng.uniform(0, 400)
-        rows.append((rng.randint(1, 2), int(t // 40), i, t, t + rng.uniform(0, 6), rng.choice(["alpha beta", "alpha betas", "gamma", ""]), round(rng.random(), 2), 10.0, 10.0, 60.0 + rng.randint(0, 9), 30.0))
+        box = (10.0, 10.0, 60.0 + rng.randint(0, 9), 30.0)
+        rows.append((rng.randint(1, 2), int(t // 40), i, t, t + rng.uniform(0, 6), rng.choice(["alpha beta", "alpha betas", "gamma", ""]), round(rng.random(), 2), *box, [(float(round(t)), *box), (round(t) + 2.0, *box)], [i % 9, i % 7], [f"a{i % 5}", f"a{i % 3}"], i % 4 == 0, i % 3, f"hint{i}"))
+    kind = EVENT + f", history array<{POINT}>, frames array<bigint>, alternatives array<string>, cached boolean, level int, hint string"
+    names = [c.split()[0] for c in (EVENT + ", history, frames, alternatives, cached, level, hint").split(", ")]
+    plain = lambda m: (*(m[c] for c in names if c not in ("event_id", "history")), [tuple(p) for p in m["history"]], m["n"])
+    dicts = [dict(zip(names, r)) for r in rows]
+    expected = [plain(m) for v in (1, 2) for m in plain_merge([r for r in dicts if r["video_id"] == v])]
+    d = spark.createDataFrame(rows, kind)
+    got = [plain(r.asDict()) for r in chunks.merge_chunk_events(d).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    part = chunks.merge_chunk_events(d, begin=100.0, end=200.0)
+    assert {r.n for r in part.collect()} and part.agg(F.min("stop"), F.max("start")).first()[0] >= 100 and part.agg(F.sum("n")).first()[0] == sum(r["stop"] >= 100 and r["start"] <= 200 for r in dicts)
+
+
+def test_pairs_of_any_two_chunks(spark):
+    rng = random.Random(5)
+    rows = [(1, rng.randint(0, 4), i, t, t + rng.uniform(0, 50), rng.choice(["alpha", "alphas", "beta", ""]), 0.5, 10.0 + rng.randint(0, 90), 10.0, 110.0, 30.0) for i in range(200) for t in [rng.uniform(0, 300)]]
     names = [c.split()[0] for c in EVENT.split(", ")]
-    expected = []
-    for video in (1, 2):
-        merged = []
-        for r in sorted((dict(zip(names, r)) for r in rows if r[0] == video), key=lambda r: (r["start"], r["chunk"], r["event_id"])):
-            hit = next((m for m in merged if chunks.one_event(m, r)), None)
-            if hit is None:
-                merged.append({**r, "n": 1})
-                continue
-            if chunks._chosen(hit, r) is r:
-                hit["text"] = r["text"]
-            if r["stop"] >= hit["stop"]:
-                hit.update({c: r[c] for c in ("l", "t0", "r", "b0")})
-            hit.update(start=min(hit["start"], r["start"]), stop=max(hit["stop"], r["stop"]), confidence=max(hit["confidence"], r["confidence"]), chunk=min(hit["chunk"], r["chunk"]), n=hit["n"] + 1)
-        expected += [(video, m["start"], m["stop"], m["text"], m["n"]) for m in merged]
-    got = chunks.merge_chunk_events(spark.createDataFrame(rows, EVENT)).collect()
-    assert sorted((r.video_id, r.start, r.stop, r.text, r.n) for r in got) == sorted(expected)
+    dicts = [dict(zip(names, r)) for r in rows]
+    want = {(a["event_id"], b["event_id"]) for a in dicts for b in dicts if a["chunk"] < b["chunk"] and chunks.one_event(a, b)}
+    got = [(r.left_id, r.right_id) for r in chunks.chunk_pairs(spark.createDataFrame(rows, EVENT)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_chunks_that_cannot_be(spark):
+    d = spark.createDataFrame([(1, 300.0)], "video_id long, duration double")
+    for width in (F.lit(8.0), F.lit(None).cast("double")):
+        with pytest.raises(Exception, match="twice as wide"):
+            chunks.planned(d, width, 4.0).collect()
+
+
+def test_matches_in_stretches_equal_matches_of_whole_cases(spark):
+    rng = random.Random(8)
+    rows = [(rng.randint(1, 2), r, p, round(rng.random(), 1), t, t + rng.uniform(0, 9)) for t in range(0, 900, 7) for r in range(t, t + 9, 3) for p in range(t, t + 9, 4)]
+    rows = [(v, r, p, s, float(min(r, p)), float(max(r, p) + 5)) for v, r, p, s, _, _ in rows]
+    d = spark.createDataFrame(rows, "video_id long, ref_id long, pred_id long, score double, begin double, end double").dropDuplicates(["video_id", "ref_id", "pred_id"])
+    # events that share an id overlap in time
+    key = lambda df: sorted(map(tuple, df.select("video_id", "ref_id", "pred_id").collect()))
+    want = []
+    for v in (1, 2):
+        refs, preds = set(), set()
+        for r in sorted(d.where(F.col("video_id") == v).collect(), key=lambda r: (-r.score, -r.ref_id, -r.pred_id)):
+            if r.ref_id not in refs and r.pred_id not in preds:
+                refs.add(r.ref_id)
+                preds.add(r.pred_id)
+                want.append((v, r.ref_id, r.pred_id))
+    assert key(evaluate.matched(d.drop("begin", "end"))) == sorted(want)
+    assert key(evaluate.matched(d)) == sorted(want) and evaluate.stretches(d, "video_id", 16.0).count() == d.count()
+
+
+def test_percentiles_equal_sorting(spark):
+    rng = random.Random(2)
+    rows = [("hot", 1.0)] * 500 + [("hot", rng.random()) for _ in range(300)] + [("few", float(i)) for i in range(3)] + [("one", 7.0), ("nulls", None)] + [(None, float(i % 11)) for i in range(100)]
+    ps = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in evaluate.percentile(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", ps, parts=8).collect()}
+    assert set(got) == {"hot", "few", "one", None}
+    for k, r in got.items():
+        values = sorted(v for x, v in rows if x == k)
+        assert [r[n] for n in ps] == [values[round((len(values) - 1) * p)] for p in ps.values()]
+
+
+def test_samples_of_segments_equal_a_loop(spark):
+    rng = random.Random(4)
+    samples = [(v, i, float(rng.randint(0, 60) * 3)) for v in (1, 2) for i in range(25)]
+    segments = [(v, i, float(a), float(a + rng.choice([0, 1, 8]))) for v in (1, 2, 3) for i, a in enumerate(range(0, 180, 5))]
+    want = set()
+    for v, i, first, last in segments:
+        own = [(t, f) for x, f, t in samples if x == v]
+        inside = [f for t, f in own if first <= t <= last]
+        if own:
+            want |= {(v, i, f) for f in inside or [min(own, key=lambda p: (abs(p[0] - first), p))[1]]}
+    s, p = spark.createDataFrame(segments, "video_id long, island long, first double, last double"), spark.createDataFrame(samples, "video_id long, frame_id long, t double")
+    assert {tuple(r) for r in evaluate.samples_of_segments(s, p, 10.0).collect()} == want
+
+
+def test_queue_of_tasks(spark):
+    q = recognition.Queue()
+    q.push(0.0, 1)
+    assert not q.due(0.01, 2, 0.035) and q.due(0.04, 2, 0.035)
+    q.push(0.02, 2)
+    assert q.due(0.02, 2, 0.035) and q.pop(1) == [1] and len(q) == 1
+    d = spark.createDataFrame([(1, 0.0, 1), (1, 0.1, 2), (1, 0.2, 3), (1, 5.0, 4), (1, 9.0, 5), (2, 0.0, 6)], "video_id long, t double, task long")
+    got = sorted(map(tuple, recognition.queued_batches(d, "video_id", "t", "task", 3, 3.0).collect()))
+    assert got == [(1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 4, 1), (1, 5, 1), (2, 6, 0)]
 
 
 def test_evaluation_of_a_doubled_prediction(spark):
@@ -242,6 +333,17 @@ def test_frame_source(spark, tmp_path):
     assert [r.t for r in rows] == t.tolist() and len({r.frame_id for r in rows}) == len(t)
     assert (image_of(rows[5]) == images[5]).all()
     assert [r.t for r in read(start_sec="2", end_sec="4", sample_fps="1")] == [2, 3, 4]
+    assert [(r.width, r.height) for r in read(end_sec="0", max_width="2")] == [(2, 2)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    d = spark.read.format("frames").options(path=f"file://{tmp_path}", chunk_sec="3", push_filters="true").load().where("t >= 4 AND t < 5")
+    assert [r.t for r in d.orderBy("t").collect()] == [4, 4.25, 4.5, 4.75] and d.rdd.getNumPartitions() == 1
+    assert [r.t for r in read(decoder="tests.decoders:from_key_frame", sample_fps="1", start_sec="2.5", end_sec="5")] == [3, 4, 5]
+
+
+def test_frames_that_may_be_skipped():
+    from glyphstream.sources.frames import skipped
+
+    assert [skipped(*x) for x in ((30, 0), (2, 1), (30, 1), (30, 1.5), (30, 5), (0, 1))] == ["none", "none", "nonref", "nonref", "bidir", "none"]
 
 
 def test_event_files(spark, tmp_path):

@@ -88,6 +88,47 @@ def translation(before: np.ndarray, after: np.ndarray) -> tuple[float, float, fl
     return float(x - w * (x > w // 2)), float(y - h * (y > h // 2)), float(r.max())
 
 
+def affine(before: np.ndarray, after: np.ndarray, blocks: int = 5, most_residual: float = 3.5, least_inliers: float = 0.45) -> tuple[np.ndarray, float]:
+    """(2 x 3 matrix from points of the first luma plane to those of the second, share of blocks that agree with it). Each block's shift comes from phase
+    correlation, after that of the whole frame; blocks that disagree are left out and the rest fitted again. Where too few agree, the frame's shift counts."""
+    h, w = min(before.shape[0], after.shape[0]), min(before.shape[1], after.shape[1])
+    dx, dy, _ = translation(before, after)
+    whole = np.array([[1.0, 0.0, dx], [0.0, 1.0, dy]])
+    size_y, size_x = h // blocks, w // blocks
+    if min(size_y, size_x) < 16:
+        return whole, 0.0
+    at, to = [], []
+    for y in range(0, h - size_y + 1, size_y):
+        for x in range(0, w - size_x + 1, size_x):
+            u, v = int(np.clip(x + dx, 0, w - size_x)), int(np.clip(y + dy, 0, h - size_y))
+            a, b = before[y : y + size_y, x : x + size_x], after[v : v + size_y, u : u + size_x]
+            if min(a.std(), b.std()) < 2.0:  # nothing to see
+                continue
+            sx, sy, peak = translation(a, b)
+            if peak >= 0.05:
+                at.append((x + size_x / 2, y + size_y / 2, 1.0))
+                to.append((u + sx + size_x / 2, v + sy + size_y / 2))
+    if len(at) < 6:
+        return whole, 0.0
+    p, q = np.array(at), np.array(to)
+    m, on = whole, np.hypot(*(p @ whole.T - q).T) <= 4 * most_residual
+    for _ in range(4):
+        if on.sum() < 4:
+            return whole, 0.0
+        m = np.linalg.lstsq(p[on], q[on], rcond=None)[0].T
+        on = np.hypot(*(p @ m.T - q).T) <= most_residual
+    share = float(on.mean())
+    return (m, share) if share >= least_inliers else (whole, 0.0)
+
+
+def warped(gray: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The plane moved by a 2 x 3 matrix; what comes from outside repeats the edge."""
+    back = np.linalg.inv(np.vstack([matrix, [0.0, 0.0, 1.0]]))
+    y, x = np.mgrid[0 : gray.shape[0], 0 : gray.shape[1]]
+    u, v, _ = back @ np.stack([x.ravel(), y.ravel(), np.ones(x.size)])
+    return np.rint(bilinear(gray, u, v)).reshape(gray.shape).astype(np.uint8)
+
+
 def shifted(gray: np.ndarray, dx: float, dy: float) -> np.ndarray:
     y, x = np.mgrid[0 : gray.shape[0], 0 : gray.shape[1]]
     return np.rint(bilinear(gray, x - dx, y - dy)).astype(np.uint8)
@@ -194,6 +235,17 @@ def clipped(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float, float]:
+    """(IoU, shared area over the smaller one, share of a that b covers, area of a) of the hulls of two polygons; all 0 where either has no area."""
+    a, b = hull(a), hull(b)
+    x, y = polygon_area(a), polygon_area(b)
+    if x <= 0 or y <= 0:
+        return 0.0, 0.0, 0.0, x
+    both = polygon_area(clipped(a, b))
+    share = lambda whole: min(1.0, both / max(whole, 1e-9))
+    return share(x + y - both), share(min(x, y)), share(x), x
+
+
 def quad_iou(a: np.ndarray, b: np.ndarray) -> float:
     a, b = hull(a), hull(b)
     x, y = polygon_area(a), polygon_area(b)

@@ -147,7 +147,14 @@ class Engine:
                 if apart(tried) <= 0.7 * apart(aligned):
                     aligned, shift = tried, (dx, dy)
                 else:
-                    sure = 0.0
+                    with self._stage("motion"):
+                        matrix, agree = X.affine(aligned, gray)
+                    tried = X.warped(aligned, matrix) if agree else aligned
+                    if agree and apart(tried) <= 0.7 * apart(aligned):
+                        centre = matrix @ (w / 2, h / 2, 1.0) - (w / 2, h / 2)
+                        aligned, shift, sure = tried, (float(centre[0]), float(centre[1])), agree
+                    else:
+                        sure = 0.0
             self.counts["valid_motion_estimates"] += sure >= 0.10
             with self._stage("change"):
                 tiles = X.tile_scores(aligned, gray, look.tile_rows, look.tile_cols, masked=masked)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import numbered
 from .ordered import scan
 
 
@@ -93,6 +94,14 @@ def queued_batches(tasks: DataFrame, key: str, time: str, task: str, size: int,
     return scan(tasks.select(key, time, task), [key], [time, task], step, f"{key} {kinds[key]}, {task} {kinds[task]}, batch long")
 
 
+def assembled(contents: DataFrame, geometry: DataFrame, results: DataFrame, stream: str = "video_id") -> DataFrame:
+    """Contents (stream, content_id, geometry_id, start) with their geometry's history and their result's text, those without a text left out: the last
+    point of the history (null where there is none) and event_id, numbered within the stream by when a content was first seen."""
+    j = contents.join(geometry.select("geometry_id", "history"), "geometry_id", "left").join(results.select("content_id", "text"), "content_id", "left")
+    j = j.where(F.trim("text") != "").withColumn("last", F.try_element_at("history", F.lit(-1)))
+    return numbered(j, [stream], ["start", "content_id"])
+
+
 def unmatched_results(tasks: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """Ids that only one side has."""
     a, b = tasks.select(key).distinct().withColumn("asked", F.lit(True)), results.select(key).distinct().withColumn("answered", F.lit(True))

@@ -406,6 +406,36 @@ def batch_ids(spark: SparkSession, d: str) -> DataFrame:
 BATCH_IDS = f"WITH {OBS_SQL} SELECT video_id, frame_id, frame_id // 16 AS batch FROM obs"
 
 
+def event_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as contents, their orders' returned lines as geometry, every line of some weight as a result, every fifth of them without a text."""
+    i = intervals(spark, d)
+    contents = i.select(F.col("source_id").alias("video_id"), (F.col("order_id") * 10 + F.col("line")).alias("content_id"), F.col("order_id").alias("geometry_id"), "start")
+    geometry = i.where("weight > 25").groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line"), F.col("stop").alias("t")))).alias("history")).withColumnRenamed("order_id", "geometry_id")
+    results = i.where("weight > 10").select((F.col("order_id") * 10 + F.col("line")).alias("content_id"), F.when(F.col("order_id") % 5 == 0, " ").otherwise(F.concat(F.lit("order "), F.col("order_id").cast("string"))).alias("text"))
+    a = recognition.assembled(contents, geometry, results)
+    return a.select("video_id", "event_id", "content_id", "start", "text", F.col("last.line").alias("last_line"), F.col("last.t").alias("last_t"))
+
+
+EVENT_ASSEMBLY = f"""WITH {INTERVALS_SQL}, g AS (SELECT order_id AS geometry_id, max(line) AS last_line, arg_max(stop, line) AS last_t FROM intervals WHERE weight > 25 GROUP BY order_id),
+r AS (SELECT order_id * 10 + line AS content_id, CASE WHEN order_id % 5 = 0 THEN ' ' ELSE 'order ' || order_id::VARCHAR END AS text FROM intervals WHERE weight > 10)
+SELECT source_id AS video_id, row_number() OVER (PARTITION BY source_id ORDER BY start, content_id) AS event_id, content_id, start, text, last_line, last_t
+FROM (SELECT *, order_id * 10 + line AS content_id FROM intervals) i LEFT JOIN r USING (content_id) LEFT JOIN g ON g.geometry_id = i.order_id WHERE trim(text) <> ''"""
+
+
+def queue_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Observations as tasks of a queue that is flushed at 16 tasks or when the oldest is half a day old."""
+    return recognition.queued_batches(observations(spark, d), "video_id", "t", "event_id", 16, DAY / 2)
+
+
+QUEUE_BATCHES = f"""WITH RECURSIVE {OBS_SQL}, o AS (SELECT video_id, event_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS rn FROM obs),
+g AS (
+  SELECT video_id, rn, event_id, t, t AS oldest, 1 AS n, 0::BIGINT AS batch FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.video_id, o.rn, o.event_id, o.t, CASE WHEN due THEN o.t ELSE oldest END, CASE WHEN due THEN 1 ELSE n + 1 END, CASE WHEN due THEN batch + 1 ELSE batch END
+  FROM (SELECT *, n >= 16 OR t - oldest >= {DAY / 2}::DOUBLE AS due FROM g) g JOIN o ON o.video_id = g.video_id AND o.rn = g.rn + 1
+) SELECT video_id, event_id, batch FROM g"""
+
+
 def task_result_check(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"))
     r = table(spark, d, "lineitem").where(F.col("l_linenumber") == 4).select(F.col("l_orderkey").alias("task_id"))
@@ -443,6 +473,8 @@ QUERIES = {
     "recognition_cache_join": (recognition_cache_join, CACHE_JOIN),
     "fallback_choice": (fallback_choice, FALLBACK),
     "batch_ids": (batch_ids, BATCH_IDS),
+    "event_assembly": (event_assembly, EVENT_ASSEMBLY),
+    "queue_batches": (queue_batches, QUEUE_BATCHES),
     "task_result_check": (task_result_check, TASK_CHECK),
     "chunk_merge_full": (chunk_merge_full, CHUNK_MERGE_FULL),
 }

@@ -58,7 +58,29 @@ def pixel_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return o.mapInPandas(features, "event_id long, signature string, sharp double, contrast double, complete double, occluded double, score double, changed long, scopes long, dx double, dy double")
 
 
+def hull_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps of each observation's quad, turned by its id, with the one before it in its stream: hulls, not boxes."""
+    from pyspark.sql import Window
+
+    from ..functions import pixels
+
+    w = Window.partitionBy("video_id").orderBy("frame_id")
+    turn = (F.col("event_id") % 16) * 0.4
+    x, y, a, b = (F.col("l") + F.col("r")) / 2, (F.col("t0") + F.col("b0")) / 2, (F.col("r") - F.col("l")) * 2, (F.col("b0") - F.col("t0")) * 4
+    corner = lambda i, j: F.array(x + i * a * F.cos(turn) - j * b * F.sin(turn), y + i * a * F.sin(turn) + j * b * F.cos(turn))
+    quad = F.array(*[corner(i, j) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    pairs = observations(spark, d).select("event_id", "video_id", "frame_id", quad.alias("quad")).select("event_id", "quad", F.lag("quad").over(w).alias("before")).where("before IS NOT NULL")
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [pixels.overlaps(np.array(list(map(list, p))), np.array(list(map(list, q)))) for p, q in zip(pdf["quad"], pdf["before"])]
+            yield pd.DataFrame([(e, *(round(v, 6) for v in r)) for e, r in zip(pdf["event_id"], rows)], columns=["event_id", "iou", "over_smaller", "coverage", "area"])
+
+    return pairs.mapInPandas(measure, "event_id long, iou double, over_smaller double, coverage double, area double")
+
+
 QUERIES = {
+    "hull_overlaps": (hull_overlaps, None),
     "geometry_tracker": (geometry_tracker, None),
     "content_tracker_stateful": (content_tracker_stateful, None),
     "pixel_pipeline": (pixel_pipeline, None),

@@ -40,4 +40,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_each_query_has_sql_or_a_reason():
     without = catalog.queries().keys() - catalog.oracle_sql().keys()
-    assert without == {"geometry_tracker", "content_tracker_stateful", "pixel_pipeline"}
+    assert without == {"hull_overlaps", "geometry_tracker", "content_tracker_stateful", "pixel_pipeline"}

@@ -7,3 +7,51 @@ DATA = "/root/testdata/sf0.001"
 def test_pixel_pipeline_reads_every_observation(spark):
     got = sorted(r.event_id for r in stateful.pixel_pipeline(spark, DATA).select("event_id").collect())
     assert got == sorted(r.event_id for r in observations(spark, DATA).select("event_id").collect())
+
+
+def test_hull_overlaps_equal_counted_points(spark):
+    """Areas of hulls against points of a fine grid."""
+    import numpy as np
+
+    from glyphstream.functions import pixels
+
+    rng = np.random.default_rng(4)
+    v, u = np.mgrid[0:100:0.25, 0:100:0.25]
+    grid = np.stack([u.ravel(), v.ravel()], 1) + 0.125
+
+    def inside(p):
+        h = pixels.hull(p)
+        n = np.roll(h, -1, axis=0) - h
+        return np.all([(dx * (grid[:, 1] - y) - dy * (grid[:, 0] - x)) >= 0 for (x, y), (dx, dy) in zip(h, n)], axis=0)
+
+    for _ in range(12):
+        a, b = rng.uniform(5, 95, (2, 5, 2))
+        x, y = inside(a), inside(b)
+        both = (x & y).sum()
+        got = pixels.overlaps(a, b)
+        want = both / max((x | y).sum(), 1), both / max(min(x.sum(), y.sum()), 1), both / max(x.sum(), 1), x.sum() / 16
+        assert np.allclose(got[:3], want[:3], atol=0.02) and abs(got[3] - want[3]) <= 0.03 * want[3] + 3
+    assert pixels.overlaps(a, a)[:3] == (1.0, 1.0, 1.0) and pixels.overlaps(a, a[:2])[:3] == (0.0, 0.0, 0.0)
+    got = stateful.hull_overlaps(spark, DATA).collect()
+    o = observations(spark, DATA)
+    assert len(got) == o.count() - o.select("video_id").distinct().count() and all(0 <= r.iou <= r.over_smaller <= 1 and r.area > 0 for r in got)
+
+
+def test_affine_motion_is_found():
+    import numpy as np
+
+    from glyphstream.functions import pixels
+
+    rng = np.random.default_rng(2)
+    scene = pixels.area_resize(rng.integers(0, 256, (60, 80)).astype(float), 80, 60)
+    scene = np.rint(pixels.bilinear(np.kron(scene, np.ones((4, 4))), *np.mgrid[0:240, 0:320][::-1].astype(float).reshape(2, -1))).reshape(240, 320).astype(np.uint8)
+    turn = 0.02
+    m = np.array([[1.02 * np.cos(turn), -np.sin(turn), 3.0], [np.sin(turn), 1.02 * np.cos(turn), -2.0]])
+    moved = pixels.warped(scene, m)
+    got, share = pixels.affine(scene, moved)
+    assert share >= 0.6 and np.abs(got[:, :2] - m[:, :2]).max() < 0.01
+    inner = np.s_[30:-30, 30:-30]
+    apart = lambda x: np.abs(x.astype(float) - moved)[inner].mean()
+    dx, dy, _ = pixels.translation(scene, moved)
+    assert apart(pixels.warped(scene, got)) < 0.5 * min(apart(scene), apart(pixels.shifted(scene, dx, dy)))
+    assert np.allclose(pixels.affine(scene, pixels.shifted(scene, 5, -3))[0], [[1, 0, 5], [0, 1, -3]], atol=0.05)

@@ -46,13 +46,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def _ranked(sizes: DataFrame) -> DataFrame:
-    """Adds the rank from 0 by source, null last. Windows over the 256 first bytes bound a task's share of sources."""
-    first = F.when(F.col("source").isNull(), F.lit("zz")).otherwise(F.coalesce(F.nullif(F.lower(F.hex(F.substring(F.encode("source", "utf-8"), 1, 4))), F.lit("")), F.lit("")))
-    s = sizes.withColumn("head", first)
-    heads = s.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
-    before = heads.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = Window.partitionBy("head").orderBy("source")
-    return s.join(before, "head").withColumn("rank", F.col("before") + F.row_number().over(inside) - 1).drop("head", "before")
+    """Adds the rank from 0 by source, null last: ranges of the sources are counted, so a task orders one range, and one row a range is put in order."""
+    order = [F.col("source").isNull(), F.col("source")]
+    s = durable(sizes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    counts = s.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return s.join(before, "range").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1).drop("range", "before")
 
 
 def mix_key(doc_id: Column, source: Column, size: Column, seed: int = 0) -> Column:

@@ -6,6 +6,9 @@ automaton finds how many pieces that makes without building any: a trie of the v
 reached once the longest pieces have been popped off its string) and the number of pieces popped on the way. Each byte is then one
 trie step and some failure steps, linear in all. Distinct words of a batch are stepped together in numpy, byte by byte.
 
+White space itself is not tokenized: tabs, line breaks and further spaces count no pieces of their own. That departs from tokenizers that encode a text
+byte for byte, whose counts are larger by those pieces.
+
 The vocabulary must hold all 256 single bytes, so every word can be cut. It is read once in the driver; the automaton, whose size
 the vocabulary bounds, is broadcast.
 

@@ -18,8 +18,8 @@ distance ``max_edits`` (a share of the item's length) of the item.
 Nothing but the tables generates candidates, whatever words a leak shares with its item. Items of one word have no window worth sampling:
 they are matched as whole words.
 
-Items are shipped to the tasks in blocks of at most ``block_bytes`` of text; further blocks take further passes over the
-documents, so a growing benchmark costs passes, never memory. Texts are not shuffled; what is emitted is one row per (document, item) found.
+Items are shipped to the tasks in blocks of at most ``block_bytes`` of text, one at a time; further blocks take further passes over the
+documents, each of which stores what it finds, so a growing benchmark costs passes, never memory. Texts are not shuffled; what is emitted is one row per (document, item) found.
 
 Cases: null and empty texts leak nothing; null and empty items are ignored;
 repeated items and rows give repeated findings, made distinct; an empty benchmark or table gives an empty result; columns other than
@@ -28,6 +28,7 @@ doc_id, text and item_id, text are not read. Case is folded for A-Z only, so oth
 
 from __future__ import annotations
 
+import functools
 import math
 from functools import lru_cache
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import chunks, stored, text_bytes
 
 MAX_EDITS = 0.07
 WALKS, HALVES, BITS = 4, 11, 4
@@ -284,9 +285,9 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):
 def find_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, edits: the items that every document leaks."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in item_blocks(items, block_bytes):
-        shipped = d.sparkSession.sparkContext.broadcast(sorted(block, key=lambda r: (r[1], r[0] is None, r[0] or 0)))
+    kind = "doc_id long, item_id long, edits long"
+    parts: list[DataFrame] = []
+    for shipped, more in _shipped(d, items, block_bytes):
 
         def run(batches, shipped=shipped):
             it = Items(shipped.value, max_edits)
@@ -297,38 +298,50 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS,
                 cols = list(zip(*got)) if got else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "edits"])
 
-        part = d.mapInArrow(run, "doc_id long, item_id long, edits long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return d.sparkSession.createDataFrame([], "doc_id long, item_id long, edits long")
-    return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
-
-
-def is_leak(text: Column, block: list[tuple[int, bytes]], spark, max_edits: float = MAX_EDITS) -> Column:
-    """Does the text leak any item of the block?"""
-    shipped = spark.sparkContext.broadcast(block)
+        part = d.mapInArrow(run, kind)
+        parts.append(stored(part) if more or parts else part)
+    if not parts:
+        return d.sparkSession.createDataFrame([], kind)
+    return functools.reduce(DataFrame.unionAll, parts).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+
+
+def _shipped(docs: DataFrame, items: DataFrame, block_bytes: int):
+    """(broadcast block, is it followed by another?). Where there are several, their readers store what they find, so that one block at a time is held."""
+    blocks = item_blocks(items, block_bytes)
+    block = next(blocks, None)
+    several = False
+    while block is not None:
+        after = next(blocks, None)
+        several |= after is not None
+        shipped = docs.sparkSession.sparkContext.broadcast(sorted(block, key=lambda r: (r[1], r[0] is None, r[0] or 0)))
+        yield shipped, after is not None
+        if several:
+            shipped.destroy()
+        block = after
+
+
+def is_leak(text: Column, shipped, max_edits: float = MAX_EDITS) -> Column:
+    """Does the text leak any item of the broadcast block?"""
+    made: list[Items] = []
 
     @F.pandas_udf("boolean")
     def leaks(batches: pd.Series) -> pd.Series:
-        it = _items(shipped)
+        if not made:
+            made.append(Items(shipped.value, max_edits))
         raw = [b"" if t is None else t.encode() for t in batches]
         hit = np.zeros(len(raw), dtype=bool)
         for i, j in chunks(raw, CHUNK):
-            hit[[i + at for at, _, _ in it.find(raw[i:j])]] = True
+            hit[[i + at for at, _, _ in made[0].find(raw[i:j])]] = True
         return pd.Series(hit)
 
-    made: list[Items] = []
-
-    def _items(b) -> Items:
-        if not made:
-            made.append(Items(b.value, max_edits))
-        return made[0]
-
     return leaks(text)
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text leaks no item."""
-    for block in item_blocks(items, block_bytes):
-        docs = docs.where(~is_leak(docs["text"], block, docs.sparkSession, max_edits))
+    several = False
+    for shipped, more in _shipped(docs, items, block_bytes):
+        several |= more
+        docs = docs.where(~is_leak(docs["text"], shipped, max_edits))
+        docs = stored(docs) if several else docs
     return docs

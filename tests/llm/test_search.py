@@ -198,6 +198,8 @@ def test_decontamination_of_odd_rows(spark):
     got = {(r.doc_id, r.item_id, r.edits) for r in decontam.find_leaks(d, items).collect()}
     assert got == {(3, 1, 0), (4, 4, 0), (None, 1, 0)}
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(d, items, block_bytes=1).collect()} == {(3, 1), (4, 4), (None, 1)}
+    several = decontam.remove_leaks(d, items, block_bytes=1)
+    assert several.columns == d.columns and sorted(r.doc_id for r in several.collect()) == [1, 2, 5]
     left = decontam.remove_leaks(d, items)
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 5]
     assert decontam.find_leaks(d, items.where("false")).count() == 0 and decontam.find_leaks(d.where("false"), items).count() == 0

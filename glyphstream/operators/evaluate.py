@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..session import stored
 
 LEAST_TEXT, LEAST_TIME, LEAST_SPACE = 0.55, 0.10, 0.05
 REPORT = ("reference_events", "predicted_events", "matched_events", "event_recall", "text_accuracy", "duplicate_rate", "mean_temporal_iou", "mean_spatial_iou")
@@ -169,6 +170,10 @@ def throughput(video_sec: Column, wall_sec: Column) -> Column:
 
 
 def ranked_runs(runs: DataFrame, tie: str) -> DataFrame:
-    """Runs in order of completeness, accuracy, fewest duplicates, speed."""
+    """Runs in order of completeness, accuracy, fewest duplicates, speed. Ranges of that order are counted, so that a task orders one range."""
     order = [F.desc("event_recall"), F.desc("text_accuracy"), F.asc("duplicate_rate"), F.desc("video_realtime"), F.asc(tie)]
-    return runs.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    r = stored(runs.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = r.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return r.join(F.broadcast(before), "_range").withColumn("place", place).drop("_range", "_before")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -96,6 +98,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = Path(__file__).parent
     place = Path(tempfile.mkdtemp(prefix="glyphstream-")) / "glyphstream.zip"
+    atexit.register(shutil.rmtree, place.parent, ignore_errors=True)
     with zipfile.ZipFile(place, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f"{package.name}/{f.relative_to(package)}")

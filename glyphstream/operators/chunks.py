@@ -204,7 +204,6 @@ def _chosen(a: dict, b: dict) -> dict:
 def rolled_up(profiles: DataFrame, keys: list[str], sums: list[str], counters: str) -> DataFrame:
     """Profiles per key: sums of the scalars, and per-name sums of the counter maps, in name order."""
     totals = profiles.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
-    profiles, keys = profiles.withColumn("_all", F.lit(0)), [*keys, "_all"]
     each = profiles.select(*keys, F.explode(counters).alias("name", "value")).groupBy(*keys, "name").agg(F.sum("value").alias("value"))
     maps = each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias(counters))
     return totals.join(maps, keys, "left")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+import types
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -107,98 +111,269 @@ def numbered(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def merge_chunk_events(events: DataFrame, overlap: float = OVERLAP, begin: float | None = None, end: float | None = None) -> DataFrame:
     """Events of all chunks of a stream folded in order of (start, chunk): each joins the first merged row that it may be one with, whose
-    extent grows as it goes; what is left is numbered by (start, stop). An ordered scan holds the merged rows that a later event can still reach.
+    extent grows as it goes; what is left is numbered by (start, stop). An ordered scan holds the merged rows that a later event can still reach, and
+    those that wait for a number as one of their start is still open.
 
     Columns: video_id, chunk, event_id, start, stop, text, confidence, l, t0, r, b0. Of others, history (points with t), frames, alternatives, cached,
     level and n_seen are merged, the rest are those of the text chosen. Events outside ``begin`` to ``end`` are left out first. Adds n (events
     folded) and numbers event_id anew."""
-    reach = max(1.25, overlap + 0.5)
     if begin is not None:
         events = events.where(F.col("stop") >= begin - 1e-6)
     if end is not None:
         events = events.where(F.col("start") <= end + 1e-6)
-    columns = events.columns
-    kinds = {f.name: f.type for f in to_arrow_schema(events.schema)} | {"n": pa.int64()}
-
-    def step(b: pa.RecordBatch, near, ends: bool):
-        """``near``: the merged rows that a later event can still reach; others are handed on."""
-        near, done = near or [], []
-        for r in b.to_pylist():
-            done += [m for m in near if m["stop"] < r["start"] - reach - 1e-6]
-            near = [m for m in near if m["stop"] >= r["start"] - reach - 1e-6]
-            hit = next((i for i, m in enumerate(near) if one_event(m, r, overlap)), None)
-            if hit is None:
-                near.append({**r, "n": 1})
+    kinds = {f.name: f.type for f in to_arrow_schema(events.schema)} | {"event_id": pa.int64(), "n": pa.int64()}
+
+    def step(b: pa.RecordBatch, fold: Fold | None, ends: bool):
+        fold = fold or Fold(kinds, overlap)
+        return fold.add(b, ends), fold
+
+    schema = ", ".join(f"`{f.name}` {'bigint' if f.name == 'event_id' else f.dataType.simpleString()}" for f in events.schema) + ", n long"
+    return scan(events, ["video_id"], ["start", "chunk", "event_id"], step, schema)
+
+
+class Merged:
+    """A merged row: what the next event is compared with, and where its parts lie. Its lists grow in place, so that folding costs what an event adds."""
+
+    __slots__ = ("start", "stop", "chunk", "event_id", "confidence", "text", "bare", "l", "t0", "r", "b0", "cached", "level", "n_seen", "n", "row", "history", "frames", "alternatives", "group")
+
+
+class Group:
+    """Merged rows of one start: numbered together, once all are done."""
+
+    __slots__ = ("before", "open", "rows")
+
+    def __init__(self, before: int):
+        self.before, self.open, self.rows = before, 0, []
+
+
+def _values(c: pa.Array) -> list:
+    return c.to_numpy(zero_copy_only=False).tolist() if c.null_count == 0 and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type)) else c.to_pylist()
+
+
+def _offsets(c: pa.Array) -> list[int]:
+    """Where each list of a column begins among its flattened values, and where the last one ends; a null list is empty."""
+    return [0, *np.cumsum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)).tolist()]
+
+
+class Fold:
+    """The fold of one stream. Columns stay in Arrow: a merged row names the row whose text was chosen, and its points by their places."""
+
+    NUMBERS = ("start", "stop", "chunk", "event_id", "confidence", "l", "t0", "r", "b0", "cached", "level", "n_seen")
+
+    def __init__(self, kinds: dict[str, pa.DataType], overlap: float):
+        self.kinds, self.overlap, self.reach = kinds, overlap, max(1.25, overlap + 0.5)
+        self.near: list[Merged] = []
+        self.waiting: list[Merged] = []
+        self.group, self.group_start, self.count, self.held, self.points = None, None, 0, None, None
+
+    def add(self, b: pa.RecordBatch, ends: bool) -> pa.RecordBatch | None:
+        old = 0 if self.held is None else self.held.num_rows
+        t = pa.Table.from_batches([b] if self.held is None else [self.held, b.cast(self.held.schema)]).combine_chunks()
+        c = {n: t.column(n).combine_chunks() if t.column(n).num_chunks != 1 else t.column(n).chunk(0) for n in t.column_names}
+        numbers = {n: _values(c[n]) for n in self.NUMBERS if n in c}
+        texts = c["text"].to_pylist()
+        history = frames = alternatives = None
+        if "history" in c:
+            at, flat = _offsets(c["history"]), c["history"].flatten()
+            points = flat if self.points is None else pa.concat_arrays([flat, self.points])
+            times = _values(points.field("t"))
+            for m in [*self.near, *self.waiting]:  # places of points that were kept follow those of the rows
+                if m.history is not None:
+                    m.history = [(x, k + len(flat)) for x, k in m.history]
+            history = lambda i: [(times[k], k) for k in range(at[i], at[i + 1])]
+        if "frames" in c:
+            frames = _lists(c["frames"])
+        if "alternatives" in c:
+            alternatives = _lists(c["alternatives"])
+        done: list[Merged] = []
+        names = list(numbers)
+        soonest = min((m.stop for m in self.near), default=math.inf)
+        for i, row in enumerate(zip(*(numbers[n][old:] for n in names)), old):
+            e = Merged()
+            for n, v in zip(names, row):
+                setattr(e, n, v)
+            e.text, e.row, e.n = texts[i], i, 1
+            e.bare = "".join(e.text.split()) if e.text else ""
+            e.history = e.frames = e.alternatives = None
+            limit = e.start - self.reach - 1e-6
+            if soonest < limit:
+                done += [m for m in self.near if m.stop < limit]
+                self.near = [m for m in self.near if not m.stop < limit]
+                soonest = min((m.stop for m in self.near), default=math.inf)
+            if e.start != self.group_start:
+                self.group, self.group_start = Group(self.count), e.start
+            if (hit := self.first(e)) is None:
+                e.group = self.group
+                self.group.open += 1
+                self.count += 1
+                self.near.append(e)
+                soonest = min(soonest, e.stop)
             else:
-                near[hit] = merged_event(near[hit], r)
+                was = hit.stop
+                self.join(hit, e, history, frames, alternatives)
+                if was == soonest:
+                    soonest = min(m.stop for m in self.near)
         if ends:
-            done, near = done + near, []
-        out = pa.RecordBatch.from_arrays([pa.array([m[c] for m in done], kinds[c]) for c in (*columns, "n")], names=[*columns, "n"])
-        return out, near
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", n long"
-    return numbered(scan(events, ["video_id"], ["start", "chunk", "event_id"], step, schema), ["video_id"], ["start", "stop", "chunk", "event_id"])
-
-
-def merged_event(a: dict, b: dict) -> dict:
-    """A merged row and an event as one; lists of either may be missing or null."""
-    m = {**_chosen(a, b), "event_id": a["event_id"], "n": a["n"] + 1}
-    m.update(start=min(a["start"], b["start"]), stop=max(a["stop"], b["stop"]), confidence=max(a["confidence"], b["confidence"]), chunk=min(a["chunk"], b["chunk"]))
-    last = b if b["stop"] >= a["stop"] else a
-    both = lambda c: [*(a[c] or []), *(b[c] or [])]
-    if "history" in m:
-        m["history"] = []
-        for p in sorted(both("history"), key=lambda p: p["t"]):
-            if not m["history"] or p["t"] - m["history"][-1]["t"] >= 1e-6:
-                m["history"].append(p)
-    m.update({c: last[c] for c in ("l", "t0", "r", "b0")})
-    if "frames" in m:
-        m["frames"] = sorted(set(both("frames")))
-    if "alternatives" in m:
-        m["alternatives"] = list(dict.fromkeys(both("alternatives")))
-    if "cached" in m:
-        m["cached"] = bool(a["cached"]) or bool(b["cached"])
-    if "level" in m:
-        m["level"] = max(1 if x["level"] is None else x["level"] for x in (a, b))
-    if "n_seen" in m:
-        m["n_seen"] = (a["n_seen"] or 0) + (b["n_seen"] or 0)
-    return m
-
-
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
+            done, self.near = done + self.near, []
+        self.waiting += done
+        for m in done:
+            m.group.open -= 1
+            m.group.rows.append(m)
+        # a group still open may get rows: the last one, until the stream ends
+        ready = {id(m.group): m.group for m in self.waiting if not m.group.open and (ends or m.group is not self.group)}
+        out = []
+        for g in ready.values():
+            g.rows.sort(key=lambda m: (m.stop, m.chunk, m.event_id is not None, m.event_id))
+            for k, m in enumerate(g.rows, g.before + 1):
+                m.event_id = k
+            out += g.rows
+        self.waiting = [m for m in self.waiting if id(m.group) not in ready]
+        batch = self.batch(out, t, c, points if history else None, at if history else None, frames, alternatives) if out else None
+        self.keep(t, points if history else None)
+        return batch
+
+    def first(self, e: Merged) -> Merged | None:
+        """The first merged row that an event may be one with."""
+        if not e.text:
+            return None
+        for m in self.near:
+            if m.chunk != e.chunk and m.text and (m.stop >= e.start or e.start - m.stop <= self.reach) and _one(m, e, self.overlap):
+                return m
+        return None
+
+    def join(self, a: Merged, b: Merged, history, frames, alternatives) -> None:
+        """A merged row takes an event; lists of either may be missing or null."""
+        x, y = a.bare, b.bare
+        new = len(a.text) <= len(b.text) if x and y and (x.startswith(y) or y.startswith(x)) else not a.confidence >= b.confidence
+        if history:
+            if a.n == 1:
+                a.history = []
+                for p in sorted([*history(a.row), *history(b.row)], key=lambda p: p[0]):
+                    if not a.history or p[0] - a.history[-1][0] >= 1e-6:
+                        a.history.append(p)
+            else:
+                for p in history(b.row):
+                    _insert(a.history, p)
+        if frames:
+            if a.n == 1:
+                a.frames = set(frames(a.row) or [])
+            a.frames.update(frames(b.row) or [])
+        if alternatives:
+            if a.n == 1:
+                a.alternatives = dict.fromkeys(alternatives(a.row) or [])
+            for v in alternatives(b.row) or []:
+                a.alternatives.setdefault(v)
+        if "cached" in self.kinds:
+            a.cached = bool(a.cached) or bool(b.cached)
+        if "level" in self.kinds:
+            a.level = max(1 if v is None else v for v in (a.level, b.level))
+        if "n_seen" in self.kinds:
+            a.n_seen = (a.n_seen or 0) + (b.n_seen or 0)
+        if b.stop >= a.stop:
+            a.l, a.t0, a.r, a.b0 = b.l, b.t0, b.r, b.b0
+        if new:
+            a.text, a.bare, a.row = b.text, b.bare, b.row
+        a.n += 1
+        a.start, a.stop, a.confidence, a.chunk = min(a.start, b.start), max(a.stop, b.stop), max(a.confidence, b.confidence), min(a.chunk, b.chunk)
+
+    def batch(self, out: list[Merged], t: pa.Table, c: dict[str, pa.Array], points: pa.Array | None, at: list[int] | None, frames, alternatives) -> pa.RecordBatch:
+        chosen = t.select([n for n in t.column_names if n not in self.NUMBERS]).take(pa.array([m.row for m in out], pa.int64()))
+        arrays = []
+        for n, kind in self.kinds.items():
+            if n in self.NUMBERS or n == "n":
+                a = pa.array([getattr(m, n) for m in out], kind)
+            elif n == "history" and any(m.n > 1 for m in out):
+                lists = [range(at[m.row], at[m.row + 1]) if m.n == 1 else [k for _, k in m.history] for m in out]
+                nulls = pa.array([m.n == 1 and not c["history"][m.row].is_valid for m in out]) if c["history"].null_count else None
+                flat = points.take(pa.array([k for ks in lists for k in ks], pa.int64()))
+                a = pa.ListArray.from_arrays(pa.array([0, *np.cumsum([len(ks) for ks in lists]).tolist()], pa.int32()), flat, type=kind, mask=nulls)
+            elif n == "frames":
+                a = pa.array([frames(m.row) if m.n == 1 else sorted(m.frames) for m in out], kind)
+            elif n == "alternatives":
+                a = pa.array([alternatives(m.row) if m.n == 1 else list(m.alternatives) for m in out], kind)
+            else:
+                a = chosen.column(n).combine_chunks()
+                a = (pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a).cast(kind)
+            arrays.append(a)
+        return pa.RecordBatch.from_arrays(arrays, names=list(self.kinds))
+
+    def keep(self, t: pa.Table, points: pa.Array | None) -> None:
+        """Only rows and points that open rows name outlive their batch."""
+        rest = [*self.near, *self.waiting]
+        rows = sorted({m.row for m in rest})
+        place = {r: k for k, r in enumerate(rows)}
+        self.held = t.take(pa.array(rows, pa.int64())).combine_chunks().to_batches()[0] if rows else None
+        kept: list[int] = []
+        for m in rest:
+            m.row = place[m.row]
+            if m.history is not None:
+                kept += [k for _, k in m.history]
+                m.history = [(p[0], len(kept) - len(m.history) + k) for k, p in enumerate(m.history)]
+        self.points = points.take(pa.array(kept, pa.int64())) if kept else None
+
+
+def _lists(c: pa.Array):
+    at, flat, nulls = _offsets(c), _values(c.flatten()), set() if c.null_count == 0 else set(np.flatnonzero(pc.is_null(c).to_numpy(zero_copy_only=False)).tolist())
+    return lambda i: None if i in nulls else flat[at[i] : at[i + 1]]
+
+
+def _insert(history: list[tuple[float, int]], p: tuple[float, int]) -> None:
+    """Puts a point into a history whose points are 1e-6 apart or more, after those of its time: it is left out if the one before it is nearer than
+    that, and those after it are if they are."""
+    i = bisect.bisect_right(history, p[0], key=lambda q: q[0])
+    if i and not p[0] - history[i - 1][0] >= 1e-6:
+        return
+    j = i
+    while j < len(history) and not history[j][0] - p[0] >= 1e-6:
+        j += 1
+    history[i:j] = [p]
+
+
+def _text_reaches(x: str, y: str, least: float) -> bool:
+    """Is the similarity of two texts, 1 less the edit distance over the longer length, at least that much?"""
+    if x == y:
+        return True
+    longest = max(len(x), len(y))
+    most = int((1 - least) * longest + 1e-6)  # more edits cannot pass
+    if abs(len(x) - len(y)) > most:
+        return False
+    a, n = 0, min(len(x), len(y))
+    while a < n and x[a] == y[a]:
+        a += 1
+    z = 0
+    while z < n - a and x[-1 - z] == y[-1 - z]:
+        z += 1
+    x, y = x[a : len(x) - z], y[a : len(y) - z]
+    row = list(range(len(y) + 1))
+    for i, u in enumerate(x, 1):
         corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
+        for k, v in enumerate(y, 1):
+            corner, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, corner + (u != v))
+        if min(row) > most:
+            return False
+    return 1 - row[-1] / longest >= least
 
 
-def _box_iou(a: dict, b: dict) -> float:
-    both = max(0.0, min(a["r"], b["r"]) - max(a["l"], b["l"])) * max(0.0, min(a["b0"], b["b0"]) - max(a["t0"], b["t0"]))
-    areas = [max(0.0, x["r"] - x["l"]) * max(0.0, x["b0"] - x["t0"]) for x in (a, b)]
-    return both / max(sum(areas) - both, 1e-9) if min(areas) > 0 else 0.0
+def _one(a: Merged, b: Merged, overlap: float) -> bool:
+    """May two events of different chunks, with texts, be one?"""
+    shared = min(a.stop, b.stop) - max(a.start, b.start)
+    if shared < -1e-6 and -shared > max(1.25, overlap + 0.5):
+        return False
+    both = max(0.0, min(a.r, b.r) - max(a.l, b.l)) * max(0.0, min(a.b0, b.b0) - max(a.t0, b.t0))
+    areas = [max(0.0, e.r - e.l) * max(0.0, e.b0 - e.t0) for e in (a, b)]
+    spatial = both / max(sum(areas) - both, 1e-9) if both and min(areas) > 0 else 0.0
+    if spatial < 0.08 and shared < 0:
+        return False
+    x, y = a.bare, b.bare
+    if spatial >= 0.25:
+        return bool(x and y) and (x.startswith(y) or y.startswith(x)) or _text_reaches(x, y, 0.72)
+    return _text_reaches(x, y, 0.92)
 
 
 def one_event(a: dict, b: dict, overlap: float = OVERLAP) -> bool:
-    shared = min(a["stop"], b["stop"]) - max(a["start"], b["start"])
-    if a["chunk"] == b["chunk"] or (shared < -1e-6 and -shared > max(1.25, overlap + 0.5)) or not a["text"] or not b["text"]:
-        return False
-    spatial = _box_iou(a, b)
-    if spatial < 0.08 and shared < 0:
+    if a["chunk"] == b["chunk"] or not a["text"] or not b["text"]:
         return False
-    x, y = "".join(a["text"].split()), "".join(b["text"].split())
-    longest = max(len(x), len(y), 1)
-    text = 0.0 if abs(len(x) - len(y)) > 0.3 * longest else max(0.0, 1 - _distance(x, y) / longest)
-    prefix = bool(x and y) and (x.startswith(y) or y.startswith(x))
-    return (text >= 0.92 and (spatial >= 0.08 or shared >= 0)) or (spatial >= 0.25 and (text >= 0.72 or prefix))
-
-
-def _chosen(a: dict, b: dict) -> dict:
-    x, y = "".join(a["text"].split()), "".join(b["text"].split())
-    if x and y and (x.startswith(y) or y.startswith(x)):
-        return a if len(a["text"]) > len(b["text"]) else b
-    return a if a["confidence"] >= b["confidence"] else b
+    return _one(*[types.SimpleNamespace(**{c: e[c] for c in ("start", "stop", "l", "t0", "r", "b0")}, bare="".join(e["text"].split())) for e in (a, b)], overlap)
 
 
 def rolled_up(profiles: DataFrame, keys: list[str], sums: list[str], counters: str) -> DataFrame:

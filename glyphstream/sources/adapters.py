@@ -18,11 +18,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    per_video = Window.partitionBy("user_id")
-    e = e.select("user_id", "event_id", "event_type", "value", us.alias("us"), k.alias("k"))
+    # windows by the name that the rows keep, so that a reader's own windows by stream need no second shuffle
+    per_video = Window.partitionBy("video_id")
+    e = e.select(F.col("user_id").alias("video_id"), "event_id", "event_type", "value", us.alias("us"), k.alias("k"))
     x, y = F.col("event_id") * 37 % 560, F.col("k") * 7 % 320
     return e.select(
-        F.col("user_id").alias("video_id"),
+        "video_id",
         "event_id",
         (F.row_number().over(per_video.orderBy("us", "event_id")) - 1).cast("long").alias("frame_id"),
         ((F.col("us") - F.min("us").over(per_video)) / 1e6).alias("t"),

@@ -80,3 +80,27 @@ def test_frames_are_spread_over_cores_and_stacks_equal_single_planes(spark):
     corners = np.zeros((10, 16), bool)
     corners[0, 15] = corners[3, 0] = True
     assert pixels.change_scopes(corners, 80, 60) == [(65.0, 0, 80.0, 18.0), (0, 6.0, 15.0, 36.0)]
+
+
+def test_overlaps_of_many_quads_equal_those_of_each(spark):
+    """Also of quads that are not convex, have no area or run either way; the query's windows share one shuffle."""
+    import numpy as np
+
+    from glyphstream.functions import pixels
+
+    rng = np.random.default_rng(9)
+    turn = rng.uniform(0, 6.3, (2, 300))
+    box = np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]]) * rng.uniform(1, 40, (2, 300, 1, 2))
+    x, y = box[..., 0], box[..., 1]
+    quads = np.stack([x * np.cos(turn)[..., None] - y * np.sin(turn)[..., None], x * np.sin(turn)[..., None] + y * np.cos(turn)[..., None]], -1) + rng.uniform(0, 60, (2, 300, 1, 2))
+    a, b = quads
+    a[:60] = rng.uniform(0, 50, (60, 4, 2))  # any order of corners
+    b[30:50] = b[30:50, ::-1]
+    b[50:55] = b[50:55, :1]
+    a[55:60] = a[55:60, [0, 1, 2, 1]]
+    b[60:80], b[80:90] = a[60:80], a[80:90] + 500
+    a[90:99] = np.rint(a[90:99])
+    b[90:99] = a[90:99] + [3, 0]
+    assert np.allclose(pixels.overlaps_each(a, b), [pixels.overlaps(p, q) for p, q in zip(a, b)], atol=1e-9, rtol=1e-12)
+    assert pixels.overlaps_each(a[:0], b[:0]).shape == (0, 4)
+    assert stateful.hull_overlaps(spark, DATA)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

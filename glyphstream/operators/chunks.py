@@ -78,11 +78,18 @@ def chunk_pairs(events: DataFrame, overlap: float = OVERLAP, bin_sec: float = 16
     pairs = side("a_").join(side("b_"), ["video_id", "bin"]).where((F.col("bin") == F.greatest("a_first", "b_first")) & (F.col("a_chunk") < F.col("b_chunk")))
     pairs = pairs.where((F.col("b_start") <= F.col("a_stop") + reach + 1e-6) & (F.col("a_start") <= F.col("b_stop") + reach + 1e-6))
     x, y = F.col("a_bare"), F.col("b_bare")
+    # boxes apart can only be one event if they share time, and are told by text alone then
+    a, b = G.box_cols("a_"), G.box_cols("b_")
+    meet = (F.greatest(a[0], b[0]) < F.least(a[2], b[2])) & (F.greatest(a[1], b[1]) < F.least(a[3], b[3]))
+    pairs = pairs.where(meet | (F.least("a_stop", "b_stop") >= F.greatest("a_start", "b_start")))
+    # as generators, so that a filter pushed below does not evaluate them for each place that names them; texts are compared only where edits can pass
+    pairs = pairs.withColumn("spatial", F.explode(F.filter(F.array(G.iou(a, b)), lambda s: (s >= 0.08) | (F.least("a_stop", "b_stop") >= F.greatest("a_start", "b_start")))))
+    longest = F.greatest(F.length(x), F.length(y), F.lit(1))
+    most = ((1 - F.when(F.col("spatial") >= 0.25, 0.72).otherwise(0.92)) * longest + 1e-6).cast("int")
     prefix = (F.length(x) > 0) & (F.length(y) > 0) & (F.startswith(x, y) | F.startswith(y, x))
+    similar = F.when(x == y, 1.0).when((most < 1) | (F.abs(F.length(x) - F.length(y)) > most), 0.0).otherwise(T.similarity(x, y))
+    pairs = pairs.where((x == y) | (most >= 1) | (F.col("spatial") >= 0.25)).withColumn("similar", F.explode(F.array(similar)))
     ok = same_event(lambda c: F.col("a_" + c), lambda c: F.col("b_" + c), F.col("similar"), F.col("spatial"), prefix, overlap)
-    # boxes apart can only be one event if they share time, and are told by text alone then
-    pairs = pairs.withColumn("spatial", G.iou(G.box_cols("a_"), G.box_cols("b_")))
-    pairs = pairs.where((F.col("spatial") >= 0.08) | (F.least("a_stop", "b_stop") >= F.greatest("a_start", "b_start"))).withColumn("similar", T.similarity(x, y))
     return pairs.where(ok).select("video_id", F.col("a_event_id").alias("left_id"), F.col("b_event_id").alias("right_id"))
 
 

@@ -53,3 +53,15 @@ def test_an_event_joins_a_long_row_at_its_own_cost(spark):
     began = time.perf_counter()
     rows = chunks.merge_chunk_events(e).select("n", F.size("history").alias("points"), F.size("frames").alias("frames")).collect()
     assert [tuple(r) for r in rows] == [(12_000, 12_002, 12_000)] and time.perf_counter() - began < 20
+
+
+def test_texts_of_pairs_are_compared_once(spark):
+    """The edit distance stood in the join's condition once for each place that names it. Texts that begin alike pair whatever their length."""
+    rng = random.Random(11)
+    rows = [(1, rng.randint(0, 4), i, t, t + rng.uniform(0, 9), rng.choice(["a", "ab", "abc", "abd", "order 1234567", "order 1234568x", "order 123", "o" * 25, "o" * 23 + "xx", " "]), 0.5, l, 10.0, l + 60.0, 30.0) for i in range(300) for t in [rng.uniform(0, 200)] for l in [10.0 * rng.randint(0, 9)]]
+    names = [c.split()[0] for c in plain.EVENT.split(", ")]
+    dicts = [dict(zip(names, r)) for r in rows]
+    pairs = chunks.chunk_pairs(spark.createDataFrame(rows, plain.EVENT))
+    assert pairs._jdf.queryExecution().executedPlan().toString().lower().count("levenshtein(") == 1
+    want = sorted((a["event_id"], b["event_id"]) for a in dicts for b in dicts if a["chunk"] < b["chunk"] and chunks.one_event(a, b))
+    assert sorted(map(tuple, pairs.select("left_id", "right_id").collect())) == want

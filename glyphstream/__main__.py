@@ -69,7 +69,7 @@ def evaluate_files(reference: str, predicted: str) -> dict:
 
     a, b = events(reference), events(predicted)
     pairs = evaluate.candidate_pairs(a, b)
-    row = evaluate.report(a, b, pairs, evaluate.matched(pairs)).first()
+    row = evaluate.report(a, b, pairs).first()
     return {k: v for k, v in row.asDict().items() if k != "video_id"} if row else dict.fromkeys(evaluate.REPORT, 0)
 
 

@@ -21,7 +21,7 @@ def run_benchmark(name: str, make: Callable[[], DataFrame], reference: DataFrame
     events = stored(make().select("video_id", "event_id", "start", "stop", "text", "history"))
     wall = time.perf_counter() - began
     pairs = stored(evaluate.candidate_pairs(reference, events))
-    rows = [r.asDict() for r in evaluate.report(reference, events, pairs, stored(evaluate.matched(pairs))).collect()]
+    rows = [r.asDict() for r in evaluate.report(reference, events, pairs).collect()]
     total = lambda c: sum(r[c] for r in rows)
     mean = lambda c, w: sum(r[c] * r[w] for r in rows) / max(total(w), 1)
     matched = total("matched_events")

@@ -36,27 +36,32 @@ def mean_spatial_iou(a: Column, b: Column, start: Column, stop: Column) -> Colum
     # the inner transform binds both points, as a lambda's parts are evaluated wherever they are named
     both = F.transform(at, lambda t: F.struct(nearest(a, t).alias("x"), nearest(b, t).alias("y")))
     ious = F.transform(both, lambda p: G.iou(G.box_in(p["x"]), G.box_in(p["y"])))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(ious, F.lit(0.0), lambda s, x: s + x) / F.size(ious)).otherwise(F.lit(0.0))
+    # two points, one of each, are nearest at any time
+    single = F.when((F.size(a) == 1) & (F.size(b) == 1), G.iou(G.box_in(a[0]), G.box_in(b[0])))
+    return single.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(ious, F.lit(0.0), lambda s, x: s + x) / F.size(ious)).otherwise(F.lit(0.0))
 
 
 def candidate_pairs(reference: DataFrame, predicted: DataFrame, case: str = "video_id", bin_sec: float = 3600.0) -> DataFrame:
-    """Pairs (ref_id, pred_id, scores, begin and end of both together) that pass all thresholds. Both sides have event_id, start, stop, text, history. Events meet in the time
+    """Pairs (ref_id, pred_id, scores, edits between the texts, chars of the reference's, begin and end of both together) that pass all thresholds. Both sides have event_id, start, stop, text, history. Events meet in the time
     bins that both touch, and count in the first of them; those that share no time cannot pass, so no pair is lost."""
 
     def binned(df: DataFrame, p: str) -> DataFrame:
         first, last = F.floor(F.col("start") / bin_sec), F.floor(F.col("stop") / bin_sec)
-        return df.select(case, F.explode(F.sequence(first, last)).alias("bin"), first.alias(p + "first"), T.bare(F.col("text")).alias(p + "bare"), *[F.col(c).alias(p + c) for c in ("event_id", "start", "stop", "history")])
+        return df.select(case, F.explode(F.sequence(first, last)).alias("bin"), T.bare(F.col("text")).alias(p + "bare"), *[F.col(c).alias(p + c) for c in ("event_id", "start", "stop", "history")])
 
-    j = binned(reference, "a_").join(binned(predicted, "b_"), [case, "bin"]).where(F.col("bin") == F.greatest("a_first", "b_first"))
+    j = binned(reference, "a_").join(binned(predicted, "b_"), [case, "bin"]).where(F.col("bin") == F.floor(F.greatest("a_start", "b_start") / bin_sec))
     time = temporal_iou(*map(F.col, ("a_start", "a_stop", "b_start", "b_stop")))
     j = j.withColumn("time_score", time).where(F.col("time_score") >= LEAST_TIME)
-    j = j.withColumn("text_score", T.similarity(F.col("a_bare"), F.col("b_bare"))).where(F.col("text_score") >= LEAST_TEXT)
+    # as generators, so that a filter pushed below does not evaluate them a second time
+    longest = F.greatest(F.length("a_bare"), F.length("b_bare"), F.lit(1))
+    most = (1 - LEAST_TEXT) * longest + 1e-6  # more edits cannot pass
+    j = j.where(F.abs(F.length("a_bare") - F.length("b_bare")) <= most)
+    j = j.withColumn("edits", F.explode(F.array(F.levenshtein("a_bare", "b_bare")))).withColumn("text_score", F.greatest(F.lit(0.0), 1.0 - F.col("edits") / longest)).where(F.col("text_score") >= LEAST_TEXT)
     space = mean_spatial_iou(F.col("a_history"), F.col("b_history"), F.greatest("a_start", "b_start"), F.least("a_stop", "b_stop"))
-    # as a generator, so that a filter pushed below does not evaluate it a second time
     j = j.withColumn("space_score", F.explode(F.filter(F.array(space), lambda x: x >= LEAST_SPACE)))
     score = F.round(0.55 * F.col("text_score") + 0.25 * F.col("time_score") + 0.20 * F.col("space_score"), 9)
     span = F.least("a_start", "b_start").alias("begin"), F.greatest("a_stop", "b_stop").alias("end")
-    return j.select(case, F.col("a_event_id").alias("ref_id"), F.col("b_event_id").alias("pred_id"), score.alias("score"), "text_score", "time_score", "space_score", *span)
+    return j.select(case, F.col("a_event_id").alias("ref_id"), F.col("b_event_id").alias("pred_id"), score.alias("score"), "text_score", "time_score", "space_score", "edits", F.greatest(F.length("a_bare"), F.lit(1)).alias("chars"), *span)
 
 
 def stretches(pairs: DataFrame, case: str, bin_sec: float) -> DataFrame:
@@ -89,25 +94,77 @@ def matched(pairs: DataFrame, case: str = "video_id", bin_sec: float = 16.0) ->
                     kept.append(i)
             yield b.take(pa.array(kept, pa.int64())).select([case, "ref_id", "pred_id"])
 
-    order = {"_s": -F.col("score"), "_r": -F.col("ref_id"), "_p": -F.col("pred_id")}
+    return _in_order(pairs, case, bin_sec, ["ref_id", "pred_id"]).mapInArrow(run, f"{case} {kind}, ref_id long, pred_id long")
+
+
+def _in_order(pairs: DataFrame, case: str, bin_sec: float, columns: list[str]) -> DataFrame:
+    """case, stretch, columns: each stretch in one task, in the order of matching."""
     cut = stretches(pairs, case, bin_sec) if {"begin", "end"} <= set(pairs.columns) else pairs.withColumn("stretch", F.lit(1))
-    cut = cut.select(case, F.col("stretch").cast("long").alias("stretch"), "ref_id", "pred_id", *[c.alias(n) for n, c in order.items()])
-    return cut.repartition(case, "stretch").sortWithinPartitions(case, "stretch", *order).mapInArrow(run, f"{case} {kind}, ref_id long, pred_id long")
-
-
-def report(reference: DataFrame, predicted: DataFrame, pairs: DataFrame, matches: DataFrame, case: str = "video_id") -> DataFrame:
-    """The scores of each case; pairs and matches are read several times, so store them first where they are dear. Recall and the like are over all its events, accuracy over matched ones (1 where nothing matched)."""
-    m = matches.join(pairs, [case, "ref_id", "pred_id"])
-    text = lambda df, i: df.select(case, F.col("event_id").alias(i), T.bare(F.col("text")).alias(i + "_text"))
-    m = m.join(text(reference, "ref_id"), [case, "ref_id"]).join(text(predicted, "pred_id"), [case, "pred_id"])
-    errors = F.levenshtein("ref_id_text", "pred_id_text")
-    scores = m.groupBy(case).agg(
-        F.count(F.lit(1)).alias("matched_events"), F.sum(errors).alias("errors"), F.sum(F.greatest(F.length("ref_id_text"), F.lit(1))).alias("chars"), F.avg("time_score").alias("time"), F.avg("space_score").alias("space")
-    )
-    free = pairs.join(matches.select(case, "pred_id"), [case, "pred_id"], "left_anti").join(matches.select(case, "ref_id"), [case, "ref_id"], "left_semi")
-    duplicates = free.groupBy(case).agg(F.count_distinct("pred_id").alias("duplicates"))
+    cut = cut.select(case, F.col("stretch").cast("long").alias("stretch"), *columns, "score")
+    return cut.repartition(case, "stretch").sortWithinPartitions(case, "stretch", F.desc("score"), F.desc("ref_id"), F.desc("pred_id"))
+
+
+_SUMS = "matched_events long, errors long, chars long, time double, space double, duplicates long"
+
+
+def _totals(pairs: DataFrame, case: str, bin_sec: float = 16.0) -> DataFrame:
+    """Sums over the matches of each case, as ``matched`` makes them, and its duplicates, from one scan: pairs are not joined with matches or texts again.
+
+    A prediction that is never matched is a duplicate if it meets a reference that is taken; of the pairs of one still free neither would stay so."""
+    kind = pairs.schema[case].dataType.simpleString()
+    columns = ["ref_id", "pred_id", "edits", "chars", "time_score", "space_score"]
+
+    def run(batches):
+        now, refs, preds, twice, sums, at, kind = None, set(), set(), set(), [], None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], kind), *[pa.array([v]) for v in sums]], names=[case, "matched_events", "errors", "chars", "time", "space", "duplicates"])
+
+        for b in batches:
+            kind = b.column(case).type
+            for c, stretch, r, p, edits, chars, time, space in zip(*(b.column(n).to_pylist() for n in (case, "stretch", *columns))):
+                if (c, stretch) != now:
+                    if sums:
+                        sums[5] += len(twice)
+                    if now is None or c != now[0]:
+                        if sums:
+                            yield row()
+                        at, sums = (c,), [0, 0, 0, 0.0, 0.0, 0]
+                    now, refs, preds, twice = (c, stretch), set(), set(), set()
+                if p in preds:
+                    continue
+                if r in refs:
+                    twice.add(p)
+                    continue
+                refs.add(r)
+                preds.add(p)
+                twice.discard(p)
+                sums[0] += 1
+                sums[1] += edits
+                sums[2] += chars
+                sums[3] += time
+                sums[4] += space
+        if sums:
+            sums[5] += len(twice)
+            yield row()
+
+    parts = _in_order(pairs, case, bin_sec, columns).mapInArrow(run, f"{case} {kind}, {_SUMS}")
+    m = parts.groupBy(case).agg(*[F.sum(c).alias(c) for c in ("matched_events", "errors", "chars", "time", "space", "duplicates")])
+    return m.withColumns({c: F.col(c) / F.col("matched_events") for c in ("time", "space")})
+
+
+def report(reference: DataFrame, predicted: DataFrame, pairs: DataFrame, matches: DataFrame | None = None, case: str = "video_id") -> DataFrame:
+    """The scores of each case; pairs are read twice, so store them first where they are dear. Without ``matches``, those that ``matched`` makes of the pairs
+    count. Recall and the like are over all its events, accuracy over matched ones (1 where nothing matched)."""
+    if matches is None:
+        totals = _totals(pairs, case)
+    else:
+        m = matches.join(pairs, [case, "ref_id", "pred_id"])
+        free = pairs.join(matches.select(case, "pred_id"), [case, "pred_id"], "left_anti").join(matches.select(case, "ref_id"), [case, "ref_id"], "left_semi")
+        scores = m.groupBy(case).agg(F.count(F.lit(1)).alias("matched_events"), F.sum("edits").alias("errors"), F.sum("chars").alias("chars"), F.avg("time_score").alias("time"), F.avg("space_score").alias("space"))
+        totals = scores.join(free.groupBy(case).agg(F.count_distinct("pred_id").alias("duplicates")), case, "left")
     count = lambda df, n: df.groupBy(case).agg(F.count(F.lit(1)).alias(n))
-    d = count(reference, "reference_events").join(count(predicted, "predicted_events"), case, "full").join(scores, case, "left").join(duplicates, case, "left")
+    d = count(reference, "reference_events").join(count(predicted, "predicted_events"), case, "full").join(totals, case, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return d.select(
         case,

@@ -241,18 +241,22 @@ SELECT * FROM ins UNION ALL SELECT a.video_id, a.island, arg_min(frame_id, [abs(
 
 
 def _reference(spark: SparkSession, d: str) -> DataFrame:
-    i = intervals(spark, d)
+    return _reference_of(intervals(spark, d))
+
+
+def _reference_of(i: DataFrame) -> DataFrame:
     box = lambda x: F.struct(F.col("start").alias("t"), x.alias("l"), F.lit(10.0).alias("t0"), (x + 100).alias("r"), F.lit(40.0).alias("b0"))
     left = (F.col("order_id") % 7 * 60).cast("double")
     return i.select(F.col("source_id").alias("video_id"), (F.col("order_id") * 10 + F.col("line")).alias("event_id"), "start", (F.col("start") + F.col("line")).alias("stop"), F.concat(F.lit("order "), F.col("order_id").cast("string")).alias("text"), F.array(box(left)).alias("history"))
 
 
-def _predicted(spark: SparkSession, d: str) -> DataFrame:
+def _predicted(reference: DataFrame) -> DataFrame:
     """The reference less every seventh event, moved a little, every eleventh twice."""
-    r = _reference(spark, d).where(F.col("event_id") % 7 != 0)
+    r = reference.where(F.col("event_id") % 7 != 0)
     moved = F.transform("history", lambda p: F.struct(p["t"].alias("t"), (p["l"] + 10).alias("l"), p["t0"].alias("t0"), (p["r"] + 10).alias("r"), p["b0"].alias("b0")))
     p = r.select("video_id", "event_id", (F.col("start") + F.col("event_id") % 3 / 4).alias("start"), "stop", F.when(F.col("event_id") % 5 == 0, F.concat("text", F.lit("z"))).otherwise(F.col("text")).alias("text"), moved.alias("history"))
-    return p.unionByName(p.where(F.col("event_id") % 11 == 0).withColumn("event_id", -F.col("event_id")))
+    ids = F.when(F.col("event_id") % 11 == 0, F.array("event_id", -F.col("event_id"))).otherwise(F.array("event_id"))
+    return p.withColumn("event_id", F.explode(ids))
 
 
 _EVALUATION = INTERVALS_SQL + f""", ref AS (SELECT source_id AS video_id, order_id * 10 + line AS event_id, start, start + line AS stop, 'order ' || order_id::VARCHAR AS text, (order_id % 7 * 60)::DOUBLE AS l, 10::DOUBLE AS t0, (order_id % 7 * 60 + 100)::DOUBLE AS r, 40::DOUBLE AS b0 FROM intervals),
@@ -270,20 +274,19 @@ g AS (
 ), mt AS (SELECT video_id, ref_id, pred_id FROM g WHERE ok)"""
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.candidate_pairs(_reference(spark, d), _predicted(spark, d), bin_sec=16.0)
-
-
 def match_events(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.matched(_pairs(spark, d))
+    r = _reference(spark, d)
+    return evaluate.matched(stored(evaluate.candidate_pairs(r, _predicted(r), bin_sec=16.0).select("video_id", "ref_id", "pred_id", "score", "begin", "end")))
 
 
 MATCH_EVENTS = f"WITH RECURSIVE {_EVALUATION} SELECT * FROM mt"
 
 
 def recall_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    pairs = stored(_pairs(spark, d))
-    return evaluate.report(_reference(spark, d), _predicted(spark, d), pairs, stored(evaluate.matched(pairs)))
+    r = _reference_of(stored(intervals(spark, d).select("order_id", "line", "source_id", "start")))
+    p = _predicted(r)
+    pairs = evaluate.candidate_pairs(r, p, bin_sec=16.0).select("video_id", "ref_id", "pred_id", "score", "time_score", "space_score", "edits", "chars", "begin", "end")
+    return evaluate.report(r, p, stored(pairs))
 
 
 RECALL_ACCURACY = f"""WITH RECURSIVE {_EVALUATION}, m AS (SELECT p.* FROM mt JOIN pairs p USING (video_id, ref_id, pred_id)),

@@ -75,7 +75,8 @@ SIG_SQL = """sigs AS (
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as intervals, in days: order_id, line, start (order date), stop (ship date, not before it)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.max("l_shipdate").alias("l_shipdate"), F.max("l_quantity").alias("l_quantity"))
+    # by order alone, which both the lines of an order and its date need
+    li = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.max("l_shipdate").alias("l_shipdate"), F.max("l_quantity").alias("l_quantity"))
     day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01")).cast("double")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("source_id"), day("o_orderdate").alias("start"), F.greatest(day("o_orderdate"), day("l_shipdate")).alias("stop"), F.col("l_quantity").alias("weight")
